@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridion.llm import exactdedup, mixing, packing
+from meridion.llm import exactdedup, langid, mixing, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": packing.pack_query, "op8_exact_dedup": exactdedup.dedup_query, "op10_mixing": mixing.mix_query}
+    return {"op1_packing": packing.pack_query, "op4_language_id": langid.language_query, "op8_exact_dedup": exactdedup.dedup_query, "op10_mixing": mixing.mix_query}
 
 
 def oracle_sql() -> dict[str, str]:
