@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridion.llm import exactdedup, langid, mixing, packing
+from meridion.llm import exactdedup, langid, mixing, packing, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": packing.pack_query, "op4_language_id": langid.language_query, "op8_exact_dedup": exactdedup.dedup_query, "op10_mixing": mixing.mix_query}
+    return {"op1_packing": packing.pack_query, "op4_language_id": langid.language_query, "op6_warc": warc.warc_query, "op7_topk": topk.topk_query, "op8_exact_dedup": exactdedup.dedup_query, "op10_mixing": mixing.mix_query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exactdedup.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op6_warc": warc.ORACLE, "op7_topk": topk.ORACLE, "op8_exact_dedup": exactdedup.ORACLE, "op10_mixing": mixing.ORACLE}
