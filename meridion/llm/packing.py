@@ -11,6 +11,7 @@ queue, and a source may hold any part of the rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,11 +29,15 @@ END_ID = 1
 #: Sources whose totals the driver may hold; shares are whole numbers out of SHARES.
 MAX_SOURCES = 100_000
 SHARES = 1 << 20
-#: Distinct words whose ids a worker remembers.
-CACHED_WORDS = 400_000
+#: Distinct words, and parts of words, whose ids a worker remembers.
+CACHED_WORDS = 1_000_000
+#: A word of letters with ASCII marks after it; neither an apostrophe nor a special token is among them.
+_PLAIN = re.compile(rb"([A-Za-z\x80-\xff]+)([.,;:!?#%$&*|]*)")
 
 
 class _Index(dict):
+    """Numbers for words in the order they are first met; 0 is kept for the end of a text."""
+
     def __init__(self):
         super().__init__()
         self.new: list[bytes] = []
@@ -44,43 +49,85 @@ class _Index(dict):
 
 
 class WordTokenizer:
-    """Ids of whole texts.  The vocabulary drops white space and never joins across it, so the ids of a
-    text are those of its words in turn, and each distinct word is encoded once."""
+    """Ids of whole texts.  The vocabulary drops white space and case and never joins across white space
+    or from letters to marks, so the ids of a text are those of its words in turn, and those of a plain
+    word are the ids of its letters and of the marks after them.  Each distinct part is encoded once;
+    runs of plain letters are encoded together and told apart by the tokens that end a word."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.parts: dict[bytes, list[int]] = {b"": []}
         self.clear()
 
     def clear(self):
         self.index = _Index()
         self.flat = np.array([END_ID], np.uint32)
-        self.start, self.size = np.array([0]), np.array([1])
+        self.start, self.size = np.array([0], np.int32), np.array([1], np.int32)
+
+    def _learn(self, words: list[bytes]) -> list[list[int]]:
+        if len(self.parts) > CACHED_WORDS:
+            self.parts = {b"": []}
+        p, cut, letters, rest = self.parts, [], [], []
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            if m is None:
+                base, marks = w, b""
+            elif (base := m[1]).isascii():
+                base, marks = base.lower(), m[2]
+            else:
+                base, marks = (base, m[2]) if base.decode("utf-8", "replace").isalpha() else (w, b"")
+            cut.append((base, marks))
+            if base not in p:
+                p[base] = []
+                (letters if m is not None and base is not w else rest).append(base)
+            if marks not in p:
+                p[marks] = []
+                rest.append(marks)
+        for i in range(0, len(letters), 512):
+            some = letters[i : i + 512]
+            ids = self.tokenizer.encode(b" ".join(some).decode("utf-8", "replace"), add_special_tokens=False).ids
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(some):
+                rest += some
+                continue
+            a = 0
+            for w, b in zip(some, stops):
+                p[w] = ids[a:b]
+                a = b
+        got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
+        p.update((w, e.ids) for w, e in zip(rest, got))
+        return [p[base] + p[marks] if marks else p[base] for base, marks in cut]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text), the end id after each."""
         if len(self.index) > CACHED_WORDS:
             self.clear()
-        at = []
+        at, count = [], []
         for t in texts:
             at.extend(map(self.index.__getitem__, t.split()))
             at.append(0)
-        ends = np.flatnonzero(np.array(at) == 0) if at else np.empty(0, np.int64)
+            count.append(len(at))
         if self.index.new:
-            got = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in self.index.new], add_special_tokens=False)]
-            size = np.array([len(g) for g in got])
-            start = len(self.flat) + np.cumsum(size) - size
+            got = self._learn(self.index.new)
+            size = np.array([len(g) for g in got], np.int32)
+            start = np.cumsum(size, dtype=np.int32) - size + len(self.flat)
             self.flat = np.concatenate([self.flat, np.array([i for g in got for i in g], np.uint32)])
-            self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
+            self.start, self.size = np.concatenate([self.start, start.astype(np.int32)]), np.concatenate([self.size, size])
             self.index.new = []
-        at = np.array(at, np.int64)
+        at = np.array(at, np.int32)
         size = self.size[at]
-        before = np.cumsum(size) - size
-        ids = self.flat[np.repeat(self.start[at] - before, size) + np.arange(int(size.sum()))]
-        totals = np.add.reduceat(size, np.concatenate([[0], ends[:-1] + 1])) if len(ends) else size
-        return ids, totals
+        after = np.cumsum(size)
+        total = int(after[-1]) if len(after) else 0
+        place = np.repeat(self.start[at] - (after - size).astype(np.int32), size)
+        place += np.arange(total, dtype=np.int32)
+        ends = after[np.array(count, np.int64) - 1] if count else after
+        return self.flat[place], np.diff(ends, prepend=0)
 
 
 def _tokenise(spec):
@@ -104,10 +151,11 @@ def _tokenise(spec):
 class Schedule:
     """How many tokens of each source were served before any quantum of the common stream.
 
-    Time counts quanta.  In a phase the sources that still have tokens share it: source 1 gets the floor
-    of its share of the time, the next the floor of its share of what is left, and so on.  That is
-    monotone, sums to the time exactly, and stays within two quanta of the ideal share.  A phase ends
-    when a source is used up; its share then goes to the others in proportion.
+    Time counts quanta.  In a phase the sources that still have tokens share it: source 1 gets the whole
+    quanta of its share of the time, the next those of its share of what is left, and so on.  That is
+    monotone, sums to the time exactly, and errors of the shares don't add up over time: what a source
+    lacks is less than a quantum for each source before it.  A phase ends when a source is used up; its
+    share then goes to the others in proportion.
     """
 
     def __init__(self, totals: list[int], weights: list[float] | None = None, window: int = WINDOW, quantum: int = QUANTUM):
@@ -143,8 +191,9 @@ class Schedule:
     def _split(w: np.ndarray, time: np.ndarray) -> np.ndarray:
         out = np.zeros((len(w), len(time)), np.int64)
         left, total = time.astype(np.int64), int(w.sum())
-        for j in np.flatnonzero(w):
-            out[j] = left * w[j] // total
+        for k, j in enumerate(np.flatnonzero(w)):
+            # Spread starting credits keep the sources from falling behind together.
+            out[j] = (left * w[j] + int(total * (k * 0.6180339887498949 % 1))) // total
             left = left - out[j]
             total -= int(w[j])
         return out
