@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridion.llm import exactdedup, langid, mixing, packing, substring, suffixarray, topk, warc
+from meridion.llm import exactdedup, langid, mixing, neardup, packing, substring, suffixarray, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": packing.pack_query, "op4_language_id": langid.language_query, "op5_substring_dedup": substring.substring_query, "op6_warc": warc.warc_query, "op7_topk": topk.topk_query, "op8_exact_dedup": exactdedup.dedup_query, "op9_suffix_array_dedup": suffixarray.suffix_query, "op10_mixing": mixing.mix_query}
+    return {"op1_packing": packing.pack_query, "op2_ngram_join": neardup.join_query, "op4_language_id": langid.language_query, "op5_substring_dedup": substring.substring_query, "op6_warc": warc.warc_query, "op7_topk": topk.topk_query, "op8_exact_dedup": exactdedup.dedup_query, "op9_suffix_array_dedup": suffixarray.suffix_query, "op10_mixing": mixing.mix_query}
 
 
 def oracle_sql() -> dict[str, str]:
