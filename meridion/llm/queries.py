@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from meridion.llm import exactdedup, langid, mixing, neardup, packing, substring, suffixarray, topk, warc
+from meridion.llm import exactdedup, langid, mixing, neardup, packing, pseudonyms, substring, suffixarray, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.pack_query,
         "op2_ngram_join": neardup.join_query,
+        "op3_pseudonyms": pseudonyms.pseudonym_query,
         "op4_language_id": langid.language_query,
         "op5_substring_dedup": substring.substring_query,
         "op6_warc": warc.warc_query,
