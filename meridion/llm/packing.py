@@ -11,7 +11,6 @@ queue, and a source may hold any part of the rows.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +30,8 @@ MAX_SOURCES = 100_000
 SHARES = 1 << 20
 #: Distinct words, and parts of words, whose ids a worker remembers.
 CACHED_WORDS = 1_000_000
-#: A word of letters with ASCII marks after it; neither an apostrophe nor a special token is among them.
-_PLAIN = re.compile(rb"([A-Za-z\x80-\xff]+)([.,;:!?#%$&*|]*)")
+#: Marks that may follow the letters of a word; an apostrophe isn't among them.
+_MARKS = b".,;:!?#%$&*|"
 
 
 class _Index(dict):
@@ -75,17 +74,17 @@ class WordTokenizer:
             self.parts = {b"": []}
         p, cut, letters, rest = self.parts, [], [], []
         for w in words:
-            m = _PLAIN.fullmatch(w)
-            if m is None:
-                base, marks = w, b""
-            elif (base := m[1]).isascii():
-                base, marks = base.lower(), m[2]
+            base = w.rstrip(_MARKS)
+            if base.isalpha():  # bytes: ASCII letters only
+                marks, base, plain = w[len(base) :], base.lower(), True
+            elif base and not base.isascii() and base.decode("utf-8", "replace").isalpha():
+                marks, plain = w[len(base) :], True
             else:
-                base, marks = (base, m[2]) if base.decode("utf-8", "replace").isalpha() else (w, b"")
+                base, marks, plain = w, b"", False
             cut.append((base, marks))
             if base not in p:
                 p[base] = []
-                (letters if m is not None and base is not w else rest).append(base)
+                (letters if plain else rest).append(base)
             if marks not in p:
                 p[marks] = []
                 rest.append(marks)
@@ -130,9 +129,15 @@ class WordTokenizer:
         return self.flat[place], np.diff(ends, prepend=0)
 
 
+#: A worker's tokenizers; what one task learned serves the next.
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
 def _tokenise(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, seen = WordTokenizer(spec.value), {}
+        if spec.value not in _tokenizers:
+            _tokenizers[spec.value] = WordTokenizer(spec.value)
+        tokenizer, seen = _tokenizers[spec.value], {}
         for b in batches:
             pid, doc, source, text = (b.column(i) for i in range(4))
             ids, n = tokenizer.encode([t or b"" for t in text.cast(pa.binary()).to_pylist()])
