@@ -78,14 +78,13 @@ def mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, in the columns of documents: a row for every epoch, and a last one cut after its words.
 
-    A text that is cut keeps its first `part` words with the characters between them.
+    A text that is cut (one of a source at most) keeps its first `part` words, joined by single spaces.
     """
     m = mix(docs).filter("taken > 0").select(UID, F.col("size").alias("_size"), F.col("epochs").alias("_epochs"), F.col("part").alias("_part"))
     d = with_uid(docs).join(m, UID)
     copies = F.concat(F.array_repeat(F.col("_size"), F.col("_epochs").cast("int")), F.when(F.col("_part") > 0, F.array(F.col("_part"))).otherwise(F.array().cast("array<bigint>")))
     d = d.withColumn("_take", F.explode(copies))
-    # Only one document a source is cut, so the pattern built from its word count is rarely evaluated.
-    head = F.expr(r"regexp_extract(text, concat('^(?:[ \\t-\\r]*[^ \\t-\\r]+){', cast(least(_take, _size) as string), '}'), 0)")
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_take").cast("int")), " ")
     d = d.withColumn("text", F.when(F.col("_take") < F.col("_size"), head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
