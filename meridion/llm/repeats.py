@@ -6,10 +6,11 @@ smallest hash among its grams of K units, so equal windows have equal anchors.
 1. Equal documents are folded into the first of them.
 2. Anchors that occur once belong to windows that occur once; they are dropped.
 3. Around each anchor that is left, the run of windows it stands for is cut out as a piece.  Pieces are
-   folded by content, keeping where they first occur, and go to the shard of their anchor: all
-   occurrences of a window meet there, and a shard holds a bounded number of bytes.  Anchors that have
-   too many different pieces for a shard (a passage with many surroundings) send single windows,
-   spread by their content.
+   folded by content, keeping where they first occur.  A window holds at least half of its units beside
+   the anchor on one side of it, so pieces whose anchor with either half occurs once are dropped too.
+   The others go to the shard of their anchor: all occurrences of a window meet there, and a shard
+   holds a bounded number of bytes.  Anchors that have too many different pieces for a shard (a passage
+   with many surroundings) send single windows, spread by their content.
 4. A shard's index (a suffix automaton or a suffix array) tells where each window first occurs.
 5. What it says goes back to the pieces' documents, and the spans to remove follow.
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridion.llm.common import UID, doc_order, join_small, materialise, small_batches, with_uid
-from meridion.llm.numtext import byte_values, gram_hashes, slabs, utf8, window_minima, word_hashes, words
+from meridion.llm.numtext import byte_values, gram_hashes, slabs, span_hashes, utf8, window_minima, word_hashes, words
 
 
 @dataclass(frozen=True)
@@ -51,20 +52,31 @@ class Units:
     def whole(self, text: bytes) -> bytes:
         return text if self.name == "bytes" else b" ".join(text.split())
 
-    def anchors(self, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of windows with one anchor: (row, first window, last window + 1, anchor's hash)."""
+    def anchors(self, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Runs of windows with one anchor: (row, first window, last window + 1, anchor's hash, its place)."""
         grams = gram_hashes(values, self.gram)
         at = window_minima(grams, self.window - self.gram + 1)
         row = np.searchsorted(rows, np.arange(len(at)), side="right") - 1
         ok = np.flatnonzero(np.arange(len(at)) + self.window <= rows[row + 1]) if len(at) else np.empty(0, np.int64)
         if not len(ok):
-            return ok, ok, ok, ok
+            return ok, ok, ok, ok, ok
         at, row = at[ok], row[ok]
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at))
-        return row[first], ok[first], ok[last - 1] + 1, grams[at[first]].view(np.int64)
+        return row[first], ok[first], ok[last - 1] + 1, grams[at[first]].view(np.int64), at[first]
+
+    def halves(self, values: np.ndarray, first: np.ndarray, end: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Hashes of the anchor with the half window before it and with that after it; null where a piece
+        doesn't reach that far.  Each window of a piece holds one of the two."""
+        before = (self.window - self.gram + 1) // 2
+        after = self.window - self.gram + 1 - before
+        a, e = at - before, at + self.gram + after
+        near, far = a < first, e > end
+        left = span_hashes(values, np.where(near, at, a), at + self.gram).view(np.int64)
+        right = span_hashes(values, at, np.where(far, at, e)).view(np.int64)
+        return pa.array(left, mask=near), pa.array(right, mask=far)
 
 
 def _scan(u: Units):
@@ -77,7 +89,7 @@ def _scan(u: Units):
             for i, j in slabs(offsets):
                 values, rows, _ = u.cut(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 sizes[i:j] = np.diff(rows)
-                row, _, _, fp = u.anchors(values, rows)
+                row, _, _, fp, _ = u.anchors(values, rows)
                 order = np.lexsort((fp, row))
                 row, fp = row[order], fp[order]
                 nth = np.ones(len(fp), bool)
@@ -94,8 +106,8 @@ def _scan(u: Units):
     return run
 
 
-PIECE = pa.schema([(UID, pa.int64()), ("rank", pa.int64()), ("start", pa.int64()), ("anchor", pa.int64()), ("key", pa.binary()), ("piece", pa.binary())])
-PIECE_DDL = f"{UID} long, rank long, start long, anchor long, key binary, piece binary"
+PIECE = pa.schema([(UID, pa.int64()), ("rank", pa.int64()), ("start", pa.int64()), ("anchor", pa.int64()), ("key", pa.binary()), ("piece", pa.binary()), ("left", pa.int64()), ("right", pa.int64())])
+PIECE_DDL = f"{UID} long, rank long, start long, anchor long, key binary, piece binary, left long, right long"
 
 
 def _pieces(u: Units):
@@ -106,14 +118,15 @@ def _pieces(u: Units):
             for i, j in slabs(offsets):
                 part, base = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 values, rows, spans = u.cut(part, base)
-                row, first, last, fp = u.anchors(values, rows)
+                row, first, last, fp, at = u.anchors(values, rows)
                 keep = np.zeros(len(row), bool)
                 cuts = np.searchsorted(row, np.arange(j - i + 1))
                 for k in range(j - i):
                     here = slice(cuts[k], cuts[k + 1])
                     keep[here] = np.isin(fp[here], np.asarray(wanted[i + k].values))
-                row, first, last, fp = row[keep], first[keep], last[keep], fp[keep]
+                row, first, last, fp, at = row[keep], first[keep], last[keep], fp[keep], at[keep]
                 end = last + u.window - 1
+                left, right = u.halves(values, first, end, at)
                 raw = part.tobytes()
                 if spans is None:
                     got = [raw[a:e] for a, e in zip(first.tolist(), end.tolist())]
@@ -121,7 +134,7 @@ def _pieces(u: Units):
                     got = [b" ".join(raw[a:e].split()) for a, e in zip(spans[0][first].tolist(), spans[1][end - 1].tolist())]
                 keys = [hashlib.blake2b(p, digest_size=16).digest() for p in got]
                 take = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(first - rows[row]), pa.array(fp), pa.array(keys, pa.binary()), pa.array(got, pa.binary())], schema=PIECE)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(first - rows[row]), pa.array(fp), pa.array(keys, pa.binary()), pa.array(got, pa.binary()), left, right], schema=PIECE)
 
     return run
 
@@ -216,8 +229,12 @@ def remove_repeats(docs: DataFrame, u: Units, index: Callable) -> DataFrame:
     pieces = texts.join(suspects, UID).select(UID, "rank", "text", "anchors").mapInArrow(_pieces(u), PIECE_DDL)
     pieces = materialise(pieces, "pieces")
 
-    folded = pieces.groupBy("key", "anchor", "piece").agg(F.min(F.struct("rank", "start")).alias("o"))
-    folded = materialise(folded.select("key", "anchor", "piece", "o.rank", "o.start"), "folded")
+    folded = pieces.groupBy("key", "anchor", "piece").agg(F.min(F.struct("rank", "start")).alias("o"), F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("times"))
+    folded = materialise(folded.select("key", "anchor", "piece", "o.rank", "o.start", F.array_compact(F.array("left", "right")).alias("halves"), "times"), "folded")
+    halves = folded.select("key", "times", F.explode("halves").alias("half"))
+    again = halves.groupBy("half").agg(F.sum("times").alias("times")).filter("times > 1").select("half")
+    alive = halves.select("key", "half").join(again, "half").select("key").distinct()
+    folded = materialise(folded.drop("halves", "times").join(alive, "key", "left_semi"), "alive")
     size = F.sum(F.octet_length("piece"))
     total = folded.agg(size).first()[0] or 0
     shards = max(16, -(-total // u.shard_bytes))
@@ -240,7 +257,9 @@ def remove_repeats(docs: DataFrame, u: Units, index: Callable) -> DataFrame:
     else:
         found = search(folded, "anchor")
     found = materialise(found, "found").select("key", F.struct("from_", "to", F.col("rank").alias("r"), F.col("start").alias("s")).alias("run"))
-    runs = found.groupBy("key").agg(F.collect_list("run").alias("runs"))  # as many as a piece has windows
+    # As many runs as a piece has windows.  They are written, so that the join below, in which a frequent
+    # piece may hold most rows, needs nothing but its own exchanges and can be split by skew.
+    runs = materialise(found.groupBy("key").agg(F.collect_list("run").alias("runs")), "runs")
     hits = pieces.select(UID, "rank", "start", "key").join(runs, "key").select(UID, "rank", "start", F.explode("runs").alias("run"))
     earlier = F.col("run.r") < F.col("rank")
     if u.within:

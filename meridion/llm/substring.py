@@ -16,7 +16,7 @@ from meridion.llm.common import UID, table
 from meridion.llm.repeats import Units, remove_repeats
 
 WINDOW = 50
-WORDS = Units("words", WINDOW, 16, False, 1 << 20)
+WORDS = Units("words", WINDOW, 16, False, 1 << 19)
 
 
 class SuffixAutomaton:

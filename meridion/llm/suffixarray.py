@@ -30,7 +30,7 @@ def _names(*columns: np.ndarray) -> tuple[np.ndarray, int]:
             top = int(key.max(initial=0)) + 1
         key = key * size + c
         top *= size
-    order = np.argsort(key, kind="stable" if top < 1 << 16 else None)
+    order = np.argsort(key)
     ordered = key[order]
     step = np.zeros(len(key), np.int64)
     np.cumsum(ordered[1:] != ordered[:-1], out=step[1:])
@@ -54,26 +54,34 @@ def suffix_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
         names = suffix_ranks(names, -(-depth // 3))
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = names + 1
-    other = np.arange(0, n, 3)
-    # Both kinds of comparison with the suffixes at 0 modulo 3 are between pairs or triples of symbols and ranks.
-    one, two = first[first < n], np.arange(2, n, 3)
+    other, one, two = np.arange(0, n, 3), first[first < n], np.arange(2, n, 3)
+    # Both kinds of comparison with the suffixes at 0 modulo 3 are between pairs: a symbol or the rank of
+    # two, and the rank of the sampled suffix that follows.
     top = int(rank.max()) + 1
     pair = lambda i: s[i] * top + rank[i + 1]
-    zero_rank, _ = _names(s[other], rank[other + 1])
-    zero_pairs = np.sort(pair(other))
-    follow = np.concatenate([s[other + 1] * top + rank[other + 2], s[two + 1] * top + rank[two + 2]])
-    second, m = _names(follow)
-    zero_triples, two_triples = s[other] * m + second[: len(other)], s[two] * m + second[len(other) :]
-    # Merged place of a suffix: those before it of its own kind, and those of the other kind.
-    sampled = np.sort(rank[np.concatenate([one, two])])
+    follow, m = _names(np.concatenate([s[other + 1] * top + rank[other + 2], s[two + 1] * top + rank[two + 2]]))
+    # Merged place of a suffix: those before it of its own kind, and those of the other kinds.
+    count = np.bincount(rank[np.concatenate([one, two])], minlength=top)
+    sampled = np.cumsum(count) - count
     place = np.zeros(n, np.int64)
-    place[one] = np.searchsorted(sampled, rank[one]) + np.searchsorted(zero_pairs, pair(one))
-    place[two] = np.searchsorted(sampled, rank[two]) + np.searchsorted(np.sort(zero_triples), two_triples)
-    ordered = np.sort(zero_rank)
-    place[other] = np.searchsorted(ordered, zero_rank) + np.searchsorted(np.sort(pair(one)), pair(other)) + np.searchsorted(np.sort(two_triples), zero_triples)
+    place[one], place[two] = sampled[rank[one]], sampled[rank[two]]
+    zeros = pair(other)
+    order = np.argsort(zeros)
+    zeros, other, follow_zero = zeros[order], other[order], follow[: len(other)][order]
+    place[other] = np.searchsorted(zeros, zeros)
+    _count_across(place, one, pair(one), other, zeros)
+    _count_across(place, two, s[two] * m + follow[len(other) :], other, s[other] * m + follow_zero)
     return place
 
 
+def _count_across(place: np.ndarray, a: np.ndarray, a_key: np.ndarray, b: np.ndarray, b_key: np.ndarray) -> None:
+    """Adds to the places at a the number of smaller keys of b, and the other way round."""
+    i, j = np.argsort(a_key), np.argsort(b_key)
+    a_key, b_key = a_key[i], b_key[j]
+    place[a[i]] += np.searchsorted(b_key, a_key)
+    place[b[j]] += np.searchsorted(a_key, b_key)
+
+
 def _short(symbols: np.ndarray) -> np.ndarray:
     suffixes = [tuple(symbols[i:].tolist()) for i in range(len(symbols))]
     order = sorted(range(len(symbols)), key=suffixes.__getitem__)
@@ -91,7 +99,7 @@ def first_places(pieces: list[bytes], ranks: np.ndarray, starts: np.ndarray, win
     owner = np.repeat(np.arange(len(pieces)), size)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
     at = base[owner] + place
-    order = np.argsort(suffix_ranks(text, window)[at], kind="stable")
+    order = np.argsort(suffix_ranks(text, window)[at])
     by = at[order]
     # Neighbours are compared eight bytes at a time; windows never reach beyond their piece.
     eight = np.lib.stride_tricks.as_strided(np.concatenate([text, np.zeros(8, np.uint8)]).view(np.uint8), (len(text), 8), (1, 1))
@@ -101,12 +109,12 @@ def first_places(pieces: list[bytes], ranks: np.ndarray, starts: np.ndarray, win
     for j in sorted({*range(0, window - 7, 8), max(0, window - 8)}):
         x = packed[by + j]
         new[1:] |= x[1:] != x[:-1]
-    group = np.cumsum(new) - 1
+    head, group = np.flatnonzero(new), np.cumsum(new) - 1
     rank, start = ranks[owner][order], (starts[owner] + place)[order]
-    best = np.lexsort((start, rank, group))
-    head = best[np.flatnonzero(np.diff(group[best], prepend=-1))]
+    least = np.minimum.reduceat(rank, head)[group] if len(head) else rank
+    first = np.minimum.reduceat(np.where(rank == least, start, np.iinfo(np.int64).max), head) if len(head) else start
     out_rank, out_start = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
-    out_rank[order], out_start[order] = rank[head][group], start[head][group]
+    out_rank[order], out_start[order] = least, first[group]
     return out_rank, out_start, size
 
 
