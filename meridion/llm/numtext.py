@@ -14,8 +14,8 @@ _IS_SEPARATOR[list(SEPARATORS)] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 64, 256, dtype=np.uint64)
-#: Bytes hashed at a time.
-SLAB = 4 << 20
+#: Bytes hashed at a time; the arrays of a slab stay in a core's cache.
+SLAB = 1 << 17
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
