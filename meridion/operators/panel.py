@@ -1,0 +1,185 @@
+"""Cross-section of features and labels, walk-forward folds, and incremental rebuilds."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from meridion.functions import windows as w
+from meridion.operators.features import FEATURES, WARMUP, features
+from meridion.operators.labels import base_labels, path_labels
+
+LEAST_BARS = WARMUP + 5
+LEAST_NAMES = 20
+#: Features that are ranked across a session.
+CROSS_SECTION = ("D_rsi14", "D_adx14", "D_atr_pct", "D_range_pct", "D_gap_pct", "D_bb_pctB_20", "D_bb_bw_20", "D_donch_pos_20", "D_donch_pos_50", "D_vol_yz_20", "D_dvol_z20", "D_cmf20", "D_macd_hist", "D_ema20_angle_deg", "D_close_roll_slope_20", "D_dist_from_52wh", "D_drawdown_252", "D_realvol_20", "D_amihud_20", "D_body_ratio", "D_overnight_share")
+FORWARD_PARTS = ("label_", "fwd_", "future_", "mfe", "mae", "ret_5d_close_pct", "_next")
+STRUCTURE = ("symbol", "session_date", "open", "high", "low", "close", "volume", "D_is_warmup", "year")
+
+
+def feature_columns(columns: list[str]) -> list[str]:
+    """Columns that may be model inputs: neither structure nor forward-looking."""
+    return [x for x in columns if x not in STRUCTURE and not x.startswith("_") and not any(p in x.lower() for p in FORWARD_PARTS)]
+
+
+def assert_no_forward_columns(columns: list[str], registered: tuple[str, ...] = ()) -> None:
+    bad = [x for x in columns if any(p in x.lower() for p in FORWARD_PARTS) and x not in registered and not x.startswith("label_")]
+    if bad:
+        raise ValueError(f"columns look forward without being labels: {bad}")
+
+
+def liquidity_floor(panel: DataFrame, least: float, window: int = 60, observations: int = 40) -> DataFrame:
+    """Rows whose trailing median turnover reaches the floor; 0 turns it off."""
+    if not least:
+        return panel
+    turnover = panel if "D_dollar_vol" in panel.columns else panel.withColumn("D_dollar_vol", F.col("close") * F.col("volume"))
+    out = turnover.withColumn("X_turnover_med", w.roll(w.median, "D_dollar_vol", window, observations))
+    return out.filter(F.col("X_turnover_med") >= least)
+
+
+def cross_section(panel: DataFrame, columns: tuple[str, ...] = CROSS_SECTION) -> DataFrame:
+    """X_rank_*, X_z_* and X_universe_size of each session."""
+    there = [x for x in columns if x in panel.columns]
+    ranks = [w.session_rank(x).alias(f"X_rank_{x}") for x in there]
+    scores = [w.session_z(x).alias(f"X_z_{x}") for x in there]
+    return panel.select("*", *ranks, *scores, F.count("*").over(w.session()).alias("X_universe_size"))
+
+
+def market_relative(panel: DataFrame, market: DataFrame, columns: list[str]) -> DataFrame:
+    """The market's features as MKT_* and the excess return and relative volatility against it."""
+    m = market.select("session_date", *[F.col(x).alias(f"MKT_{x}") for x in columns])
+    out = panel.join(m, "session_date", "left")
+    if "D_intraday_ret_pct" in columns:
+        out = out.withColumn("X_excess_ret", F.col("D_intraday_ret_pct") - F.col("MKT_D_intraday_ret_pct"))
+    if "D_realvol_20" in columns:
+        out = out.withColumn("X_relvol_20", w.ratio("D_realvol_20", "MKT_D_realvol_20"))
+    return out
+
+
+def align_to_sessions(bars: DataFrame, sessions: DataFrame, lag: int = 0) -> DataFrame:
+    """One row for each series and session from its first bar on: the close held forward, its age in
+    sessions, then both lagged.  A session's key is broadcast only as far as Spark's own threshold allows."""
+    span = bars.groupBy("symbol").agg(F.min("session_date").alias("_first"))
+    grid = span.join(sessions.select("session_date"), F.col("session_date") >= F.col("_first")).drop("_first")
+    held = grid.join(bars.select("symbol", "session_date", "close"), ["symbol", "session_date"], "left")
+    fresh = F.count("close").over(w.so_far())
+    held = held.withColumn("_group", fresh).withColumn("close", F.last("close", ignorenulls=True).over(w.so_far()))
+    inside = Window.partitionBy("symbol", "_group").orderBy("session_date")
+    held = held.withColumn("stale", F.row_number().over(inside) - 1).drop("_group")
+    if lag:
+        held = held.withColumns({x: w.lag(x, lag) for x in ("close", "stale")})
+    return held
+
+
+def exogenous(panel: DataFrame, bars: DataFrame, names: list[str], lag: int = 0) -> DataFrame:
+    """Adds <name>_close, <name>_stale, <name>_ret_1d of each outside series: one pivoted join, not one a series."""
+    sessions = panel.select("session_date").distinct()
+    a = align_to_sessions(bars.filter(F.col("symbol").isin(names)), sessions, lag)
+    a = a.withColumn("ret", w.ratio("close", w.lag("close")) - 1)
+    wide = a.groupBy("session_date").pivot("symbol", names).agg(F.first("close").alias("close"), F.first("stale").alias("stale"), F.first("ret").alias("ret_1d"))
+    return panel.join(wide, "session_date", "left")
+
+
+def asof_attach(panel: DataFrame, facts: DataFrame, columns: list[str]) -> DataFrame:
+    """The latest fact of the same symbol at or before each row: a union and one forward fill, no range join."""
+    left = panel.select("symbol", "session_date", F.lit(1).alias("_side"), F.struct(*panel.columns).alias("_row"), *[F.lit(None).cast(facts.schema[x].dataType).alias(x) for x in columns], F.lit(False).alias("_fact"))
+    right = facts.select("symbol", "session_date", F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), *columns, F.lit(True).alias("_fact"))
+    frame = Window.partitionBy("symbol").orderBy("session_date", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.last(F.when(F.col("_fact"), F.struct(*columns)), ignorenulls=True).over(frame)
+    return left.unionByName(right).withColumn("_held", held).filter("_side = 1").select("_row.*", *[F.col(f"_held.{x}").alias(x) for x in columns])
+
+
+def folds(panel: DataFrame, n: int = 5, embargo: int = 5) -> DataFrame:
+    """fold, train_start, train_end, test_start, test_end: expanding training, `embargo` sessions apart.
+
+    The windows without a partition run over sessions, of which there are a few thousand at any size.
+    """
+    if embargo < 5:
+        raise ValueError("the embargo must cover the label horizon of five sessions")
+    every = Window.orderBy("session_date")
+    s = panel.select("session_date").distinct().select("session_date", (F.row_number().over(every) - 1).alias("pos"), (F.ntile(n + 1).over(every) - 1).alias("block"))
+    blocks = s.groupBy("block").agg(F.min("session_date").alias("test_start"), F.max("session_date").alias("test_end"), F.min("pos").alias("first"))
+    first = s.agg(F.min("session_date").alias("train_start"))
+    ends = s.select((F.col("pos") + 1 + embargo).alias("first"), F.col("session_date").alias("train_end"))
+    return blocks.filter("block > 0").join(ends, "first").join(first).select(F.col("block").cast("int").alias("fold"), "train_start", "train_end", "test_start", "test_end")
+
+
+def fit_calibration(panel: DataFrame, fold_table: DataFrame, share: float = 0.75, gap: int = 5) -> DataFrame:
+    """Role of each session in each fold: fit (first 75 % of training), cal (after a gap), test."""
+    s = panel.select("session_date").distinct()
+    x = s.join(fold_table, F.col("session_date").between(F.col("train_start"), F.col("test_end")))
+    train = F.col("session_date") <= F.col("train_end")
+    x = x.withColumn("_train", train.cast("int"))
+    pos = F.row_number().over(Window.partitionBy("fold", "_train").orderBy("session_date")) - 1
+    size = F.count("*").over(Window.partitionBy("fold", "_train"))
+    cut = F.floor(size * share)
+    role = F.when((F.col("_train") == 1) & (pos < cut), "fit").when((F.col("_train") == 1) & (pos >= cut - 1 + gap), "cal").when(F.col("session_date") >= F.col("test_start"), "test")
+    return x.select("fold", "session_date", role.alias("role")).filter("role IS NOT NULL")
+
+
+def universe_hash(symbols: list[str]) -> str:
+    return hashlib.sha256("\n".join(sorted(symbols)).encode()).hexdigest()[:16]
+
+
+def build_signature(symbols: list[str], **settings) -> str:
+    """Changes whenever a stored panel can't be extended but must be built anew."""
+    return hashlib.sha256(json.dumps({"universe": universe_hash(symbols), **settings}, sort_keys=True).encode()).hexdigest()[:16]
+
+
+def build_panel(bars: DataFrame, names: list[str] | None = None, least_turnover: float = 0.0, since=None, least_names: int = LEAST_NAMES, least_bars: int = LEAST_BARS) -> DataFrame:
+    """Features, labels, liquidity floor, cross-section, thin sessions dropped last.
+
+    Everything is computed on full history; `since` slices at the end, so a rebuild of recent sessions
+    gives the very rows a full build gives.
+    """
+    long = bars.groupBy("symbol").agg(F.count("*").alias("_bars")).filter(F.col("_bars") >= least_bars).select("symbol")
+    b = bars.join(long, "symbol", "left_semi")
+    wanted = list(names) if names is not None else [n for n in FEATURES if not n.startswith("_") and not n.endswith("_term")]
+    x = features(path_labels(base_labels(b)), wanted).filter("D_is_warmup = 0")
+    x = cross_section(liquidity_floor(x, least_turnover))
+    x = x.filter(F.col("X_universe_size") >= least_names)
+    return x if since is None else x.filter(F.col("session_date") >= F.lit(since))
+
+
+def write_panel(panel: DataFrame, path: str, meta: dict, mode: str = "overwrite") -> None:
+    """Partitions by month; a rebuild overwrites only the months it holds.  Metadata go beside as JSON."""
+    spark: SparkSession = panel.sparkSession
+    out = panel.withColumn("month", F.date_format("session_date", "yyyy-MM"))
+    out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{path}/panel")
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def read_meta(spark: SparkSession, path: str) -> dict | None:
+    try:
+        return json.loads(spark.read.text(f"{path}/meta").first()[0])
+    except Exception:  # noqa: BLE001  a missing or broken sidecar means: build anew
+        return None
+
+
+def update_panel(bars: DataFrame, path: str, rebuild_sessions: int = 20, **settings) -> str:
+    """Full build where the signature changed, otherwise the months of the last sessions only."""
+    spark = bars.sparkSession
+    symbols = [r.symbol for r in bars.select("symbol").distinct().collect()]
+    signature = build_signature(symbols, **{k: v for k, v in settings.items() if k != "names"}, columns=settings.get("names") or "all")
+    meta = read_meta(spark, path)
+    since = None
+    if meta and meta.get("signature") == signature:
+        last = bars.select("session_date").distinct().orderBy(F.desc("session_date")).limit(rebuild_sessions).agg(F.min("session_date")).first()[0]
+        since = last.replace(day=1)
+    panel = build_panel(bars, since=since, **settings)
+    write_panel(panel, path, {"signature": signature, "symbols": len(symbols)})
+    return "incremental" if since else "full"
+
+
+def contract(names: list[str]) -> list[tuple]:
+    """One row a feature: resolved at the close, usable from the next open, lookback, role, hypothesis."""
+    out = []
+    for n in names:
+        lookback, why = FEATURES.notes.get(n, (1, ""))
+        if not why:
+            raise ValueError(f"{n} has no hypothesis")
+        out.append((n, "close of the session", "open of the next session", lookback, False, n in feature_columns([n]), why))
+    return out
