@@ -16,7 +16,7 @@ from meridion.llm.common import table
 from meridion.llm.repeats import Units, remove_repeats
 
 WINDOW = 100
-BYTES = Units("bytes", WINDOW, 32, True, 3 << 19)
+BYTES = Units("bytes", WINDOW, 32, True, 3 << 17)
 
 
 def _names(*columns: np.ndarray) -> tuple[np.ndarray, int]:
@@ -59,7 +59,11 @@ def suffix_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
     # two, and the rank of the sampled suffix that follows.
     top = int(rank.max()) + 1
     pair = lambda i: s[i] * top + rank[i + 1]
-    follow, m = _names(np.concatenate([s[other + 1] * top + rank[other + 2], s[two + 1] * top + rank[two + 2]]))
+    size = int(symbols.max()) + 2
+    follow = np.concatenate([s[other + 1] * top + rank[other + 2], s[two + 1] * top + rank[two + 2]])
+    m = size * top
+    if size * m >= 1 << 62:
+        follow, m = _names(follow)
     # Merged place of a suffix: those before it of its own kind, and those of the other kinds.
     count = np.bincount(rank[np.concatenate([one, two])], minlength=top)
     sampled = np.cumsum(count) - count
