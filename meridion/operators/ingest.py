@@ -114,3 +114,19 @@ def completed_session(now: str, session_end: str, grace_minutes: int = 15):
     at = F.to_timestamp(F.lit(now))
     close = F.to_timestamp(F.concat(F.date_format(at, "yyyy-MM-dd"), F.lit(f" {session_end}:00"))) + F.expr(f"INTERVAL {grace_minutes} MINUTES")
     return F.when(at >= close, F.to_date(at)).otherwise(F.date_sub(F.to_date(at), 1))
+
+
+def resolve_symbols(wanted: DataFrame, master: DataFrame, overrides: DataFrame | None = None, exchange: str = "NSE") -> DataFrame:
+    """symbol -> instrument_token: an override, else the best master row whose normalised name matches.
+
+    Of several the cash series (EQ) beats the right exchange, that beats the rest, and then the smallest
+    token wins.  Unresolved names keep a null token.
+    """
+    from meridion.functions.scalars import normalise_symbol
+
+    score = F.when((F.col("segment") == "EQ") & (F.col("exchange") == exchange), 2).when(F.col("exchange") == exchange, 1).otherwise(0)
+    best = master.select(normalise_symbol(F.col("tradingsymbol")).alias("_key"), "instrument_token", score.alias("_s")).groupBy("_key").agg(F.max_by("instrument_token", F.struct("_s", (-F.col("instrument_token")).alias("t"))).alias("_token"))
+    x = wanted.select("symbol").distinct().withColumn("_key", normalise_symbol(F.col("symbol"))).join(best, "_key", "left")
+    if overrides is None:
+        return x.select("symbol", F.col("_token").alias("instrument_token"))
+    return x.join(overrides.select("symbol", F.col("instrument_token").alias("_o")), "symbol", "left").select("symbol", F.coalesce("_o", "_token").alias("instrument_token"))

@@ -183,3 +183,36 @@ def contract(names: list[str]) -> list[tuple]:
             raise ValueError(f"{n} has no hypothesis")
         out.append((n, "close of the session", "open of the next session", lookback, False, n in feature_columns([n]), why))
     return out
+
+
+def validate_panel(panel: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
+    """One row of counts, each of which must be 0 (rows: more than 0); one pass and one aggregation by key."""
+    missing = [x for x in (*features, *targets, "symbol", "session_date") if x not in panel.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    text = [n for n, t in panel.select(*features).dtypes if t in ("string", "boolean", "date", "timestamp")]
+    if text:
+        raise ValueError(f"features that aren't numbers: {text}")
+    bad_target = [F.count_if(F.col(t).isNotNull() & ~F.col(t).isin(0, 1)).alias(f"bad_{t}") for t in targets]
+    whole = panel.agg(F.count("*").alias("rows"), F.count_if(F.col("symbol").isNull()).alias("null_symbols"), F.count_if(F.col("session_date").isNull()).alias("null_sessions"), *bad_target)
+    keys = panel.groupBy("symbol", "session_date").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("repeated_keys"))
+    return whole.join(keys)
+
+
+def strided_sessions(panel: DataFrame, most_rows: int) -> DataFrame:
+    """Whole sessions at an even stride, so that about `most_rows` rows are left."""
+    stride = max(1, panel.count() // most_rows)
+    s = panel.select("session_date").distinct().withColumn("_pos", F.row_number().over(Window.orderBy("session_date")) - 1)
+    return panel.join(F.broadcast(s.filter(F.col("_pos") % stride == 0).select("session_date")), "session_date", "left_semi")
+
+
+def finalise(df: DataFrame, flags: list[str], keep_null: tuple[str, ...] = ("d_roll", "D_vol_surge_20", "D_vol_surge_50")) -> DataFrame:
+    """Flags as bytes with null as 0, except those whose null means unknown; true / false texts as 1 / 0."""
+    out = []
+    for n, t in df.dtypes:
+        x = F.col(n)
+        if n in flags or t == "boolean":
+            x = x.cast("tinyint") if t != "string" else F.when(F.lower(F.trim(x)) == "true", 1).when(F.lower(F.trim(x)) == "false", 0).cast("tinyint")
+            x = x if n in keep_null else F.coalesce(x, F.lit(0).cast("tinyint"))
+        out.append(x.alias(n))
+    return df.select(*out)

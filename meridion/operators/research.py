@@ -169,7 +169,7 @@ def outcome_summary(neighbours: DataFrame, outcome: str) -> DataFrame:
     x = neighbours.groupBy("q_symbol", "q_date").agg(F.count(outcome).alias("n"), F.avg(outcome).alias("mean"), q.alias("q"), F.avg((F.col(outcome) > 0).cast("double")).alias("share_up"), F.avg("distance").alias("distance"))
     agree = F.abs(F.col("share_up") - 0.5) * 2
     tight = 1 / (1 + F.col("distance"))
-    return x.select("q_symbol", "q_date", "n", "mean", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), (F.least(F.col("n") / 60, F.lit(1.0)) * tight * (0.5 + 0.5 * agree)).alias("evidence"))
+    return x.select("q_symbol", "q_date", "n", "mean", "share_up", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), (F.least(F.col("n") / 60, F.lit(1.0)) * tight * (0.5 + 0.5 * agree)).alias("evidence"))
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -278,3 +278,84 @@ def classification(scored: DataFrame) -> DataFrame:
     p = F.least(F.greatest(F.col("score"), F.lit(1e-6)), F.lit(1 - 1e-6))
     rest = scored.agg(F.avg((F.col("score") - F.col("y")) ** 2).alias("brier"), F.avg(-(F.col("y") * F.ln(p) + (1 - F.col("y")) * F.ln(1 - p))).alias("logloss"), F.count("*").alias("n"))
     return auc.join(rest).select("n", F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"), "brier", "logloss")
+
+
+def barrier_stability(paths: DataFrame, targets=TARGETS, stops=STOPS, blocks: int = 3, least: int = 5000) -> DataFrame:
+    """Rank correlations of the grid's payoffs between blocks of sessions, and whether they agree."""
+    s = paths.select("session_date").distinct().select("session_date", F.ntile(blocks).over(Window.orderBy("session_date")).alias("block"))
+    x = paths.join(F.broadcast(s), "session_date")
+    scans = None
+    for b in range(1, blocks + 1):
+        one = barrier_scan(x.filter(F.col("block") == b).drop("block"), targets, stops).filter(F.col("n") >= least)
+        one = one.select("tp", "sl", F.lit(b).alias("block"), F.rank().over(Window.orderBy(F.desc("pay_lo"))).cast("double").alias("r"))
+        scans = one if scans is None else scans.unionByName(one)
+    a, c = scans.alias("a"), scans.alias("c")
+    pairs = a.join(c, (F.col("a.tp") == F.col("c.tp")) & (F.col("a.sl") == F.col("c.sl")) & (F.col("a.block") < F.col("c.block")))
+    spread = F.stddev_pop("a.r") * F.stddev_pop("c.r")
+    by = pairs.groupBy(F.col("a.block").alias("one"), F.col("c.block").alias("two")).agg(F.try_divide(F.covar_pop("a.r", "c.r"), F.when(spread > 1e-12, spread)).alias("rho"))
+    mean = by.agg(F.avg("rho").alias("mean_rho"), F.count("rho").alias("pairs"))
+    return mean.withColumn("verdict", F.when(F.col("mean_rho") > 0.7, "stable").when(F.col("mean_rho") < 0.4, "unstable").otherwise("mixed"))
+
+
+def personality_many(labelled: DataFrame, outcomes: list[str], by: str, **settings) -> DataFrame:
+    """`personality` for several outcomes side by side; n comes from the first."""
+    out = None
+    for y in outcomes:
+        p = personality(labelled, y, by, **settings)
+        cols = [F.col("estimate").alias(f"{y}__est"), F.col("stock_rate").alias(f"{y}__stock"), F.col("global_rate").alias(f"{y}__global")]
+        p = p.select("symbol", "session_date", by, *(["n", "evidence"] if out is None else []), *cols)
+        out = p if out is None else out.join(p.drop(by), ["symbol", "session_date"])
+    return out
+
+
+def card(table: DataFrame, symbol: str, date) -> DataFrame:
+    """The latest row of a series at or before a date."""
+    rest = [c for c in table.columns if c not in ("symbol", "session_date")]
+    x = table.filter((F.col("symbol") == symbol) & (F.col("session_date") <= F.lit(date)))
+    last = x.agg(F.max_by(F.struct("symbol", "session_date", *rest), "session_date").alias("r"))
+    return last.filter("r IS NOT NULL").select("r.*")
+
+
+def derive(df: DataFrame, specs: list[tuple]) -> DataFrame:
+    """Distances in volatility, differences, ratios and slopes; specs whose inputs are missing are skipped.
+
+    ("dist", a, b, atr), ("diff", a, b), ("ratio", a, b), ("slope", a, k).
+    """
+    new = []
+    for kind, *args in specs:
+        names = [a for a in args if isinstance(a, str)]
+        if not set(names) <= set(df.columns):
+            continue
+        if kind == "dist":
+            new.append(w.ratio(F.col(args[0]) - F.col(args[1]), args[2]).alias(f"dist_{args[0]}__{args[1]}"))
+        elif kind == "diff":
+            new.append((F.col(args[0]) - F.col(args[1])).alias(f"diff_{args[0]}__{args[1]}"))
+        elif kind == "ratio":
+            new.append(w.ratio(args[0], args[1]).alias(f"ratio_{args[0]}__{args[1]}"))
+        elif kind == "slope":
+            new.append(((F.col(args[0]) - w.lag(args[0], args[1])) / args[1]).alias(f"slope{args[1]}_{args[0]}"))
+    return df.select("*", *new)
+
+
+def stratified(df: DataFrame, cap: int) -> DataFrame:
+    """An even spread of at most `cap` rows in the order of (session_date, symbol): rows floor(i n / cap).
+
+    Positions come from per-session counts, so the only unpartitioned window runs over sessions.
+    """
+    by = df.groupBy("session_date").agg(F.count("*").alias("_c"))
+    by = by.select("session_date", F.coalesce(F.sum("_c").over(Window.orderBy("session_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    x = df.join(F.broadcast(by), "session_date").withColumn("_pos", F.col("_before") + F.row_number().over(Window.partitionBy("session_date").orderBy("symbol")) - 1)
+    first = F.floor((F.col("_pos") * cap + F.col("_all") - 1) / F.col("_all"))  # smallest i with floor(i n / cap) >= pos
+    keep = (F.col("_all") <= cap) | ((first < cap) & (F.floor(first * F.col("_all") / cap) == F.col("_pos")))
+    return x.filter(keep).drop("_before", "_all", "_pos")
+
+
+def evidence_features(states: DataFrame, columns: list[str], outcome: str, every: int = 5, k: int = 100) -> DataFrame:
+    """Per symbol, on every fifth session: what its nearest earlier states, of others and of its own, led to."""
+    q = states.filter(F.col("session_pos") % every == 0)
+    cross = outcome_summary(nearest(states, q, columns, k=k, scope="cross", outcome=outcome), outcome)
+    own = outcome_summary(nearest(states, q, columns, k=max(5, k // 4), scope="self", outcome=outcome), outcome)
+    name = lambda df, p: df.select(F.col("q_symbol").alias("symbol"), F.col("q_date").alias("session_date"), *[F.col(c).alias(f"{p}_{c}") for c in df.columns if not c.startswith("q_")])
+    x = name(cross, "cross").join(name(own, "self"), ["symbol", "session_date"], "left")
+    up = F.col("cross_share_up")
+    return x.select("*", (F.col("self_mean") - F.col("cross_mean")).alias("gap_mean"), (4 * up * (1 - up)).alias("dispersion"), (F.signum("self_mean") == F.signum("cross_mean")).cast("int").alias("agreement"))

@@ -153,3 +153,21 @@ def _contract(spark, sf_dir):
 
 
 __all__ = ["rounded_sql", "w"]
+
+
+@query("validate_panel", f"WITH p AS (SELECT symbol, session_date, close, CASE WHEN day(session_date) = 1 THEN 2 ELSE 1 END AS y FROM ({sql.BARS_NATION})) SELECT count(*) AS rows, count(*) FILTER (symbol IS NULL) AS null_symbols, count(*) FILTER (session_date IS NULL) AS null_sessions, count(*) FILTER (y NOT IN (0, 1)) AS bad_y, (count(*) - count(DISTINCT (symbol, session_date)))::BIGINT AS repeated_keys FROM p", dates=())
+def _validate(spark, sf_dir):
+    p = nation_days(spark, sf_dir).withColumn("y", F.when(F.dayofmonth("session_date") == 1, 2).otherwise(1))
+    return panel.validate_panel(p, ["close"], ["y"])
+
+
+@query("strided_sessions", f"WITH b AS ({sql.BARS_NATION}), s AS (SELECT session_date, row_number() OVER (ORDER BY session_date) - 1 AS pos FROM (SELECT DISTINCT session_date FROM b)) SELECT b.symbol, b.session_date FROM b JOIN s USING (session_date) WHERE pos % greatest(1, (SELECT count(*) FROM b) // 4000) = 0")
+def _strided(spark, sf_dir):
+    return panel.strided_sessions(nation_days(spark, sf_dir).select("symbol", "session_date"), 4000)
+
+
+@query("finalised_flags", f"{sql.layered(sql.BARS_BRAND, ['D_vol_surge_20', '_nr'])} SELECT symbol, session_date, D_vol_surge_20, coalesce(CASE WHEN _nr THEN 1 ELSE 0 END, 0) AS narrow FROM x")
+def _finalised(spark, sf_dir):
+    x = FEATURES.with_columns(brand_weeks(spark, sf_dir), ["D_vol_surge_20", "_nr"]).select("symbol", "session_date", "D_vol_surge_20", F.col("_nr").alias("narrow"))
+    out = panel.finalise(x, ["D_vol_surge_20", "narrow"])
+    return out.select("symbol", "session_date", F.col("D_vol_surge_20").cast("int").alias("D_vol_surge_20"), F.col("narrow").cast("int").alias("narrow"))

@@ -175,3 +175,23 @@ def _coverage(spark, sf_dir):
 
 
 __all__ = ["Window"]
+
+
+_KEY = "regexp_replace(regexp_replace(upper(trim({x})), '(\\-EQ|\\-BE|\\-BZ|\\-SM|\\-ST|\\.NS|\\.BO)$', ''), '[^A-Z0-9]', '', 'g')"
+
+
+@query("resolve_symbols", f"""WITH m AS (SELECT {_KEY.format(x='p_name')} AS key, p_partkey, CASE WHEN p_size < 10 AND p_type LIKE 'S%' THEN 2 WHEN p_type LIKE 'S%' THEN 1 ELSE 0 END AS s FROM part),
+b AS (SELECT key, arg_max(p_partkey, row(s, -p_partkey)) AS t FROM m GROUP BY 1), w AS (SELECT DISTINCT p_name || '-EQ' AS symbol FROM part UNION SELECT 'NOBODY')
+SELECT symbol, CASE WHEN symbol = 'NOBODY' THEN 7 ELSE t END AS instrument_token FROM w LEFT JOIN b ON key = {_KEY.format(x='symbol')}""", dates=())
+def _resolve(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    kind = F.when(F.col("p_type").startswith("S"), "NSE").otherwise("X")
+    master = p.select(F.col("p_name").alias("tradingsymbol"), F.col("p_partkey").alias("instrument_token"), kind.alias("exchange"), F.when(F.col("p_size") < 10, "EQ").otherwise("FUT").alias("segment"))
+    wanted = p.select(F.concat("p_name", F.lit("-EQ")).alias("symbol")).union(spark.createDataFrame([("NOBODY",)], "symbol string"))
+    return ingest.resolve_symbols(wanted, master, spark.createDataFrame([("NOBODY", 7)], "symbol string, instrument_token long"))
+
+
+@query("completed_session", "SELECT o_orderkey, CASE WHEN o_orderdate + INTERVAL 12 HOUR >= date_trunc('day', o_orderdate) + INTERVAL 15 HOUR + INTERVAL 45 MINUTE THEN o_orderdate::DATE ELSE o_orderdate::DATE - 1 END AS day FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)", dates=("day",))
+def _completed(spark, sf_dir):
+    first = table(spark, sf_dir, "orders").orderBy("o_orderkey", "o_orderdate").select("o_orderkey", F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 12 HOURS"), "yyyy-MM-dd HH:mm:ss").alias("t")).first()
+    return spark.createDataFrame([(first.o_orderkey,)], "o_orderkey long").withColumn("day", ingest.completed_session(first.t, "15:30"))

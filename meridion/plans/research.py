@@ -197,3 +197,42 @@ def _tournament(spark, sf_dir):
     roles = fit_calibration(x, folds(x, n=2))
     rows = x.filter("y IS NOT NULL").select("symbol", "session_date", "y", *names).join(F.broadcast(roles), "session_date").na.drop(subset=names)
     return models.tournament(rows, names, ["logistic", "boosting"])
+
+
+@query("derived_features", f"{sql.layered(sql.BARS_BRAND, ['D_sma20', 'D_sma50', 'D_atr14'])} SELECT symbol, session_date, round((close - D_sma20) / nullif(D_atr14, 0), 5) + 0.0 AS dist_close__D_sma20, round(D_sma20 - D_sma50, 6) + 0.0 AS diff_D_sma20__D_sma50, round(D_sma20 / nullif(D_sma50, 0), 6) AS ratio_D_sma20__D_sma50, round((D_sma20 - lag(D_sma20, 5) OVER ({_V})) / 5, 6) + 0.0 AS slope5_D_sma20 FROM x")
+def _derived(spark, sf_dir):
+    x = FEATURES.with_columns(brand_weeks(spark, sf_dir), ["D_sma20", "D_sma50", "D_atr14"]).select("symbol", "session_date", "close", "D_sma20", "D_sma50", "D_atr14")
+    out = research.derive(x, [("dist", "close", "D_sma20", "D_atr14"), ("diff", "D_sma20", "D_sma50"), ("ratio", "D_sma20", "D_sma50"), ("slope", "D_sma20", 5), ("diff", "D_sma20", "D_absent")])
+    return rounded(out.drop("close", "D_sma20", "D_sma50", "D_atr14"), 5, diff_D_sma20__D_sma50=6, slope5_D_sma20=6, ratio_D_sma20__D_sma50=6)
+
+
+@query("stratified_pool", f"WITH r AS (SELECT symbol, session_date, row_number() OVER (ORDER BY session_date, symbol) - 1 AS pos, count(*) OVER () AS n FROM ({sql.BARS_NATION})), k AS (SELECT DISTINCT floor(i * (SELECT any_value(n) FROM r) / 500.0)::BIGINT AS pos FROM range(500) t(i)) SELECT symbol, session_date FROM r SEMI JOIN k USING (pos)")
+def _stratified(spark, sf_dir):
+    return research.stratified(nation_days(spark, sf_dir).select("symbol", "session_date"), 500)
+
+
+@query("personality_many")
+def _many(spark, sf_dir):
+    """Shrunken rates of two outcomes by regime, side by side."""
+    x = base_labels(_regimes_of(spark, sf_dir)).select("symbol", "session_date", "regime", F.col("label_touch").cast("double").alias("touch"), (F.col("label_fwd_ret") > 0).cast("double").alias("up"))
+    return research.personality_many(x, ["touch", "up"], "regime")
+
+
+@query("regime_card", f"{_REGIME} SELECT symbol, session_date, {_REGIME_CASE} AS regime FROM x WHERE symbol = 'Brand#1' AND session_date <= DATE '1998-06-01' ORDER BY session_date DESC LIMIT 1")
+def _card(spark, sf_dir):
+    return research.card(_regimes_of(spark, sf_dir).select("symbol", "session_date", "regime"), "Brand#1", datetime.date(1998, 6, 1))
+
+
+@query("barrier_stability")
+def _stability(spark, sf_dir):
+    """Whether the grid's payoffs rank alike in three blocks of sessions."""
+    return research.barrier_stability(research.episodes(brand_weeks(spark, sf_dir)), least=100)
+
+
+@query("evidence_features")
+def _evidence(spark, sf_dir):
+    """Analogue evidence per symbol on every fortieth session."""
+    x = base_labels(FEATURES.with_columns(brand_weeks(spark, sf_dir), _STATES))
+    pos = x.select("session_date").distinct().select("session_date", (F.row_number().over(Window.orderBy("session_date")) - 1).cast("long").alias("session_pos"))
+    x = x.join(F.broadcast(pos), "session_date").withColumn("outcome", F.col("label_fwd_ret"))
+    return research.evidence_features(x, _STATES, "outcome", every=40, k=20)
