@@ -1,8 +1,6 @@
-import datetime
-
-import numpy as np
 import pytest
 from pyspark.sql import SparkSession
+from scenarios import SCHEMA
 
 
 @pytest.fixture(scope="session")
@@ -16,28 +14,6 @@ def spark():
     return s
 
 
-SCHEMA = "symbol string, session_date date, open double, high double, low double, close double, volume double"
-
-
-def business_days(n, start=datetime.date(2021, 1, 4)):
-    out, d = [], start
-    while len(out) < n:
-        if d.weekday() < 5:
-            out.append(d)
-        d += datetime.timedelta(days=1)
-    return out
-
-
-def series(symbol, n, seed, scale=1.0, start=datetime.date(2021, 1, 4)):
-    r = np.random.default_rng(seed)
-    c = 100 * np.exp(np.cumsum(r.standard_t(4, n) * 0.013))
-    o = c * (1 + r.normal(0, 0.004, n))
-    h = np.maximum(o, c) * (1 + abs(r.normal(0, 0.006, n)))
-    l = np.minimum(o, c) * (1 - abs(r.normal(0, 0.006, n)))
-    v = np.round(r.lognormal(12, 0.5, n))
-    return [(symbol, d, float(a * scale), float(b * scale), float(x * scale), float(y * scale), float(z)) for d, a, b, x, y, z in zip(business_days(n, start), o, h, l, c, v)]
-
-
 @pytest.fixture
 def bars(spark):
     return lambda rows: spark.createDataFrame(rows, SCHEMA)

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import series
+from scenarios import series
 
 from meridion.functions import windows as w
 from meridion.operators import leaks

@@ -1,7 +1,7 @@
 import datetime
 
 import pytest
-from conftest import business_days, series
+from scenarios import business_days, series
 from pyspark.sql import functions as F
 
 from meridion.operators import ingest, panel, quality

@@ -2,7 +2,7 @@ import datetime
 
 import numpy as np
 import pytest
-from conftest import business_days
+from scenarios import business_days
 
 from meridion.operators import research
 from meridion.streaming import bars as streams
