@@ -1,5 +1,6 @@
 import hashlib
 import random
+import uuid
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,7 +33,7 @@ def test_round_trip(spark, monkeypatch):
     html = [big, odd, "short", "x" * 999, "y" * 1000, None, "", "long " * 60_000]
     rows = [(i, r.choice([f"http://h{i % 3}.example.com/p{i % 5}", "http://hot.org/a\r\nb", None]), r.choice(html) if i % 2 else f"own {i} " * 300, "f", 1) for i in range(90)]
     rows += [(None, "http://n.org/", big, "f", 1), (200, "http://z.org", odd, "f", 1), (200, "http://z.org", odd, "f", 1)]
-    path = warc.work_folder(spark) + "/archives-" + str(r.random())
+    path = f"{warc.work_folder(spark)}/meridion/archives-{uuid.uuid4().hex}"
     warc.write_archives(pages(spark, rows), path)
     got = warc.capture_history(spark, path).collect()
     assert len(got) == len(rows)
