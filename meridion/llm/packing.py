@@ -29,7 +29,7 @@ END_ID = 1
 MAX_SOURCES = 100_000
 SHARES = 1 << 20
 #: Distinct words, and parts of words, whose ids a worker remembers.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 #: Marks that may follow the letters of a word; an apostrophe isn't among them.
 _MARKS = b".,;:!?#%$&*|"
 
@@ -61,7 +61,7 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.parts: dict[bytes, list[int]] = {b"": []}
+        self.parts: dict[bytes, bytes] = {b"": b""}
         self.clear()
 
     def clear(self):
@@ -69,9 +69,10 @@ class WordTokenizer:
         self.flat = np.array([END_ID], np.uint32)
         self.start, self.size = np.array([0], np.int32), np.array([1], np.int32)
 
-    def _learn(self, words: list[bytes]) -> list[list[int]]:
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, four bytes an id."""
         if len(self.parts) > CACHED_WORDS:
-            self.parts = {b"": []}
+            self.parts = {b"": b""}
         p, cut, letters, rest = self.parts, [], [], []
         for w in words:
             base = w.rstrip(_MARKS)
@@ -83,24 +84,24 @@ class WordTokenizer:
                 base, marks, plain = w, b"", False
             cut.append((base, marks))
             if base not in p:
-                p[base] = []
+                p[base] = b""
                 (letters if plain else rest).append(base)
             if marks not in p:
-                p[marks] = []
+                p[marks] = b""
                 rest.append(marks)
         for i in range(0, len(letters), 512):
             some = letters[i : i + 512]
-            ids = self.tokenizer.encode(b" ".join(some).decode("utf-8", "replace"), add_special_tokens=False).ids
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist() if len(ids) else []
             if len(stops) != len(some):
                 rest += some
                 continue
-            a = 0
+            raw, a = ids.tobytes(), 0
             for w, b in zip(some, stops):
-                p[w] = ids[a:b]
+                p[w] = raw[a:b]
                 a = b
         got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
-        p.update((w, e.ids) for w, e in zip(rest, got))
+        p.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, got))
         return [p[base] + p[marks] if marks else p[base] for base, marks in cut]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +115,9 @@ class WordTokenizer:
             count.append(len(at))
         if self.index.new:
             got = self._learn(self.index.new)
-            size = np.array([len(g) for g in got], np.int32)
+            size = np.array([len(g) for g in got], np.int32) // 4
             start = np.cumsum(size, dtype=np.int32) - size + len(self.flat)
-            self.flat = np.concatenate([self.flat, np.array([i for g in got for i in g], np.uint32)])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(got), "<u4")])
             self.start, self.size = np.concatenate([self.start, start.astype(np.int32)]), np.concatenate([self.size, size])
             self.index.new = []
         at = np.array(at, np.int32)
@@ -133,11 +134,16 @@ class WordTokenizer:
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
+def tokenizer_of(spec: str) -> WordTokenizer:
+    """Found by name in the worker's own module, so that it outlives the task that made it."""
+    if spec not in _tokenizers:
+        _tokenizers[spec] = WordTokenizer(spec)
+    return _tokenizers[spec]
+
+
 def _tokenise(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if spec.value not in _tokenizers:
-            _tokenizers[spec.value] = WordTokenizer(spec.value)
-        tokenizer, seen = _tokenizers[spec.value], {}
+        tokenizer, seen = tokenizer_of(spec.value), {}
         for b in batches:
             pid, doc, source, text = (b.column(i) for i in range(4))
             ids, n = tokenizer.encode([t or b"" for t in text.cast(pa.binary()).to_pylist()])
@@ -147,7 +153,8 @@ def _tokenise(spec):
             for s, k in zip(source.to_pylist(), n.tolist()):
                 before.append(seen.get(s, 0))
                 seen[s] = before[-1] + k
-            blobs = [raw[e - k : e].astype("<u2" if int(raw.max()) < 1 << 16 else "<u4").tobytes() for e, k in zip(ends, n)]
+            narrow = raw.astype("<u2") if len(raw) and int(raw.max()) < 1 << 16 else raw
+            blobs = [narrow[e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist())]
             yield pa.RecordBatch.from_arrays([pid, doc, source, pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], names=["pid", "doc_id", "source", "before", "n", "ids"])
 
     return run
