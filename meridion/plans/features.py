@@ -14,8 +14,8 @@ from meridion.sources.bars import brand_weeks, event_days, nation_days
 INTEGERS = {"D_inside_day", "D_prev_inside_day", "D_tmr_cpr_vs_today_code", "D_hh", "D_hl", "D_lh", "D_ll", "D_daily_trend", "D_structure_trend_code", "D_nr_length", "D_nr_day", "D_nr_expand", "D_rsi7_gt_rsi14", "D_ema_stack_20_50_100", "D_golden_regime", "D_dow", "D_vol_surge_20", "D_vol_surge_50", "D_days_since_boh_20", "D_days_since_bol_20", "D_days_since_5pct_up", *[f"DOW_{k}" for k in range(7)], *[f"D_{f}_run" for f in ("hh", "hl", "lh", "ll")], *[f"D_breakout_{s}_{k}" for s in ("high", "low") for k in (20, 50)], "Comb_RSIslopePos__ADX_15_25", "Comb_GapUp__CPR_Tmr_Above", "Comb_GapDown__CPR_Tmr_Below", "Comb_ATRlow__EMA20pos", "Comb_ATRhigh__EMA20neg"}
 TEXTS = {"D_cpr_vs_yday", "D_structure_trend", "D_day_type"}
 #: Columns in prices or volumes are compared to fewer decimals than ratios, products of ranks to more.
-COARSE = {"D_rsi14_obv_x": 2, "D_rsi7_obv_x": 2} | dict.fromkeys(["D_obv", "D_obv_slope", "D_dollar_vol", "D_ema20", "D_ema50", "D_ema100", "D_atr14", "D_atr30", "D_macd", "D_macd_signal", "D_macd_hist", "D_macd_hist_rstd10", "D_close_roll_slope_20", "D_close_roll_slope_50", "D_slope_stability", "D_slope_stability_rmean50", "D_slope_stability_rstd10", "D_slope_stability_rstd20", "D_close_roll_slope_20_rstd20", "D_close_roll_slope_20_rstd10", "D_WQ_12", "D_WQ_23", "D_WQ_41"], 2)
-COARSE |= dict.fromkeys(["D_sma5", "D_sma20", "D_sma50", "D_sma200"], 6) | dict.fromkeys(["D_WQ_13", "D_WQ_16", "D_WQ_19", "D_WQ_20", "D_WQ_29", "D_WQ_33", "D_WQ_35", "D_WQ_38", "D_compress_state", "D_mdi14_rrank10", "D_mdi14_rrank20"], 9) | dict.fromkeys(["D_WQ_26", "D_WQ_3", "D_WQ_40", "D_WQ_44", "D_WQ_6"], 7)
+COARSE = {"D_rsi14_obv_x": 2, "D_rsi7_obv_x": 2} | dict.fromkeys(["D_obv", "D_obv_slope", "D_dollar_vol", "D_ema20", "D_ema50", "D_ema100", "D_atr14", "D_atr30", "D_macd", "D_macd_signal", "D_macd_hist", "D_macd_hist_rstd10", "D_slope_stability", "D_slope_stability_rmean50", "D_slope_stability_rstd10", "D_slope_stability_rstd20", "D_close_roll_slope_20_rstd20", "D_close_roll_slope_20_rstd10", "D_WQ_12", "D_WQ_23", "D_WQ_41"], 2)
+COARSE |= dict.fromkeys(["D_close_roll_slope_20", "D_close_roll_slope_50"], 3) | dict.fromkeys(["D_sma5", "D_sma20", "D_sma50", "D_sma200"], 6) | dict.fromkeys(["D_WQ_13", "D_WQ_16", "D_WQ_19", "D_WQ_20", "D_WQ_29", "D_WQ_33", "D_WQ_35", "D_WQ_38", "D_compress_state", "D_mdi14_rrank10", "D_mdi14_rrank20"], 9) | dict.fromkeys(["D_WQ_26", "D_WQ_3", "D_WQ_40", "D_WQ_44", "D_WQ_6"], 7)
 
 FAMILIES = {
     "feat_ema": ["D_ema20", "D_ema50", "D_ema100", "D_ema20_angle_deg", "D_ema_stack_20_50_100"],

@@ -96,7 +96,7 @@ def _exogenous(spark, sf_dir):
     b = nation_days(spark, sf_dir)
     out = panel.exogenous(b.select("session_date").distinct(), b, ["1", "2"])
     out = out.withColumns({c: F.col(c).cast("long") for c in ("1_stale", "2_stale")})
-    return rounded(out, 6).filter("1_close IS NOT NULL OR 2_close IS NOT NULL")
+    return rounded(out, 6)
 
 
 _FACTS = "(SELECT symbol, session_date, close AS fact FROM b0 WHERE day(session_date) <= 7)"

@@ -150,7 +150,7 @@ def _ic(spark, sf_dir):
     return rounded(research.rank_ic(x, ["D_range_pct", "D_body_ratio"], "label_fwd_ret"))
 
 
-@query("feature_correlations", f"{sql.layered(sql.BARS_BRAND, _AUDIT)} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count({a} + {b}) AS n, round(corr({a}, {b}), 6) + 0.0 AS r FROM x" for i, a in enumerate(_AUDIT) for b in _AUDIT[i + 1 :]), dates=())
+@query("feature_correlations", f"{sql.layered(sql.BARS_BRAND, _AUDIT)} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count({a} + {b}) AS n, round(corr({a}, {b}), 6) + 0.0 AS r FROM x HAVING count({a} + {b}) >= 200" for i, a in enumerate(_AUDIT) for b in _AUDIT[i + 1 :]), dates=())
 def _correlations(spark, sf_dir):
     return rounded(research.correlations(FEATURES.with_columns(brand_weeks(spark, sf_dir), _AUDIT), _AUDIT))
 
