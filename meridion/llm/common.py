@@ -90,3 +90,10 @@ def prefix_sums(df: DataFrame, group: list[str], key: str, value: str, rows: int
     return a.join(b, same).select(
         *[F.col(f"a.{c}") for c in df.columns if c != "_range"], (F.col("a._in") + F.col("b._base")).alias(out)
     )
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the work tables of finished queries; to be called once their results are written."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{work_folder(spark)}/meridion")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

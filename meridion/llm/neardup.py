@@ -192,7 +192,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: neighbours above a vertex move to the smallest around it.
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # The minima are written, so that the join can split the tasks of a vertex with many neighbours.
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
         e = materialise(both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # Small star: a vertex and its neighbours below move to the smallest of them.
         low = e.groupBy("a").agg(F.min("b").alias("m"))
@@ -301,7 +302,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     s = join_small(s.filter("n > 0"), others, UID, "left_anti")
 
     nodes = s.select(UID, F.explode("nodes").alias("node"))
-    full = nodes.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1")
+    full = materialise(nodes.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1"), "full")
     met = materialise(nodes.join(full, "node"), "nodes")
     parts = F.ceil(F.col("c") / NODE_ROWS).cast("long")
     rows = met.join(s.select(UID, "sketch"), UID).select("node", F.pmod(F.xxhash64(UID, "node"), parts).alias("salt"), parts.alias("parts"), UID, "sketch")
