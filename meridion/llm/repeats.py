@@ -222,7 +222,9 @@ def remove_repeats(docs: DataFrame, u: Units, index: Callable) -> DataFrame:
     placed = join_small(a, same, ["sha", "n"], "left").withColumn("first", F.coalesce("first", UID)).withColumn("copy", F.coalesce(F.col("rank") > F.col("top"), F.lit(False)))
     placed = materialise(placed.select(UID, "doc_id", "rank", "n", "sha", "first", "copy", F.when(F.col("first") == F.col(UID), F.col("prints")).alias("prints")), "placed")
     p = placed.filter("prints IS NOT NULL").select(UID, F.explode("prints").alias("anchor"))
-    shared = p.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+    # What is counted is written before it is joined with what it was counted from: the join then has its
+    # own exchanges, and adaptive execution can split the tasks of a frequent anchor, half or piece.
+    shared = materialise(p.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "shared")
     suspects = materialise(p.join(shared, "anchor").groupBy(UID).agg(F.collect_set("anchor").alias("anchors")), "suspects")
     ids = suspects.select(UID)
     texts = join_small(d, ids, UID, "left_semi").withColumn("rank", doc_order()).select(UID, "rank", "text")
@@ -232,7 +234,7 @@ def remove_repeats(docs: DataFrame, u: Units, index: Callable) -> DataFrame:
     folded = pieces.groupBy("key", "anchor", "piece").agg(F.min(F.struct("rank", "start")).alias("o"), F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("times"))
     folded = materialise(folded.select("key", "anchor", "piece", "o.rank", "o.start", F.array_compact(F.array("left", "right")).alias("halves"), "times"), "folded")
     halves = folded.select("key", "times", F.explode("halves").alias("half"))
-    again = halves.groupBy("half").agg(F.sum("times").alias("times")).filter("times > 1").select("half")
+    again = materialise(halves.groupBy("half").agg(F.sum("times").alias("times")).filter("times > 1").select("half"), "halves")
     alive = halves.select("key", "half").join(again, "half").select("key").distinct()
     folded = materialise(folded.drop("halves", "times").join(alive, "key", "left_semi"), "alive")
     size = F.sum(F.octet_length("piece"))
@@ -257,8 +259,7 @@ def remove_repeats(docs: DataFrame, u: Units, index: Callable) -> DataFrame:
     else:
         found = search(folded, "anchor")
     found = materialise(found, "found").select("key", F.struct("from_", "to", F.col("rank").alias("r"), F.col("start").alias("s")).alias("run"))
-    # As many runs as a piece has windows.  They are written, so that the join below, in which a frequent
-    # piece may hold most rows, needs nothing but its own exchanges and can be split by skew.
+    # As many runs as a piece has windows.
     runs = materialise(found.groupBy("key").agg(F.collect_list("run").alias("runs")), "runs")
     hits = pieces.select(UID, "rank", "start", "key").join(runs, "key").select(UID, "rank", "start", F.explode("runs").alias("run"))
     earlier = F.col("run.r") < F.col("rank")
