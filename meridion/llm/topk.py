@@ -21,8 +21,8 @@ SCALE = 64
 EVERY = 20
 SHARD_ROWS = 65_536
 QUERY_ROWS = 4096
-#: Accumulators that a task holds at a time, and possible members rescored at a time.
-CELLS = 4 << 20
+#: Accumulators that a task holds at a time (they stay in a core's cache), and possible members rescored at a time.
+CELLS = 1 << 18
 PAIRS = 1 << 18
 
 
