@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridion.llm.common import UID, doc_order, join_small, materialise, small_batches, with_uid
+from meridion.llm.common import UID, discard, doc_order, join_small, materialise, small_batches, with_uid
 from meridion.llm.numtext import byte_values, gram_hashes, slabs, span_hashes, utf8, window_minima, word_hashes, words
 
 
@@ -179,28 +179,40 @@ def _indexed(u: Units, index: Callable):
     return run
 
 
+def _joined(lists: pa.ListArray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal spans of each row's runs of windows: (first span of each row, starts, ends)."""
+    n = len(lists)
+    offsets = np.asarray(lists.offsets, np.int64)
+    values = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+    row = np.repeat(np.arange(n), np.diff(offsets)) << 40  # rows apart, so that one sweep serves them all
+    start, end = np.asarray(values.field("a")) + row, np.asarray(values.field("b")) + (reach - 1) + row
+    order = np.argsort(start)
+    start, far = start[order], np.maximum.accumulate(end[order]) if n else end
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > far[:-1]
+    first = np.flatnonzero(new)
+    start, end = start[first], far[np.append(first[1:], len(far)) - 1] if len(first) else far
+    low = (1 << 40) - 1
+    return np.searchsorted(start >> 40, np.arange(n + 1)), start & low, end & low
+
+
 def _removal(u: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            removed, spans, shas = [], [], []
-            for text, runs in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
+            first, start, end = _joined(b.column(2), u.window)
+            shas = []
+            for i, text in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
                 units = (text or b"") if u.name == "bytes" else (text or b"").split()
-                joined: list[list[int]] = []
-                for a, e in sorted((r["a"], r["b"] + u.window - 1) for r in runs):
-                    if joined and a <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], e)
-                    else:
-                        joined.append([a, e])
                 kept, at = [], 0
-                for a, e in joined:
+                for a, e in zip(start[first[i] : first[i + 1]].tolist(), end[first[i] : first[i + 1]].tolist()):
                     kept.append(units[at:a])
                     at = e
                 kept.append(units[at:])
                 left = b"".join(kept) if u.name == "bytes" else b" ".join(w for k in kept for w in k)
-                removed.append(sum(e - a for a, e in joined))
-                spans.append([{"start": a, "end": e} for a, e in joined])
                 shas.append(hashlib.sha256(left).digest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(shas, pa.binary())], names=["of", "removed", "spans", "left"])
+            total = np.concatenate([[0], np.cumsum(end - start)])
+            spans = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], names=["start", "end"]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total[first[1:]] - total[first[:-1]]), spans, pa.array(shas, pa.binary())], names=["of", "removed", "spans", "left"])
 
     return run
 
@@ -210,8 +222,8 @@ def remove_repeats(docs: DataFrame, u: Units, index: Callable) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     d = with_uid(docs).select(F.col(UID), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    a = materialise(d.mapInArrow(_scan(u), f"{UID} long, doc_id long, n long, sha binary, prints array<long>"), "scan")
-    a = a.withColumn("rank", doc_order())
+    scan = materialise(d.mapInArrow(_scan(u), f"{UID} long, doc_id long, n long, sha binary, prints array<long>"), "scan")
+    a = scan.withColumn("rank", doc_order())
     same = a.filter(F.col("n") >= u.window).groupBy("sha", "n").agg(F.min("rank").alias("top"), F.count("*").alias("copies"))
     same = materialise(same.filter("copies > 1").drop("copies"), "same")
     folded = a.filter(F.col("n") >= u.window).select(UID, "rank", "sha", "n")
@@ -219,13 +231,16 @@ def remove_repeats(docs: DataFrame, u: Units, index: Callable) -> DataFrame:
     firsts = folded.filter("rank = top").groupBy("sha", "n").agg(F.min(UID).alias("first"))
     same = materialise(join_small(firsts, same, ["sha", "n"], "inner"), "firsts")
     # A copy stands for its first row; only first rows go on.
-    placed = join_small(a, same, ["sha", "n"], "left").withColumn("first", F.coalesce("first", UID)).withColumn("copy", F.coalesce(F.col("rank") > F.col("top"), F.lit(False)))
-    placed = materialise(placed.select(UID, "doc_id", "rank", "n", "sha", "first", "copy", F.when(F.col("first") == F.col(UID), F.col("prints")).alias("prints")), "placed")
-    p = placed.filter("prints IS NOT NULL").select(UID, F.explode("prints").alias("anchor"))
+    placed = join_small(a.drop("prints"), same, ["sha", "n"], "left").withColumn("first", F.coalesce("first", UID)).withColumn("copy", F.coalesce(F.col("rank") > F.col("top"), F.lit(False)))
+    placed = materialise(placed.select(UID, "doc_id", "rank", "n", "sha", "first", "copy"), "placed")
+    copies = materialise(placed.filter(F.col("first") != F.col(UID)).select(UID), "copies")
+    p = join_small(a.select(UID, "prints"), copies, UID, "left_anti").select(UID, F.explode("prints").alias("anchor"))
     # What is counted is written before it is joined with what it was counted from: the join then has its
     # own exchanges, and adaptive execution can split the tasks of a frequent anchor, half or piece.
     shared = materialise(p.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "shared")
     suspects = materialise(p.join(shared, "anchor").groupBy(UID).agg(F.collect_set("anchor").alias("anchors")), "suspects")
+    discard(scan)
+    discard(shared)
     ids = suspects.select(UID)
     texts = join_small(d, ids, UID, "left_semi").withColumn("rank", doc_order()).select(UID, "rank", "text")
     pieces = texts.join(suspects, UID).select(UID, "rank", "text", "anchors").mapInArrow(_pieces(u), PIECE_DDL)
@@ -236,7 +251,10 @@ def remove_repeats(docs: DataFrame, u: Units, index: Callable) -> DataFrame:
     halves = folded.select("key", "times", F.explode("halves").alias("half"))
     again = materialise(halves.groupBy("half").agg(F.sum("times").alias("times")).filter("times > 1").select("half"), "halves")
     alive = halves.select("key", "half").join(again, "half").select("key").distinct()
-    folded = materialise(folded.drop("halves", "times").join(alive, "key", "left_semi"), "alive")
+    every = folded
+    folded = materialise(every.drop("halves", "times").join(alive, "key", "left_semi"), "alive")
+    discard(every)
+    discard(again)
     size = F.sum(F.octet_length("piece"))
     total = folded.agg(size).first()[0] or 0
     shards = max(16, -(-total // u.shard_bytes))
@@ -267,10 +285,12 @@ def remove_repeats(docs: DataFrame, u: Units, index: Callable) -> DataFrame:
         earlier = earlier | ((F.col("run.r") == F.col("rank")) & (F.col("run.s") < F.col("start") + F.col("run.from_")))
     hits = hits.filter(earlier).groupBy(UID).agg(F.collect_list(F.struct((F.col("start") + F.col("run.from_")).alias("a"), (F.col("start") + F.col("run.to")).alias("b"))).alias("runs"))
     hits = materialise(hits, "hits")
+    discard(pieces)
+    discard(runs)
     hit_texts = join_small(d, hits.select(UID), UID, "left_semi").select(UID, "text").join(hits, UID).select(UID, "text", "runs")
     results = materialise(hit_texts.mapInArrow(_removal(u), "of long, removed long, spans array<struct<start:long,end:long>>, left binary"), "removal")
     # Copies take nothing from the first row's result, so their keys are spread instead of meeting.
-    placed = placed.drop("prints").withColumn("of", F.when(F.col("copy"), -1 - F.col(UID)).otherwise(F.col("first")))
+    placed = placed.withColumn("of", F.when(F.col("copy"), -1 - F.col(UID)).otherwise(F.col("first")))
     out = placed.join(results, "of", "left")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     every = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
