@@ -172,16 +172,38 @@ def outcome_summary(neighbours: DataFrame, outcome: str) -> DataFrame:
     return x.select("q_symbol", "q_date", "n", "mean", "share_up", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), (F.least(F.col("n") / 60, F.lit(1.0)) * tight * (0.5 + 0.5 * agree)).alias("evidence"))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """k nearest vectors by Euclidean distance for a bounded set of queries, each row against a broadcast block.
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096, shard: int = 16384) -> DataFrame:
+    """k nearest vectors by Euclidean distance for any number of queries; rows without an id or a vector drop out.
 
-    The queries' size is checked; each task keeps its k best through a window limit before the shuffle.
+    Blocks of queries meet shards of vectors in tasks of bounded size.  A task finds its k nearest by one matrix
+    product, with a margin for its rounding, and measures those exactly.
     """
-    if queries.count() > 4096:
-        raise ValueError("search in blocks of at most 4096 queries")
-    d = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda acc, x: acc + x))
-    q = F.broadcast(queries.select(F.col("id").alias("q_id"), F.col("v").alias("q")))
-    pairs = vectors.join(q, F.col("id") != F.col("q_id")).select("q_id", "id", d.alias("distance"))
+    shards, blocks = (max(1, -(-df.count() // size)) for df, size in ((vectors, shard), (queries, block)))
+    whole = lambda df, i, x: df.select(F.col("id").alias(i), F.col("v").cast("array<double>").alias(x)).na.drop()
+    dealt = lambda i, n: F.pmod(F.xxhash64(i), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    pool = whole(vectors, "id", "v").withColumn("_shard", dealt("id", shards)).withColumn("_block", every(blocks))
+    asked = whole(queries, "q_id", "q").withColumn("_block", dealt("q_id", blocks)).withColumn("_shard", every(shards))
+    types = dict(vectors.dtypes)["id"], dict(queries.dtypes)["id"]
+
+    def search(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"q_id": q["q_id"].iloc[:0], "id": p["id"].iloc[:0], "distance": np.zeros(0)})]
+        if len(p) and len(q):
+            ids, x, y = p["id"].to_numpy(), np.stack(p["v"].to_list()), np.stack(q["q"].to_list())
+            x2, y2 = (x**2).sum(1), (y**2).sum(1)
+            slack = 1e-9 * (x2.max() + y2.max())
+            for i in range(0, len(q), 256):
+                d2 = y2[i : i + 256, None] + x2 - 2 * y[i : i + 256] @ x.T
+                for j, own in enumerate(q["q_id"].iloc[i : i + 256]):
+                    d2[j, ids == own] = np.inf
+                    n = min(k, len(p)) - 1
+                    near = np.flatnonzero((d2[j] <= np.partition(d2[j], n)[n] + slack) & np.isfinite(d2[j]))
+                    d = np.sqrt(((x[near] - y[i + j]) ** 2).sum(1))
+                    best = np.lexsort((ids[near], d))[:k]
+                    out.append(pd.DataFrame({"q_id": own, "id": ids[near[best]], "distance": d[best]}))
+        return pd.concat(out)
+
+    pairs = pool.groupBy("_shard", "_block").cogroup(asked.groupBy("_shard", "_block")).applyInPandas(search, f"q_id {types[1]}, id {types[0]}, distance double")
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "id"))).filter(F.col("rank") <= k)
 
 

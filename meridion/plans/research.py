@@ -103,6 +103,14 @@ def _knn(spark, sf_dir):
     return rounded(research.knn(v, v.filter("id < 20")))
 
 
+@query("knn_topk_whole", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), d AS (SELECT q.vec_id AS q_id, e.vec_id AS id, list_distance(q.v, e.v) AS distance FROM e q JOIN e ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, id)::INTEGER AS rank FROM d) SELECT q_id, id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 10""", dates=())
+def _knn_whole(spark, sf_dir):
+    """The search contract's whole query set; `knn_topk` stays what its SQL says."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return rounded(research.knn(v, v.filter("id % 20 = 0")))
+
+
 def _analogues(spark, sf_dir, scope: str):
     x = base_labels(FEATURES.with_columns(brand_weeks(spark, sf_dir), _STATES))
     pos = x.select("session_date").distinct().select("session_date", (F.row_number().over(Window.orderBy("session_date")) - 1).cast("long").alias("session_pos"))

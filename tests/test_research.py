@@ -95,3 +95,17 @@ def test_stream_upserts_and_late_corrections(spark, tmp_path):
     streams.upsert(one.filter("close = 2").withColumn("close", F.lit(5.0)), path)
     n, table = streams.latest(spark, path)
     assert n == 2 and sorted(r.close for r in table.collect()) == [1.0, 5.0]
+
+
+def test_knn_takes_any_number_of_queries(spark):
+    x = np.random.default_rng(5).normal(size=(4300, 3)).astype(np.float32)
+    x[7] = x[8] = x[9]
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "id long, v array<float>")
+    got = {}
+    for r in research.knn(v, v, k=3, block=1000, shard=1500).orderBy("rank").collect():
+        got.setdefault(r.q_id, []).append(r.id)
+    x = x.astype(np.float64)
+    for i in range(len(x)):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        assert got[i] == np.lexsort((np.arange(len(x)), d))[:3].tolist()
