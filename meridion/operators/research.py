@@ -117,47 +117,94 @@ def decluster(order: np.ndarray, symbols: np.ndarray, positions: np.ndarray, apa
     return out
 
 
-def nearest(states: DataFrame, queries: DataFrame, columns: list[str], k: int = 100, lag: int = 5, apart: int = 5, scope: str = "cross", outcome: str | None = None, shards: int = 16) -> DataFrame:
-    """The k nearest earlier states of each query, at least `apart` sessions apart within a symbol.
+def nearest(states: DataFrame, queries: DataFrame, columns: list[str], k: int = 100, lag: int = 5, apart: int = 5, scope: str = "cross", outcome: str | None = None, shards: int = 16, edges: DataFrame | None = None, percentile: float | None = None, least: int = 1, cover: int = 0) -> DataFrame:
+    """The k nearest earlier states of each query, at least `apart` sessions apart within a symbol (0: all).
 
     A state counts if it is `lag` sessions older than the query; `scope` is cross (other symbols) or self.
+    With `edges` (`quantile_edges`) a query and its pool are placed on the edges of the latest epoch at the
+    query's date; queries before any epoch drop out.  With `percentile` only neighbours within that percentile
+    of the query's distances to its whole pool are kept, after the nearest `5 k` were declustered.  Queries with
+    fewer than `least` states in their pool, or on a session with fewer than `cover` earlier states of any symbol,
+    have no neighbours.
+
     Queries meet the pool shard by shard in blocks; a shard returns enough candidates for any
-    declustering that keeps k (k times the sessions within `apart`), and those are thinned once more.
+    declustering that keeps k (k times the sessions within `apart`), or for the percentile, and those are
+    thinned once more.  Edges are one small array an epoch.
     """
-    keep = k * (2 * apart - 1)
     extra = [outcome] if outcome else []
-    pool = states.select("symbol", "session_pos", "session_date", *columns, *extra).na.drop(subset=columns).withColumn("_shard", F.pmod(F.xxhash64("symbol", "session_pos"), F.lit(shards)))
+    plain = states.select("symbol", "session_pos", "session_date", *columns, *extra).na.drop(subset=columns)
+    total = plain.count() if percentile is not None else 0
+    #: Order statistics below and above the percentile of a pool of n.
+    below = lambda n: (n - 1) * (percentile or 0) / 100
+    keep = min(5 * k, int(below(total)) + 2) if percentile is not None else k * max(1, 2 * apart - 1)
+    table = sorted((r.epoch, np.array([r[x] for x in columns])) for r in edges.select("epoch", *columns).collect()) if edges is not None else []
+    starts = [e for e, _ in table]
+    pool = plain.withColumn("_shard", F.pmod(F.xxhash64("symbol", "session_pos"), F.lit(shards)))
     q = queries.select(F.col("symbol").alias("q_symbol"), F.col("session_pos").alias("q_pos"), F.col("session_date").alias("q_date"), *[F.col(x).alias(f"q_{x}") for x in columns]).na.drop()
+    q = q.filter(F.col("q_date") >= F.lit(starts[0]) if starts else F.lit(edges is None))
+    if cover:
+        by = plain.groupBy("session_pos").agg(F.count("*").alias("_c"))
+        days = q.select("q_pos").distinct().join(F.broadcast(by), F.col("session_pos") <= F.col("q_pos") - lag).groupBy("q_pos").agg(F.sum("_c").alias("_c")).filter(F.col("_c") >= cover)
+        q = q.join(F.broadcast(days.select("q_pos")), "q_pos")
     q = q.withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     fields = "q_symbol string, q_date date, symbol string, session_pos long, session_date date, distance double" + (f", {outcome} double" if outcome else "")
 
+    def placed(x: np.ndarray, epoch: int) -> np.ndarray:
+        if epoch < 0:
+            return x.astype(np.float32)
+        e = table[epoch][1]
+        return np.stack([np.clip(np.searchsorted(e[j], x[:, j], side="left") / (len(e[j]) - 1), 0, 1) for j in range(len(e))], 1).astype(np.float32)
+
     def search(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = []
-        x = p[columns].to_numpy(np.float32)
-        for i in range(0, len(q), step := max(1, (8 << 20) // max(1, len(p)))):
-            part = q.iloc[i : i + step]
-            y = part[[f"q_{c}" for c in columns]].to_numpy(np.float32)
-            d = np.sqrt(np.clip((y**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * y @ x.T, 0, None)).astype(np.float64)
-            older = p["session_pos"].to_numpy()[None, :] <= part["q_pos"].to_numpy()[:, None] - lag
-            own = p["symbol"].to_numpy()[None, :] == part["q_symbol"].to_numpy()[:, None]
-            d[~(older & (own if scope == "self" else ~own))] = np.inf
-            for j in range(len(part)):
-                best = np.lexsort((p["session_pos"], p["symbol"], d[j]))[:keep]
-                best = best[np.isfinite(d[j][best])]
-                rows = p.iloc[best][["symbol", "session_pos", "session_date", *extra]].copy()
-                rows.insert(0, "q_date", part["q_date"].iloc[j])
-                rows.insert(0, "q_symbol", part["q_symbol"].iloc[j])
-                rows.insert(5, "distance", d[j][best])
-                out.append(rows)
-        names = [f.split()[0] for f in fields.split(", ")]
-        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
-
-    found = pool.groupBy("_shard").cogroup(q.groupBy("_shard")).applyInPandas(search, fields)
+        p = p.sort_values(["symbol", "session_pos"], ignore_index=True)  # a stable sort by distance then breaks ties
+        raw, asked = p[columns].to_numpy(np.float64), q[[f"q_{c}" for c in columns]].to_numpy(np.float64)
+        symbols, sessions = p["symbol"].to_numpy(), p["session_pos"].to_numpy()
+        epochs = np.searchsorted(np.array(starts, "datetime64[D]"), q["q_date"].to_numpy().astype("datetime64[D]"), side="right") - 1 if starts else np.full(len(q), -1)
+        for epoch in np.unique(epochs):
+            x, mine = placed(raw, epoch), np.flatnonzero(epochs == epoch)
+            for i in range(0, len(mine), step := max(1, (8 << 20) // max(1, len(p)))):
+                at = mine[i : i + step]
+                part = q.iloc[at]
+                y = placed(asked[at], epoch)
+                d = np.zeros((len(y), len(x)), np.float32)
+                for c in range(len(columns)):  # by differences, so that equal distances are equal in every shard
+                    d += (y[:, c, None] - x[None, :, c]) ** 2
+                d = np.sqrt(d).astype(np.float64)
+                older = sessions[None, :] <= part["q_pos"].to_numpy()[:, None] - lag
+                own = symbols[None, :] == part["q_symbol"].to_numpy()[:, None]
+                d[~(older & (own if scope == "self" else ~own))] = np.inf
+                for j, (symbol, day) in enumerate(zip(part["q_symbol"], part["q_date"])):
+                    n = int(np.isfinite(d[j]).sum())
+                    best = np.argsort(d[j], kind="stable")[:n]
+                    if percentile is not None and n > keep:
+                        best = best[: np.searchsorted(d[j][best], d[j][best[keep - 1]], side="right")][: 5 * k]  # with ties
+                    best = best if percentile is not None else best[:keep]
+                    out.append((symbol, day, n, best, d[j][best]))
+        sizes = [len(b) for *_, b, _ in out]
+        best = np.concatenate([b for *_, b, _ in out]) if out else np.zeros(0, int)
+        rows = p.iloc[best][["symbol", "session_pos", "session_date", *extra]].reset_index(drop=True)
+        rows["distance"] = np.concatenate([d for *_, d in out]) if out else np.zeros(0)
+        for name, i in (("q_symbol", 0), ("q_date", 1), ("_pool", 2)):
+            rows[name] = np.repeat(np.array([o[i] for o in out], object), sizes)
+        rows["_pool"], rows["_part"] = rows["_pool"].astype("int64"), int(p["_shard"].iloc[0]) if len(p) else 0
+        return rows[names]
+
+    names = [f.split()[0] for f in fields.split(", ")] + ["_pool", "_part"]
+    found = pool.groupBy("_shard").cogroup(q.groupBy("_shard")).applyInPandas(search, fields + ", _pool long, _part long")
 
     def thin(g: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((g["session_pos"], g["symbol"], g["distance"]))
-        at = decluster(order, g["symbol"].to_numpy(), g["session_pos"].to_numpy(), apart, k)
-        out = g.iloc[at].copy()
+        g = g.iloc[np.lexsort((g["session_pos"], g["symbol"], g["distance"]))]
+        n = int(g.drop_duplicates("_part")["_pool"].sum())
+        if percentile is not None:
+            d = g["distance"].to_numpy()
+            lo = int(below(n))
+            if lo + 1 < min(5 * k, len(d)):
+                cut = d[lo] + (below(n) - lo) * (d[lo + 1] - d[lo])
+                g = g[d <= cut]
+            g = g.iloc[: 5 * k]
+        at = decluster(np.arange(len(g)), g["symbol"].to_numpy(), g["session_pos"].to_numpy(), apart, k) if n >= least else []
+        out = g.iloc[at].drop(columns=["_pool", "_part"])
         out["rank"] = range(1, len(out) + 1)
         return out
 
@@ -372,11 +419,15 @@ def stratified(df: DataFrame, cap: int) -> DataFrame:
     return x.filter(keep).drop("_before", "_all", "_pos")
 
 
-def evidence_features(states: DataFrame, columns: list[str], outcome: str, every: int = 5, k: int = 100) -> DataFrame:
-    """Per symbol, on every fifth session: what its nearest earlier states, of others and of its own, led to."""
+def evidence_features(states: DataFrame, columns: list[str], outcome: str, every: int = 5, k: int = 100, edges: DataFrame | None = None, own_least: int = 60, cover: int = 500) -> DataFrame:
+    """Per symbol, on every fifth session: what its nearest earlier states, of others and of its own, led to.
+
+    Those of others are the k nearest, its own are declustered; a session needs `cover` earlier states of any
+    symbol, and a symbol `own_least` of its own for the second block.
+    """
     q = states.filter(F.col("session_pos") % every == 0)
-    cross = outcome_summary(nearest(states, q, columns, k=k, scope="cross", outcome=outcome), outcome)
-    own = outcome_summary(nearest(states, q, columns, k=max(5, k // 4), scope="self", outcome=outcome), outcome)
+    cross = outcome_summary(nearest(states, q, columns, k=k, apart=0, scope="cross", outcome=outcome, edges=edges, cover=cover), outcome)
+    own = outcome_summary(nearest(states, q, columns, k=max(5, k // 4), scope="self", outcome=outcome, edges=edges, least=own_least, cover=cover), outcome)
     name = lambda df, p: df.select(F.col("q_symbol").alias("symbol"), F.col("q_date").alias("session_date"), *[F.col(c).alias(f"{p}_{c}") for c in df.columns if not c.startswith("q_")])
     x = name(cross, "cross").join(name(own, "self"), ["symbol", "session_date"], "left")
     up = F.col("cross_share_up")

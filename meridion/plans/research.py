@@ -111,13 +111,20 @@ def _knn_whole(spark, sf_dir):
     return rounded(research.knn(v, v.filter("id % 20 = 0")))
 
 
-def _analogues(spark, sf_dir, scope: str):
+def _states(spark, sf_dir):
+    """States with outcomes and session numbers, and the edges of each calendar year."""
     x = base_labels(FEATURES.with_columns(brand_weeks(spark, sf_dir), _STATES))
     pos = x.select("session_date").distinct().select("session_date", (F.row_number().over(Window.orderBy("session_date")) - 1).cast("long").alias("session_pos"))
     x = x.join(F.broadcast(pos), "session_date").withColumn("outcome", F.col("label_fwd_ret"))
-    last = x.agg(F.max("session_pos")).first()[0]
-    q = x.filter(F.col("session_pos") % 40 == last % 40)
-    return research.nearest(x, q, _STATES, k=20, scope=scope, outcome="outcome")
+    first, last = x.agg(F.min("session_date"), F.max("session_date")).first()
+    years = [datetime.date(y, 1, 1) for y in range(first.year + 1, last.year + 1)] if first else []
+    complete = x.na.drop(subset=_STATES)
+    return x, research.quantile_edges(complete, _STATES, years or [datetime.date(9999, 1, 1)])
+
+
+def _analogues(spark, sf_dir, scope: str):
+    x, edges = _states(spark, sf_dir)
+    return research.nearest(x, x, _STATES, k=200, scope=scope, outcome="outcome", edges=edges, percentile=1.0, least=20)
 
 
 @query("analogues_cross")
@@ -239,8 +246,6 @@ def _stability(spark, sf_dir):
 
 @query("evidence_features")
 def _evidence(spark, sf_dir):
-    """Analogue evidence per symbol on every fortieth session."""
-    x = base_labels(FEATURES.with_columns(brand_weeks(spark, sf_dir), _STATES))
-    pos = x.select("session_date").distinct().select("session_date", (F.row_number().over(Window.orderBy("session_date")) - 1).cast("long").alias("session_pos"))
-    x = x.join(F.broadcast(pos), "session_date").withColumn("outcome", F.col("label_fwd_ret"))
-    return research.evidence_features(x, _STATES, "outcome", every=40, k=20)
+    """Analogue evidence per symbol on every fifth session."""
+    x, edges = _states(spark, sf_dir)
+    return research.evidence_features(x, _STATES, "outcome", edges=edges)

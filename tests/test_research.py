@@ -109,3 +109,45 @@ def test_knn_takes_any_number_of_queries(spark):
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
         d[i] = np.inf
         assert got[i] == np.lexsort((np.arange(len(x)), d))[:3].tolist()
+
+
+@pytest.mark.parametrize("scope", ["self", "cross"])
+def test_analogues_on_the_edges_of_the_query(spark, scope):
+    df, rows = states(spark)
+    columns, k = ["a", "b", "c"], 10
+    days = sorted({r[1] for r in rows})
+    edges = research.quantile_edges(df, columns, [days[120], days[200]], steps=20, least=10)
+    table = {e.epoch: [np.array(e[c]) for c in columns] for e in edges.collect()}
+    q = df.filter("session_pos in (100, 150, 250) and symbol in ('S0', 'S3')")
+    got = {}
+    for r in research.nearest(df, q, columns, k=k, scope=scope, shards=3, edges=edges, percentile=5.0, least=20).orderBy("rank").collect():
+        got.setdefault((r.q_symbol, r.q_date), []).append((r.symbol, r.session_pos))
+    place = lambda v, e: np.array([np.searchsorted(e[j], v[j]) / 20 for j in range(3)], np.float32).clip(0, 1)
+    for r in rows:
+        if r[2] not in (100, 150, 250) or r[0] not in ("S0", "S3"):
+            continue
+        if r[2] == 100:
+            assert (r[0], r[1]) not in got  # before any epoch
+            continue
+        e = table[max(x for x in table if x <= r[1])]
+        pool = [p for p in rows if p[2] <= r[2] - 5 and ((p[0] == r[0]) == (scope == "self"))]
+        y = place(r[3:6], e)
+        x = np.stack([place(p[3:6], e) for p in pool])
+        d = np.sqrt(sum((x[:, j] - y[j]) ** 2 for j in range(3))).astype(float)
+        order = sorted(range(len(pool)), key=lambda i: (d[i], pool[i][0], pool[i][2]))[: 5 * k]
+        taken = []
+        for i in order:
+            if all(pool[j][0] != pool[i][0] or abs(pool[j][2] - pool[i][2]) >= 5 for j in taken):
+                taken.append(i)
+        cut = np.percentile(d, 5.0)
+        expect = {(pool[i][0], pool[i][2]) for i in taken[:k] if d[i] <= cut}
+        assert set(got[(r[0], r[1])]) == expect
+
+
+def test_evidence_of_every_fifth_session(spark):
+    df, rows = states(spark)
+    days = sorted({r[1] for r in rows})
+    edges = research.quantile_edges(df, ["a", "b", "c"], [days[120]], steps=20, least=10)
+    got = research.evidence_features(df, ["a", "b", "c"], "y", edges=edges).collect()
+    assert {r.session_date for r in got} == set(days[120::5]) and len(got) == 8 * 28
+    assert all(r.cross_n == 100 for r in got) and max(r.self_n for r in got) > 5
