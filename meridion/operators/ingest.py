@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridion.functions import windows as w
@@ -109,9 +109,9 @@ def coverage(bars: DataFrame) -> DataFrame:
     return s.join(F.broadcast(top)).select("symbol", "rows", "first", "last", F.datediff("newest", "last").alias("days_behind"))
 
 
-def completed_session(now: str, session_end: str, grace_minutes: int = 15):
-    """Today once the session has closed and the grace has passed, otherwise yesterday."""
-    at = F.to_timestamp(F.lit(now))
+def completed_session(now: str | Column, session_end: str, grace_minutes: int = 15) -> Column:
+    """Today once the session has closed and the grace has passed, otherwise yesterday; of a text or of a column."""
+    at = F.to_timestamp(F.lit(now) if isinstance(now, str) else now)
     close = F.to_timestamp(F.concat(F.date_format(at, "yyyy-MM-dd"), F.lit(f" {session_end}:00"))) + F.expr(f"INTERVAL {grace_minutes} MINUTES")
     return F.when(at >= close, F.to_date(at)).otherwise(F.date_sub(F.to_date(at), 1))
 

@@ -36,6 +36,14 @@ def _union(spark, sf_dir):
     return a.unionByName(b, allowMissingColumns=True)
 
 
+@query("union_all_whole", "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, NULL::VARCHAR AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL FROM supplier", dates=())
+def _union_whole(spark, sf_dir):
+    """Every customer and every supplier; `union_all` stays what its SQL says."""
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.lit(None).cast("string").alias("segment"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 @query("dedupe_keep_last", "SELECT user_id::VARCHAR AS symbol, ts::DATE AS session_date, arg_max(value, row(ts, event_id)) AS close FROM events GROUP BY 1, 2")
 def _dedupe(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("symbol"), F.to_date("ts").alias("session_date"), F.col("value").alias("close"), F.struct("ts", "event_id").alias("ingested_at"))

@@ -195,3 +195,10 @@ def _resolve(spark, sf_dir):
 def _completed(spark, sf_dir):
     first = table(spark, sf_dir, "orders").orderBy("o_orderkey", "o_orderdate").select("o_orderkey", F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 12 HOURS"), "yyyy-MM-dd HH:mm:ss").alias("t")).first()
     return spark.createDataFrame([(first.o_orderkey,)], "o_orderkey long").withColumn("day", ingest.completed_session(first.t, "15:30"))
+
+
+@query("completed_sessions", "SELECT o_orderkey, CASE WHEN t >= date_trunc('day', t) + INTERVAL 15 HOUR + INTERVAL 45 MINUTE THEN t::DATE ELSE t::DATE - 1 END AS day FROM (SELECT o_orderkey, o_orderdate + o_orderkey % 24 * INTERVAL 1 HOUR AS t FROM orders)", dates=("day",))
+def _completed_all(spark, sf_dir):
+    """Of every order, at an hour by its key, so that both answers occur."""
+    at = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", ingest.completed_session(at, "15:30").alias("day"))

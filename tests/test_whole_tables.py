@@ -1,0 +1,24 @@
+"""Queries that run over whole tables, not over a few keys."""
+
+import os
+
+import pytest
+
+from meridion.operators import ingest
+from meridion.plans import catalog
+from pyspark.sql import functions as F
+
+DATA = "/root/testdata/sf0.001"
+tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+
+
+@tables
+def test_union_of_all_customers_and_suppliers(spark):
+    count = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet").count()
+    assert catalog.queries()["union_all_whole"](spark, DATA).count() == count("customer") + count("supplier")
+
+
+def test_completed_session_of_a_column(spark):
+    t = spark.createDataFrame([("2024-03-05 15:44:59",), ("2024-03-05 15:45:00",), ("2024-03-01 00:00:00",), (None,)], "t string")
+    got = [str(r.day) for r in t.select(ingest.completed_session(F.to_timestamp("t"), "15:30").alias("day")).collect()]
+    assert got == ["2024-03-04", "2024-03-05", "2024-02-29", "None"]
