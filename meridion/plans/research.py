@@ -209,9 +209,9 @@ def _tournament(spark, sf_dir):
     """Logistic, forest and boosted models, fold by fold, with isotonic calibration (no SQL can fit them)."""
     names = ["D_range_pct", "D_gap_pct", "D_body_ratio"]
     x = base_labels(FEATURES.with_columns(brand_weeks(spark, sf_dir), names)).withColumn("y", F.col("label_touch").cast("double"))
-    roles = fit_calibration(x, folds(x, n=2))
+    roles = fit_calibration(x, folds(x))
     rows = x.filter("y IS NOT NULL").select("symbol", "session_date", "y", *names).join(F.broadcast(roles), "session_date").na.drop(subset=names)
-    return models.tournament(rows, names, ["logistic", "boosting"])
+    return models.tournament(rows, names, list(models.FAMILIES))
 
 
 @query("derived_features", f"{sql.layered(sql.BARS_BRAND, ['D_sma20', 'D_sma50', 'D_atr14'])} SELECT symbol, session_date, round((close - D_sma20) / nullif(D_atr14, 0), 5) + 0.0 AS dist_close__D_sma20, round(D_sma20 - D_sma50, 6) + 0.0 AS diff_D_sma20__D_sma50, round(D_sma20 / nullif(D_sma50, 0), 6) AS ratio_D_sma20__D_sma50, round((D_sma20 - lag(D_sma20, 5) OVER ({_V})) / 5, 6) + 0.0 AS slope5_D_sma20 FROM x")
