@@ -225,7 +225,7 @@ KINDS = (
     Kind("card", _BEFORE + r"(?<![0-9][.,])[0-9]{4}(?:[ -]?[0-9]){9,15}" + _AFTER, _card),
     Kind("ssn", _BEFORE + r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-)" + _AFTER, _ssn),
     Kind("ip", _BEFORE + r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])" + _AFTER, _address),
-    Kind("date", _BEFORE + r"(?<![0-9][-/.])(?:[0-9]{4}(?P<mark>-)[0-9]{2}-[0-9]{2}|[0-9]{2}(?P<mark2>[/.])[0-9]{2}(?P=mark2)[0-9]{4})(?![-/.]?[0-9A-Za-z])", _date),
+    Kind("date", _BEFORE + r"(?<![0-9][-/.])(?:[0-9]{4}(?P<mark>-)[0-9]{2}-[0-9]{2}|[0-9]{2}(?P<mark2>[/.])[0-9]{2}(?P=mark2)[0-9]{4})(?:(?=T[0-9]{2}(?![0-9A-Za-z]))|(?![-/.]?[0-9A-Za-z]))", _date),
     Kind("phone", r"(?<![0-9A-Za-z+])(?P<country>)(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}" + _AFTER, _phone),
 )
 _COMPILED = [(k.name, re.compile(k.pattern.replace("(?P<mark2>", "(?P<second>").replace("(?P=mark2)", "(?P=second)")), k.change) for k in KINDS]
@@ -241,14 +241,50 @@ class _Marked:
         return (self.m["mark"] or self.m["second"]) if key == "mark" else self.m[key]
 
 
+#: Where a rejected match may end earlier, or a later try may start: at the borders of its groups.
+_BORDER = re.compile(r"(?<=[0-9A-Za-z])(?![0-9A-Za-z])")
+_START = re.compile(r"(?<![0-9A-Za-z])(?=[0-9A-Za-z+(])")
+_RETRIED = {"iban", "card", "phone"}
+
+
+def _tries(name: str, pattern: re.Pattern, change: Callable, text: str, key: bytes, step: int) -> Iterator[tuple[re.Match, str]]:
+    """Valid matches: of one start the longest; a rejected match gives way to shorter ends, then to later starts within it.
+
+    The way back must reject the same tries, so a pseudonym that makes one of them valid is walked past.
+    """
+    at, rejected = 0, []
+    while m := pattern.search(text, at):
+        whole = m
+        new = change(key, _Marked(m) if name == "date" else m, step)
+        if new is None and name in _RETRIED:
+            rejected.append(m.span())
+            for e in reversed([b.end() for b in _BORDER.finditer(text, m.start() + 1, m.end()) if b.end() < m.end()]):
+                shorter = pattern.fullmatch(text, m.start(), e)
+                if shorter and (new := change(key, shorter, step)) is not None:
+                    m = shorter
+                    break
+                rejected += [shorter.span()] if shorter else []
+        if new is not None:
+            a, e = m.span()
+            while near := [r for r in rejected if r[1] > a]:
+                moved = text[:a] + new + text[e:]
+                if all(not (x := pattern.fullmatch(moved, *r)) or change(key, x, step) is None for r in near):
+                    break
+                new = change(key, pattern.fullmatch(moved, a, e), step)
+            yield m, new
+            at, rejected = e, []
+        elif name in _RETRIED and (later := _START.search(text, whole.start() + 1)) and later.start() < whole.end():
+            at = later.start()
+        else:
+            at, rejected = whole.end(), []
+
+
 def pseudonymise(text: str, key: bytes, step: int = 1) -> tuple[str, list[tuple[str, int, int]]]:
     """(text with pseudonyms, their (kind, start, end) in it); step -1 goes back from pseudonyms to values."""
     found = []
     for rank, (name, pattern, change) in enumerate(_COMPILED):
-        for m in pattern.finditer(text):
-            new = change(key, _Marked(m) if name == "date" else m, step)
-            if new is not None:
-                found.append((m.start(), rank, m.end(), name, new))
+        for m, new in _tries(name, pattern, change, text, key, step):
+            found.append((m.start(), rank, m.end(), name, new))
     out, spans, at, shift = [], [], 0, 0
     for a, _, e, name, new in sorted(found):
         if a < at:

@@ -79,3 +79,28 @@ def test_documents(spark, docs):
     by = {g.doc_id: g for g in got}
     assert by[2].text is None and by[4].text == "clean text" and by[5].n_replaced == 1 and by[5].spans[0].kind == "ip"
     assert p.replace(docs([]), KEY).collect() == []
+
+
+@pytest.mark.parametrize("text,value,kind", [
+    ("card 4111 1111 1111 1111 123", "4111 1111 1111 1111", "card"),
+    ("4111111111111111 12", "4111111111111111", "card"),
+    ("12345 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+    ("1234 4111 1111 1111 1111 99", "4111 1111 1111 1111", "card"),
+    ("BE68 5390 0754 7034 EUR", "BE68 5390 0754 7034", "iban"),
+    ("2024-03-05T10:00:00Z", "2024-03-05", "date"),
+])
+def test_values_that_run_on(text, value, kind):
+    out, spans = p.pseudonymise(text, KEY)
+    assert value not in out and kind in [s[0] for s in spans]
+    a, b = text.split(value)
+    assert out.startswith(a) and out.endswith(b)
+    assert p.pseudonymise(out, KEY, -1)[0] == text
+
+
+def test_values_that_run_on_go_back():
+    for i in range(300):
+        d = f"{4000_0000_0000_000 + i * 7919}"
+        d += p.luhn(d)
+        text = f"{1000 + i} {d[:4]} {d[4:8]} {d[8:12]} {d[12:]} {i:03}"
+        out, _ = p.pseudonymise(text, KEY)
+        assert out != text and p.pseudonymise(out, KEY, -1)[0] == text
