@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 #: Rows of two longs that may be broadcast; beyond this a shuffled join is used.
 BROADCAST_ROWS = 300_000
-#: Rows in an Arrow batch sent to Python: bounds a worker's memory for long texts.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch sent to Python: bound a worker's memory for long texts.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 UID = "_row_uid"
 
 
@@ -21,14 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Made where a local session names no shared folder.
+_local: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
     """The cluster's shared folder.  Only where the session names none (local tests) is one made."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="meridion-")
-        spark.conf.set("spark.checkpoint.dir", place)
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="meridion-")
+        place = _local[app]
     return place.rstrip("/")
 
 
@@ -50,13 +56,55 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python a few at a time."""
+    """Whole texts go to Python a few at a time: a batch ends at so many rows or bytes, whichever comes first."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+#: Nodes that leave the rows of a file scan where they are.
+_SCANS = {"LogicalRelation", "Project", "Filter", "SubqueryAlias"}
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """A DataFrame whose rows come in the same order in the same partitions each time they are computed.
+
+    Row ids count rows, so joining on them is sound only then.  Scans of files are so; anything else (a shuffle may
+    deliver its rows in another order after an executor is lost) is written once.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    todo, scan = [plan], bool(plan.deterministic())
+    while todo:
+        node = todo.pop()
+        scan = scan and node.nodeName() in _SCANS
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return df if scan else materialise(plain(df), "input").toDF(*df.columns)
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Columns by position (c0, c1, ...), so that no name of the input can clash with an operator's own."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns by position, and a row id; `df` must be stable."""
+    return plain(df).withColumn(UID, F.monotonically_increasing_id())
+
+
+def fields(df: DataFrame, **types: str) -> DataFrame:
+    """The row id and the named columns alone, cast; of columns whose names differ in case the exact name counts."""
+    at = {n: df.columns.index(n) for n in types}
+    return numbered(df).select(UID, *[F.col(f"c{at[n]}").cast(t).alias(n) for n, t in types.items()])
+
+
+def whole_rows(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """Rows by position in the columns of `df` again."""
+    return rows.select(*[F.col(f"c{i}") for i in range(len(df.columns))]).toDF(*df.columns)
 
 
-def with_uid(df: DataFrame) -> DataFrame:
-    """A row id that tells repeated rows apart; stable for rows that are read from files."""
-    return df.withColumn(UID, F.monotonically_increasing_id())
+def rows_without(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of a stable `df`, in its own columns, whose id isn't in `gone`."""
+    return whole_rows(join_small(numbered(df), gone, UID, "left_anti"), df)
 
 
 def doc_order(col: str = "doc_id") -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridion.llm.common import UID, join_small, materialise, table, with_uid
+from meridion.llm.common import UID, fields, join_small, materialise, rows_without, stable, table
 
 #: Rows whose fingerprints one sender codes together; bounds a block whatever the size of a partition.
 BLOCK_ROWS = 32_768
@@ -58,13 +58,18 @@ def _blocks(owners: int):
             uid, fp = np.concatenate(held_uid), np.concatenate(held_fp)
             order = np.argsort(fp, kind="stable")
             uid, fp = uid[order], fp[order]
-            owner = (fp // np.uint64(width)).astype(np.int64)
+            # Equal fingerprints of a block are sent once, with a mark: an owner gets no more for a text than blocks.
+            first = np.flatnonzero(np.diff(fp, prepend=fp[0] ^ np.uint64(1)) != 0)
+            times = np.diff(np.append(first, len(fp)))
+            one = fp[first]
+            owner = (one // np.uint64(width)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(owner, prepend=-1))
             rows = []
-            for a, b in zip(cuts, [*cuts[1:], len(fp)]):
-                k, coded = golomb_encode(fp[a:b] - np.uint64(int(owner[a]) * width))
-                rows.append((int(owner[a]), int(uid[a:b].min()), k, int(b - a), coded, uid[a:b].astype("<i8").tobytes()))
-            return pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["owner", "block", "k", "n", "coded", "uids"]), schema=BLOCK, preserve_index=False)
+            for a, b in zip(cuts, [*cuts[1:], len(one)]):
+                k, coded = golomb_encode(one[a:b] - np.uint64(int(owner[a]) * width))
+                mine = uid[first[a] : first[b] if b < len(first) else len(uid)]
+                rows.append((int(owner[a]), int(mine.min()), k, int(b - a), coded, np.packbits(times[a:b] > 1).tobytes(), times[a:b].astype("<u4").tobytes(), mine.astype("<i8").tobytes()))
+            return pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=BLOCK.names), schema=BLOCK, preserve_index=False)
 
         for b in batches:
             uid = np.asarray(b.column(0))
@@ -82,19 +87,25 @@ def _blocks(owners: int):
     return send
 
 
-BLOCK = pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("k", pa.int32()), ("n", pa.int32()), ("coded", pa.binary()), ("uids", pa.binary())])
-BLOCK_DDL = "owner long, block long, k int, n int, coded binary, uids binary"
+BLOCK = pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("k", pa.int32()), ("n", pa.int32()), ("coded", pa.binary()), ("again", pa.binary()), ("times", pa.binary()), ("uids", pa.binary())])
+BLOCK_DDL = "owner long, block long, k int, n int, coded binary, again binary, times binary, uids binary"
+
+
+def _bits(packed: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8))[:n].astype(bool)
 
 
 def _own(pdf: pd.DataFrame) -> pd.DataFrame:
-    """An owner decodes its blocks and answers each with a bitmap of the values that occur elsewhere or twice."""
+    """An owner decodes its blocks and answers each with a bitmap of the values that occur twice in it or in another."""
     parts = [golomb_decode(int(k), int(n), c) for k, n, c in zip(pdf["k"], pdf["n"], pdf["coded"])]
+    again = [_bits(a, int(n)) for a, n in zip(pdf["again"], pdf["n"])]
     every = np.sort(np.concatenate(parts))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
     out = []
-    for owner, block, p in zip(pdf["owner"], pdf["block"], parts):
-        at = np.searchsorted(twice, p)
-        hit = (at < len(twice)) & (twice[np.minimum(at, max(0, len(twice) - 1))] == p) if len(twice) else np.zeros(len(p), bool)
+    for owner, block, p, hit in zip(pdf["owner"], pdf["block"], parts, again):
+        if len(twice):
+            at = np.searchsorted(twice, p)
+            hit = hit | ((at < len(twice)) & (twice[np.minimum(at, len(twice) - 1)] == p))
         if hit.any():
             out.append((owner, block, np.packbits(hit).tobytes()))
     return pd.DataFrame(out, columns=["owner", "block", "bitmap"])
@@ -103,9 +114,9 @@ def _own(pdf: pd.DataFrame) -> pd.DataFrame:
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [np.empty(0, np.int64)]
-        for uids, bitmap in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            u = np.frombuffer(uids, "<i8")
-            got.append(u[np.unpackbits(np.frombuffer(bitmap, np.uint8))[: len(u)].astype(bool)])
+        for uids, times, bitmap in zip(*(b.column(i).to_pylist() for i in range(3))):
+            t = np.frombuffer(times, "<u4")
+            got.append(np.frombuffer(uids, "<i8")[np.repeat(_bits(bitmap, len(t)), t)])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got))], names=[UID])
 
 
@@ -113,8 +124,8 @@ def duplicate_uids(prints: DataFrame, rows: int) -> DataFrame:
     """Uids of the rows of (uid, fp) whose fingerprint occurs more than once."""
     owners = max(16, -(-rows // 250_000))
     blocks = materialise(prints.select(UID, "fp").mapInArrow(_blocks(owners), BLOCK_DDL), "golomb")
-    answers = blocks.select("owner", "block", "k", "n", "coded").groupBy("owner").applyInPandas(_own, "owner long, block long, bitmap binary")
-    return blocks.select("owner", "block", "uids").join(answers, ["owner", "block"]).select("uids", "bitmap").mapInArrow(_suspects, f"{UID} long")
+    answers = blocks.select("owner", "block", "k", "n", "coded", "again").groupBy("owner").applyInPandas(_own, "owner long, block long, bitmap binary")
+    return blocks.select("owner", "block", "times", "uids").join(answers, ["owner", "block"]).select("uids", "times", "bitmap").mapInArrow(_suspects, f"{UID} long")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -124,7 +135,7 @@ def groups(docs: DataFrame) -> DataFrame:
     the largest doc_id stays (null ids are smallest; of rows with that same id, the first one read).
     Repeated rows are members like any other.  An empty table gives no rows.  Other columns are ignored.
     """
-    d = with_uid(docs).select(F.col(UID), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    d = fields(stable(docs), doc_id="long", text="string").select(UID, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sha = F.sha2(F.col("text").cast("binary"), 256)
     f = materialise(d.select(UID, "doc_id", F.unhex(sha).alias("sha"), F.xxhash64("text").alias("fp")), "prints")
     suspects = materialise(duplicate_uids(f, f.count()), "suspects")
@@ -149,8 +160,8 @@ def dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows that stay, in the columns of the input."""
-    gone = materialise(groups(docs).filter("not kept").select(UID), "dropped")
-    return join_small(with_uid(docs), gone, UID, "left_anti").select(*[F.col(c) for c in docs.columns])
+    docs = stable(docs)
+    return rows_without(docs, materialise(groups(docs).filter("not kept").select(UID), "dropped"))
 
 
 ORACLE = """

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meridion.llm.common import UID, join_small, materialise, prefix_sums, table, with_uid
+from meridion.llm.common import UID, fields, join_small, materialise, numbered, prefix_sums, stable, table, whole_rows
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -49,10 +49,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     order, so at most one document of a source is cut within.  Null text has size 0, null is a source of
     its own, an empty table gives no rows; other columns are ignored.
     """
-    d = with_uid(docs).select(
-        F.col(UID), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        n_words(F.col("text")).alias("size"),
-    )
+    d = fields(stable(docs), doc_id="long", source="string", text="string").select(UID, "doc_id", "source", n_words(F.col("text")).alias("size"))
     d = d.withColumn("key", F.concat(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lpad(F.hex(UID), 16, "0")))
     d = materialise(d, "sizes")  # texts are counted once
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -78,17 +75,21 @@ def mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, in the columns of documents: a row for every epoch, and a last one cut after its words.
 
+    Columns of any names pass through.
     A text that is cut (one of a source at most) keeps its first `part` words, joined by single spaces.
     """
-    m = mix(docs).filter("taken > 0").select(UID, F.col("size").alias("_size"), F.col("epochs").alias("_epochs"), F.col("part").alias("_part"))
-    d = with_uid(docs).join(m, UID)
-    copies = F.concat(F.array_repeat(F.col("_size"), F.col("_epochs").cast("int")), F.when(F.col("_part") > 0, F.array(F.col("_part"))).otherwise(F.array().cast("array<bigint>")))
-    d = d.withColumn("_take", F.explode(copies))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_take").cast("int")), " ")
-    d = d.withColumn("text", F.when(F.col("_take") < F.col("_size"), head).otherwise(F.col("text")))
+    docs = stable(docs)
+    m = mix(docs).filter("taken > 0").select(UID, "size", "epochs", "part")
+    text = f"c{docs.columns.index('text')}"
+    d = numbered(docs).withColumn(text, F.col(text).cast("string")).join(m, UID)
+    copies = F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")))
+    d = d.withColumn("take", F.explode(copies))
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("take").cast("int")), " ")
+    d = d.withColumn(text, F.when(F.col("take") < F.col("size"), head).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(*[F.col(c) for c in docs.columns])
+        i = docs.columns.index("n_chars")
+        d = d.withColumn(f"c{i}", F.length(text).cast(docs.schema[i].dataType))
+    return whole_rows(d, docs)
 
 
 ORACLE = r"""

@@ -1,10 +1,12 @@
 """N-gram Jaccard join (operator 2): a MinHash LSH forest, then exact verification.
 
-Each tree orders documents by a sequence of minima; documents under one node of its prefix trie are
-candidates.  Prefixes are shortened from the full depth until the forest's recall at the threshold
-reaches the target.  Within a node, byte sketches of the signatures link documents to a spanning forest
-(no pairs are listed); over the components of those links, every pair's Jaccard similarity is computed
-from the shingles themselves, in blocks, and only counts and a spanning forest of true links leave a task.
+Each tree labels a document with DEPTH minima of a byte each, and its sorted labels are a prefix trie: documents under
+one node are candidates.  Prefixes are shortened level by level, from the whole label, until the recall at the threshold
+reaches the target.  That recall is measured on the pairs found so far whose sketches say that they are close to the
+threshold: in how many trees do they share a node?  A level only looks at nodes in which subtrees meet.  Within a node
+the signatures link documents to a spanning forest (no pairs are listed); over the components of those links, every
+pair's Jaccard similarity is computed from the shingles themselves, in blocks, and only counts and a spanning forest of
+true links leave a task.
 """
 
 from __future__ import annotations
@@ -17,30 +19,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridion.llm.common import UID, doc_order, join_small, materialise, small_batches, table, with_uid
-from meridion.llm.numtext import gram_hashes, mix, slabs, utf8, word_hashes, words
+from meridion.llm.common import UID, doc_order, fields, join_small, materialise, rows_without, small_batches, stable, table
+from meridion.llm.numtext import gram_hashes, mix, slabs, stretches, utf8, word_hashes, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 32
 DEPTH = 8
 RECALL = 0.9999
-#: Bytes of a signature kept as a sketch, and the share of equal ones that links two documents: over five
+#: Minima of each tree that are compared when documents are linked, and the share of equal ones that links two: over five
 #: standard deviations below what a pair at the threshold shows.
-SKETCH = 96
-LINK = 0.58
-#: Documents of a node compared in one task, and shingles of a component in a block.
+SKETCH = 4
+LINK = 0.6
+#: Recall is measured on pairs whose signatures agree by the threshold to so much more, and on so many pairs at least;
+#: on fewer, it is what independent minima give.
+NEAR, MEASURED = 0.06, 100
+#: Documents of a node in a part, and of a component in a block; shingles in a block; bytes cut into shingles at a time.
 NODE_ROWS = 4096
-BLOCK_SHINGLES = 1 << 21
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 21
+STRETCH = 1 << 22
 _CHUNK = 2048
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """Shortens the prefix until a pair at the threshold shares a node in some tree with the target recall."""
-    k = depth
-    while k > 1 and 1 - (1 - threshold**k) ** trees < recall:
-        k -= 1
-    return k
+def share_of_trees(found: float, trees: int = TREES) -> float:
+    """The share of trees that pairs meet in, from the mean number `found` over pairs that met at least once."""
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        p = (low + high) / 2
+        low, high = (p, high) if trees * p / max(1e-300, 1 - (1 - p) ** trees) < found else (low, p)
+    return (low + high) / 2
+
+
+def recall_at(threshold: float, depth: int, trees: int = TREES, pairs: int = 0, found: float = 0.0, similarity: float = 0.0) -> float:
+    """Recall of prefixes of `depth` for pairs at the threshold: measured on `pairs` pairs of a mean `similarity`, which
+    met in `found` trees on average, or for too few pairs what independent minima give."""
+    p = threshold**depth if pairs < MEASURED else share_of_trees(found, trees) * min(1.0, (threshold / similarity) ** depth)
+    return 1 - (1 - p) ** trees
 
 
 _MULTIPLIERS = np.random.default_rng(20240301).integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
@@ -49,6 +63,9 @@ _MULTIPLIERS = np.random.default_rng(20240301).integers(0, 1 << 32, TREES * DEPT
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingles of all rows, sorted within a row; first of each row).  A row of fewer words has
     its whole sequence as its one shingle, a row without words none."""
+    if len(offsets) == 2 and len(data) > STRETCH:
+        got = _long_shingles(data, size)
+        return got, np.array([0, len(got)])
     starts, ends, rows = words(data, offsets)
     h = word_hashes(data, starts, ends)
     grams = gram_hashes(h, size)
@@ -56,7 +73,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     ok = np.arange(len(grams)) + size <= rows[row + 1] if len(grams) else np.empty(0, bool)
     n = np.diff(rows)
     short = np.flatnonzero((n > 0) & (n < size))
-    lone = np.array([int.from_bytes(hashlib.blake2b(h[rows[r] : rows[r + 1]].tobytes(), digest_size=8).digest(), "little") for r in short], np.uint64)
+    lone = np.array([_lone(h[rows[r] : rows[r + 1]]) for r in short], np.uint64)
     row, grams = np.concatenate([row[ok], short]), np.concatenate([grams[ok], lone])
     order = np.lexsort((grams, row))
     row, grams = row[order], grams[order]
@@ -65,34 +82,42 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     return grams[new], np.searchsorted(row[new], np.arange(len(offsets)))
 
 
-def _signatures(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = utf8(b.column(2))
-            size = np.zeros(b.num_rows, np.int64)
-            digests, keys, sketches = [b""] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
-            for i, j in slabs(offsets, 1 << 20):
-                s, first = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                size[i:j] = np.diff(first)
-                some = np.flatnonzero(size[i:j])
-                if not len(some):
-                    continue
-                x = (s >> np.uint64(32)).astype(np.uint32)
-                minima = np.empty((len(some), TREES, k), np.uint32)
-                for t in range(TREES):
-                    for d in range(k):
-                        minima[:, t, d] = np.minimum.reduceat(x * _MULTIPLIERS[t * DEPTH + d], first[some])
-                node = np.broadcast_to(np.arange(TREES, dtype=np.uint64), minima.shape[:2]).copy()
-                for d in range(k):
-                    node = mix(node * np.uint64(0x9E3779B97F4A7C15) + minima[:, :, d].astype(np.uint64))
-                flat = mix(minima.reshape(len(some), -1)[:, :SKETCH].astype(np.uint64)).astype(np.uint8)
-                for r, at in enumerate(some.tolist()):
-                    digests[i + at] = hashlib.blake2b(s[first[at] : first[at + 1]].tobytes(), digest_size=16).digest()
-                    keys[i + at] = node[r].view(np.int64)
-                    sketches[i + at] = flat[r].tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=[UID, "doc_id", "n", "digest", "nodes", "sketch"])
+def _lone(h: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little")
 
-    return run
+
+def _long_shingles(data: np.ndarray, size: int) -> np.ndarray:
+    """The shingles of one long text, cut at white space into stretches that share their outer words."""
+    held, parts = np.empty(0, np.uint64), [np.empty(0, np.uint64)]
+    for i, j in stretches(data, STRETCH):
+        starts, ends, _ = words(data[i:j], np.array([0, j - i]))
+        h = np.concatenate([held, word_hashes(data[i:j], starts, ends)])
+        parts.append(np.unique(gram_hashes(h, size)))
+        held = h[len(h) - min(len(h), size - 1) :]
+    whole = np.unique(np.concatenate(parts))
+    return whole if len(whole) or not len(held) else np.array([_lone(held)], np.uint64)
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        data, offsets = utf8(b.column(2))
+        size = np.zeros(b.num_rows, np.int64)
+        digests, labels = [b""] * b.num_rows, [None] * b.num_rows
+        for i, j in slabs(offsets, 1 << 20):
+            s, first = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            size[i:j] = np.diff(first)
+            some = np.flatnonzero(size[i:j])
+            if not len(some):
+                continue
+            x = (s >> np.uint64(32)).astype(np.uint32)
+            minima = np.empty((len(some), TREES * DEPTH), np.uint32)
+            for d in range(TREES * DEPTH):
+                minima[:, d] = np.minimum.reduceat(x * _MULTIPLIERS[d], first[some])
+            flat = mix(minima.astype(np.uint64)).astype(np.uint8).view(">u8").astype(np.int64)
+            for r, at in enumerate(some.tolist()):
+                digests[i + at] = hashlib.blake2b(s[first[at] : first[at + 1]].tobytes(), digest_size=16).digest()
+                labels[i + at] = flat[r]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), pa.array(digests, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], names=[UID, "doc_id", "n", "digest", "labels"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -142,47 +167,49 @@ def _spanning(n: int, similar) -> np.ndarray:
     return root
 
 
-EDGE_DDL = "a long, b long, node long"
-EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("node", pa.int64())])
+EDGE_DDL = "a long, b long, trees int, equal int"
+EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("trees", pa.int32()), ("equal", pa.int32())])
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, salt, parts, uid, sketch): links within a node; b is null for roots of a node in parts."""
-    enough = int(np.ceil(LINK * SKETCH))
-    for t, first in _groups(batches, 2):
-        uid = np.asarray(t.column(3).combine_chunks())
-        sketch = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(len(uid), SKETCH)
-        size = np.diff(np.append(first, len(uid)))
-        parts, nodes = np.asarray(t.column(2).combine_chunks()), np.asarray(t.column(0).combine_chunks())
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        lone, of = [], []
-        for m in np.unique(size[size <= 6]):
-            if m < 2:
-                continue
-            i, j = np.triu_indices(m, 1)
-            base = first[size == m]
-            for chunk in np.array_split(base, max(1, len(base) * len(i) // 50_000)):
-                x, y = (chunk[:, None] + i).ravel(), (chunk[:, None] + j).ravel()
-                hit = (sketch[x] == sketch[y]).sum(1) >= enough
-                a.append(uid[x[hit]])
-                b.append(uid[y[hit]])
-        for f, m in zip(first[size > 6].tolist(), size[size > 6].tolist()):
-            s = sketch[f : f + m]
-            root = _spanning(m, lambda i, others: (s[others] == s[i]).sum(1) >= enough)
-            child = np.flatnonzero(root != np.arange(m))
-            a.append(uid[f + child])
-            b.append(uid[f + root[child]])
-        for f, m in zip(first[parts[first] > 1].tolist(), size[parts[first] > 1].tolist()):
-            s = sketch[f : f + m]
-            root = np.unique(_spanning(m, lambda i, others: (s[others] == s[i]).sum(1) >= enough))
-            lone.extend(uid[f + root].tolist())
-            of.extend([int(nodes[f])] * len(root))
-        a, b = np.concatenate(a), np.concatenate(b)
-        yield pa.RecordBatch.from_arrays([
-            pa.concat_arrays([pa.array(np.maximum(a, b)), pa.array(lone, pa.int64())]),
-            pa.concat_arrays([pa.array(np.minimum(a, b)), pa.nulls(len(lone), pa.int64())]),
-            pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(of, pa.int64())]),
-        ], schema=EDGE)
+def _link(depth: int):
+    """Rows (tree, node, i, j, label, uid, labels): links within a part of a node, or between two parts.  A link also says in
+    how many trees its ends share a node of this depth, and how many of their minima are equal."""
+    shift = np.uint64(8 * (DEPTH - depth))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, first in _groups(batches, 4):
+            uid = np.asarray(t.column(5).combine_chunks())
+            lists = t.column(6).combine_chunks()
+            lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+            labels = np.asarray(lists.flatten()).astype(">i8").view(np.uint8).reshape(len(uid), TREES, DEPTH)
+            sketch = np.ascontiguousarray(labels[:, :, DEPTH - SKETCH :]).reshape(len(uid), -1)
+            enough = int(np.ceil(LINK * sketch.shape[1]))
+            size = np.diff(np.append(first, len(uid)))
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for m in np.unique(size[size <= 6]):
+                if m < 2:
+                    continue
+                i, j = np.triu_indices(m, 1)
+                base = first[size == m]
+                for chunk in np.array_split(base, max(1, len(base) * len(i) // 50_000)):
+                    x, y = (chunk[:, None] + i).ravel(), (chunk[:, None] + j).ravel()
+                    hit = (sketch[x] == sketch[y]).sum(1) >= enough
+                    a.append(x[hit])
+                    b.append(y[hit])
+            for f, m in zip(first[size > 6].tolist(), size[size > 6].tolist()):
+                s = sketch[f : f + m]
+                root = _spanning(m, lambda i, others: (s[others] == s[i]).sum(1) >= enough)
+                child = np.flatnonzero(root != np.arange(m))
+                a.append(f + child)
+                b.append(f + root[child])
+            a, b = np.concatenate(a), np.concatenate(b)
+            for i in range(0, max(1, len(a)), 50_000):
+                x, y = a[i : i + 50_000], b[i : i + 50_000]
+                equal = labels[x] == labels[y]
+                met = ((labels[x].view(">u8") ^ labels[y].view(">u8")).astype(np.uint64) >> shift == 0).sum((1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(uid[x], uid[y])), pa.array(np.minimum(uid[x], uid[y])), pa.array(met.astype(np.int32)), pa.array(equal.sum((1, 2)).astype(np.int32))], schema=EDGE)
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -273,9 +300,37 @@ def _verify(threshold: float):
     return run
 
 
-def _sorted(df: DataFrame, *by: str) -> DataFrame:
+def _sorted(df: DataFrame, by: list[str], *more: str) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *by).sortWithinPartitions(*by)
+    return df.repartition(n, *by).sortWithinPartitions(*by, *more)
+
+
+def forest(s: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Links (a, b) between the rows (uid, labels) that share a node of some tree, down to the depth of the target recall."""
+    leaves = s.select(UID, F.posexplode("labels").alias("tree", "label"))
+    at = lambda x, depth: F.shiftrightunsigned(x, 8 * (DEPTH - depth))
+    edges = None
+    for depth in range(DEPTH, 0, -1):
+        nodes = leaves.withColumn("node", at("label", depth))
+        full = nodes.groupBy("tree", "node").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("c > 1")
+        if depth < DEPTH:
+            # Nodes with one subtree were looked at a level deeper.
+            full = full.filter(at("low", depth + 1) != at("high", depth + 1))
+        full = materialise(full.select("tree", "node", "c"), "full")
+        met = materialise(nodes.join(full, ["tree", "node"]), "nodes")
+        parts = F.ceil(F.col("c") / NODE_ROWS).cast("long")
+        own, other = F.pmod(F.xxhash64(UID, "tree"), parts), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+        # Every two parts of a large node meet, so no pair of a node is left out.
+        rows = met.withColumn("own", own).withColumn("other", other).join(s.select(UID, "labels"), UID)
+        rows = rows.select("tree", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "label", UID, "labels")
+        linked = materialise(_sorted(rows, ["tree", "node", "i", "j"], "label").mapInArrow(_link(depth), EDGE_DDL), "links")
+        edges = linked.select("a", "b") if edges is None else edges.unionAll(linked.select("a", "b"))
+        equal = TREES * DEPTH
+        near = linked.filter(F.col("equal").between(threshold * equal, min(1.0, threshold + NEAR) * equal)).distinct()
+        got = near.agg(F.count("*").alias("pairs"), F.avg("trees").alias("found"), F.avg(F.col("equal") / equal).alias("similarity")).first()
+        if recall_at(threshold, depth, TREES, got.pairs, got.found or 0.0, got.similarity or 1.0) >= recall:
+            break
+    return edges
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -288,11 +343,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows share a set; a null id is the largest, and the class_id of a class of such rows is null.  An
     empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    k = prefix_length(threshold)
-    d = with_uid(docs).select(F.col(UID), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    s = materialise(d.mapInArrow(_signatures(k), f"{UID} long, doc_id long, n long, digest binary, nodes array<long>, sketch binary"), "signatures")
+    small_batches(docs.sparkSession)
+    d = fields(stable(docs), doc_id="long", text="string")
+    s = materialise(d.mapInArrow(_signatures, f"{UID} long, doc_id long, n long, digest binary, labels array<long>"), "signatures")
     s = s.withColumn("rank", doc_order())
     same = s.filter("n > 0").groupBy("digest", "n").agg(F.min(UID).alias("rep"), F.min("rank").alias("top"), F.count("*").alias("copies"))
     same = materialise(same.filter("copies > 1"), "sets")
@@ -300,29 +353,17 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     placed = materialise(placed.select(UID, "doc_id", "rank", F.coalesce("rep", UID).alias("rep"), F.coalesce("top", "rank").alias("top"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies")), "placed")
     others = placed.filter(F.col("rep") != F.col(UID)).select(UID)
     s = join_small(s.filter("n > 0"), others, UID, "left_anti")
-
-    nodes = s.select(UID, F.explode("nodes").alias("node"))
-    full = materialise(nodes.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1"), "full")
-    met = materialise(nodes.join(full, "node"), "nodes")
-    parts = F.ceil(F.col("c") / NODE_ROWS).cast("long")
-    rows = met.join(s.select(UID, "sketch"), UID).select("node", F.pmod(F.xxhash64(UID, "node"), parts).alias("salt"), parts.alias("parts"), UID, "sketch")
-    linked = materialise(_sorted(rows, "node", "salt").mapInArrow(_link, EDGE_DDL), "links")
-    edges = linked.filter("b IS NOT NULL").select("a", "b")
-    if linked.filter("b IS NULL").limit(1).count():
-        # Nodes that were dealt to several tasks: what is left of each part meets once more.
-        again = linked.filter("b IS NULL").select("node", F.lit(0).cast("long").alias("salt"), F.lit(1).cast("long").alias("parts"), F.col("a").alias(UID))
-        again = again.join(s.select(UID, "sketch"), UID).select("node", "salt", "parts", UID, "sketch")
-        edges = edges.unionAll(_sorted(again, "node", "salt").mapInArrow(_link, EDGE_DDL).select("a", "b"))
+    edges = forest(s, threshold)
     near = components(edges)
     near = materialise(near.join(s.select(F.col(UID).alias("id"), "n"), "id"), "near")
 
-    blocks = near.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("blocks"))
+    blocks = near.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("long").alias("blocks"))
     members = materialise(join_small(near, blocks, "root", "inner").select(F.col("id").alias(UID), "root", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")), "members")
     texts = join_small(d, members.select(UID), UID, "left_semi").select(UID, "text")
     sets = texts.mapInArrow(_sets, SET_DDL).join(members, UID)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     sets = sets.withColumn("other", other).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", UID, "shingles")
-    found = materialise(_sorted(sets, "root", "i", "j").mapInArrow(_verify(threshold), LINK_DDL), "verified")
+    found = materialise(_sorted(sets, ["root", "i", "j"]).mapInArrow(_verify(threshold), LINK_DDL), "verified")
     counts = found.groupBy("id").agg(F.sum("links").alias("links")).filter("links > 0")
     roots = components(found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     result = materialise(counts.join(roots, "id").select(F.col("id").alias("rep"), "links", "root"), "result")
@@ -344,9 +385,9 @@ def join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of each class (the one with the smallest doc_id), in the columns of the input."""
+    docs = stable(docs)
     j = materialise(join(docs).select(UID, "_root", "class_size", doc_order().alias("rank")), "classes")
     many = j.filter("class_size > 1")
     top = many.groupBy("_root").agg(F.min("rank").alias("top"))
     first = many.join(top, "_root").filter("rank = top").groupBy("_root").agg(F.min(UID).alias("first"))
-    gone = materialise(many.join(first, "_root").filter(F.col(UID) != F.col("first")).select(UID), "gone")
-    return join_small(with_uid(docs), gone, UID, "left_anti").select(*[F.col(c) for c in docs.columns])
+    return rows_without(docs, materialise(many.join(first, "_root").filter(F.col(UID) != F.col("first")).select(UID), "gone"))

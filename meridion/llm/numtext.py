@@ -40,6 +40,18 @@ def slabs(offsets: np.ndarray, limit: int = SLAB) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def stretches(data: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about `limit` bytes of one text that end at white space, or after it where a word is longer."""
+    i = 0
+    while i < len(data):
+        j = i + limit
+        while j < len(data) and not len(found := np.flatnonzero(_IS_SEPARATOR[data[j : j + limit]])):
+            j += limit
+        j = len(data) if j >= len(data) else j + int(found[0])
+        yield i, j
+        i = j
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values evenly."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

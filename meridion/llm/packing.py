@@ -1,16 +1,20 @@
 """Mixture-controlled packing (operator 1): deficit round-robin over source queues.
 
-Tokens are served in quanta.  A window (one sequence) is a round: every source earns its share of the
-window's quanta, whole quanta are served, and what is left of a share is carried to the next round, so
-each window holds the target proportions to within a quantum a source, and the running totals too.  The
-served counts are a closed function of the round and the sources' totals (`Schedule`), so every task
-computes the deficits it inherits instead of receiving them from the tasks before it: no task holds a
-queue, and a source may hold any part of the rows.
+Each source is a queue of its documents' tokens.  A round is a window's worth of credit, dealt to the deficit counters
+of the queues that still hold tokens, in their target proportions; a queue sends packets of PACKET tokens while its
+counter covers them, and what it couldn't send stays on the counter for the next round.  The packets of all rounds are
+one stream, and windows are cut from it without gaps, so all of them but the last are full.
+
+What a queue has been credited after a round is a piecewise linear function of the round (its pieces end where a queue
+runs out), and what it has sent are the whole packets of that.  So each task computes the deficits that it inherits from
+the windows and partitions before it, instead of receiving them: no task holds a queue, and a source may hold any part
+of the rows.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,18 +24,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meridion.llm.common import join_small, materialise, small_batches, table
+from meridion.llm.common import fields, join_small, materialise, small_batches, stable, table
 
 WINDOW = 2048
-QUANTUM = 64
+PACKET = 64
 END_ID = 1
-#: Sources whose totals the driver may hold; shares are whole numbers out of SHARES.
-MAX_SOURCES = 100_000
-SHARES = 1 << 20
-#: Distinct words, and parts of words, whose ids a worker remembers.
+#: Target proportions of the query's sources by code point, null last, repeating.
+WEIGHTS = (3, 1, 2)
+#: Queues of their own go to the sources with a given weight and to so many of the largest others; smaller ones share
+#: as many more, by hash.  LEAST is the credit of a queue without weight, as a part of a window.
+QUEUES, LEAST = 2048, 1e-9
+#: Cells of the table of what all queues have sent, computed at a time.
+CELLS = 1 << 20
+#: Distinct words, and parts of words, whose ids a worker remembers; bytes of a text that are cut into words at a time.
 CACHED_WORDS = 600_000
+STRETCH = 1 << 20
 #: Marks that may follow the letters of a word; an apostrophe isn't among them.
 _MARKS = b".,;:!?#%$&*|"
+_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 class _Index(dict):
@@ -47,11 +57,23 @@ class _Index(dict):
         return n
 
 
+def stretches(text: bytes) -> Iterator[tuple[int, int]]:
+    """Ranges of about STRETCH bytes that end at white space."""
+    i = 0
+    while i < len(text):
+        end = _SPACE.search(text, i + STRETCH) if i + STRETCH < len(text) else None
+        j = end.start() if end else len(text)
+        yield i, j
+        i = j
+
+
 class WordTokenizer:
     """Ids of whole texts.  The vocabulary drops white space and case and never joins across white space
     or from letters to marks, so the ids of a text are those of its words in turn, and those of a plain
-    word are the ids of its letters and of the marks after them.  Each distinct part is encoded once;
-    runs of plain letters are encoded together and told apart by the tokens that end a word."""
+    word are the ids of its letters and of the marks after them.  A word is plain if its letters are ASCII, or if
+    the tokenizer's own steps leave them one part and a mark after them another (lower-casing may leave a combining
+    mark, which joins the marks).  Each distinct part is encoded once; runs of plain letters are encoded together
+    and told apart by the tokens that end a word."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,6 +91,13 @@ class WordTokenizer:
         self.flat = np.array([END_ID], np.uint32)
         self.start, self.size = np.array([0], np.int32), np.array([1], np.int32)
 
+    def _plain(self, base: bytes) -> bool:
+        text = base.decode("utf-8", "replace")
+        if not text.isalpha():
+            return False
+        parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text + "!"))
+        return len(parts) == 2 and parts[1][1][1] - parts[1][1][0] == 1
+
     def _learn(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, four bytes an id."""
         if len(self.parts) > CACHED_WORDS:
@@ -78,7 +107,7 @@ class WordTokenizer:
             base = w.rstrip(_MARKS)
             if base.isalpha():  # bytes: ASCII letters only
                 marks, base, plain = w[len(base) :], base.lower(), True
-            elif base and not base.isascii() and base.decode("utf-8", "replace").isalpha():
+            elif base and not base.isascii() and self._plain(base):
                 marks, plain = w[len(base) :], True
             else:
                 base, marks, plain = w, b"", False
@@ -108,11 +137,14 @@ class WordTokenizer:
         """(all ids, ids of each text), the end id after each."""
         if len(self.index) > CACHED_WORDS:
             self.clear()
-        at, count = [], []
+        at, count, held = [], [], 0
         for t in texts:
-            at.extend(map(self.index.__getitem__, t.split()))
-            at.append(0)
-            count.append(len(at))
+            for i, j in stretches(t):
+                at.append(np.fromiter(map(self.index.__getitem__, t[i:j].split()), np.int32))
+                held += len(at[-1])
+            at.append(np.zeros(1, np.int32))
+            held += 1
+            count.append(held)
         if self.index.new:
             got = self._learn(self.index.new)
             size = np.array([len(g) for g in got], np.int32) // 4
@@ -120,7 +152,7 @@ class WordTokenizer:
             self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(got), "<u4")])
             self.start, self.size = np.concatenate([self.start, start.astype(np.int32)]), np.concatenate([self.size, size])
             self.index.new = []
-        at = np.array(at, np.int32)
+        at = np.concatenate(at) if at else np.empty(0, np.int32)
         size = self.size[at]
         after = np.cumsum(size)
         total = int(after[-1]) if len(after) else 0
@@ -161,116 +193,102 @@ def _tokenise(spec):
 
 
 class Schedule:
-    """How many tokens of each source were served before any quantum of the common stream.
+    """The rounds of all queues.  `totals` are their tokens, `weights` their shares of a window.
 
-    Time counts quanta.  In a phase the sources that still have tokens share it: source 1 gets the whole
-    quanta of its share of the time, the next those of its share of what is left, and so on.  That is
-    monotone, sums to the time exactly, and errors of the shares don't add up over time: what a source
-    lacks is less than a quantum for each source before it.  A phase ends when a source is used up; its
-    share then goes to the others in proportion.
+    Time is counted in rounds of a full set of queues: at time v a queue has been credited v times its credit, but no more
+    than it holds.  The sum of that is linear between the times at which queues run out, which turns rounds into times.
+    State is linear in the queues.  Only single operations of IEEE arithmetic are used, so machines agree.
     """
 
-    def __init__(self, totals: list[int], weights: list[float] | None = None, window: int = WINDOW, quantum: int = QUANTUM):
-        self.totals = np.array(totals, np.int64)
-        self.quantum, self.per_window = quantum, window // quantum
-        units = -(-self.totals // quantum)
-        share = np.array(units if weights is None else weights, float)
-        share = np.maximum(1, (share / max(share.sum(), 1e-300) * SHARES).astype(np.int64))
-        if weights is None and units.sum() <= SHARES:
-            share = np.maximum(units, 1)
-        self.length = int(units.sum())
-        self.windows = -(-self.length // self.per_window)
-        self.phases = []
-        at, base, active = 0, np.zeros(len(units), np.int64), units > 0
-        while at < self.length:
-            w = np.where(active, share, 0)
-            self.phases.append((at, base, w))
-            ideal = np.where(active, (units - base) * (w.sum() / np.maximum(w, 1)), np.inf)
-            near = np.argsort(ideal)[:64]
-            near = near[active[near]]
-            low, high = np.zeros(len(near), np.int64), np.full(len(near), self.length - at)
-            while (low < high).any():
-                mid = (low + high) // 2
-                enough = base[near] + self._split(w, mid)[near, np.arange(len(near))] >= units[near]
-                low, high = np.where(enough, low, mid + 1), np.where(enough, mid, high)
-            step = int(low.min())
-            base = base + self._split(w, np.array([step]))[:, 0]
-            at += step
-            active = base < units
-        self.starts = np.array([p[0] for p in self.phases], np.int64)
-
-    @staticmethod
-    def _split(w: np.ndarray, time: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(w), len(time)), np.int64)
-        left, total = time.astype(np.int64), int(w.sum())
-        for k, j in enumerate(np.flatnonzero(w)):
-            # Spread starting credits keep the sources from falling behind together.
-            out[j] = (left * w[j] + int(total * (k * 0.6180339887498949 % 1))) // total
-            left = left - out[j]
-            total -= int(w[j])
+    def __init__(self, totals: list[int], weights: list[float] | None = None, window: int = WINDOW, packet: int = PACKET):
+        self.totals, self.window, self.packet = np.array(totals, np.int64), window, packet
+        share = np.array(totals if weights is None else weights, float)
+        self.credit = np.maximum(share / max(share.sum(), 1e-300), LEAST) * window
+        self.ends = self.totals / self.credit
+        order = np.argsort(self.ends, kind="stable")
+        self.times = np.concatenate([[0.0], self.ends[order]])
+        self.rates = np.concatenate([np.cumsum(self.credit[order][::-1])[::-1], [0.0]])
+        self.credited = np.concatenate([[0.0], np.cumsum(np.diff(self.times) * self.rates[:-1])])
+        self.rounds = -(-int(self.totals.sum()) // window) + 1
+
+    def time(self, rounds: np.ndarray) -> np.ndarray:
+        """When the credit of each round has been dealt."""
+        given = rounds.astype(float) * self.window
+        k = np.searchsorted(self.credited, given, side="right") - 1
+        rate = self.rates[k]
+        v = self.times[k] + (given - self.credited[k]) / np.where(rate > 0, rate, 1.0)
+        v = np.minimum(v, self.times[np.minimum(k + 1, len(self.times) - 1)])
+        return np.where(rounds >= self.rounds, self.times[-1], v)
+
+    def sent(self, rounds: np.ndarray, queue: int | slice = slice(None)) -> np.ndarray:
+        """Tokens that each queue (rows) has sent by the end of each round (columns)."""
+        v, total = self.time(rounds)[None, :], self.totals[queue].reshape(-1, 1)
+        packets = np.floor(v * self.credit[queue].reshape(-1, 1) / self.packet).astype(np.int64)
+        return np.where(v >= self.ends[queue].reshape(-1, 1), total, np.minimum(packets * self.packet, total))
+
+    def deficits(self, rounds: np.ndarray) -> np.ndarray:
+        """Tokens of credit that each queue carries into the next round; 0 for a queue that has run out."""
+        v = self.time(rounds)[None, :]
+        return np.where(v >= self.ends[:, None], 0.0, np.maximum(0.0, v * self.credit[:, None] - self.sent(rounds)))
+
+    def round_of(self, queue: int, token: np.ndarray) -> np.ndarray:
+        """The round, from 1, that sends each token of the queue."""
+        v = np.minimum((token // self.packet + 1) * (self.packet / self.credit[queue]), self.ends[queue])
+        k = np.minimum(np.searchsorted(self.times, v, side="right") - 1, len(self.times) - 1)
+        given = self.credited[k] + (v - self.times[k]) * self.rates[k]
+        out = np.clip(np.ceil(given / self.window).astype(np.int64) - 2, 1, self.rounds)
+        while (late := self.sent(out, queue)[0] <= token).any():
+            out = out + late
         return out
 
-    def served(self, time: np.ndarray) -> np.ndarray:
-        """Tokens of each source (rows) served before each time (columns)."""
-        time = np.minimum(time, self.length)
-        out = np.zeros((len(self.totals), len(time)), np.int64)
-        phase = np.searchsorted(self.starts, time, side="right") - 1
-        for p in np.unique(phase):
-            at = np.flatnonzero(phase == p)
-            start, base, w = self.phases[p]
-            out[:, at] = base[:, None] + self._split(w, time[at] - start)
-        return np.minimum(out * self.quantum, self.totals[:, None])
-
-    def find(self, source: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """The window that serves each (source, token)."""
-        low, high = np.zeros(len(source), np.int64), np.full(len(source), max(0, self.windows - 1))
-        across = np.arange(len(source))
-        while (low < high).any():
-            mid = (low + high) // 2
-            after = self.served((mid + 1) * self.per_window)[source, across] > token
-            low, high = np.where(after, low, mid + 1), np.where(after, mid, high)
-        return low
-
-    def pieces(self, source: int, first: int, last: int, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Cuts the tokens bounds[0]..bounds[-1] of a source, served in windows first..last, at windows
-        and at the inner bounds: (start, end, window, offset) of each piece."""
-        edges = np.arange(first, last + 2, dtype=np.int64) * self.per_window
-        inner = self.starts[(self.starts > edges[0]) & (self.starts < edges[-1])]
-        time = np.union1d(edges, inner)
-        served = self.served(time)
-        window = time[:-1] // self.per_window
-        opened = served[:, np.searchsorted(time, window * self.per_window)]
-        offset = (served[:, :-1] - opened).sum(0) + np.diff(served[:source], axis=1).sum(0)
-        own = served[source]
-        cuts = np.unique(np.concatenate([own[(own > bounds[0]) & (own < bounds[-1])], bounds]))
-        start, end = cuts[:-1], cuts[1:]
-        part = np.searchsorted(own, start, side="right") - 1
-        return start, end, window[part], offset[part] + start - own[part]
+    def places(self, queue: int, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens first..end-1 of a queue in the stream: (first token of each contiguous run, its place)."""
+        packets = np.arange(first // self.packet, (end - 1) // self.packet + 1, dtype=np.int64)
+        rounds = self.round_of(queue, packets * self.packet)
+        new = np.flatnonzero(np.diff(rounds, prepend=-1))
+        rounds, token = rounds[new], np.maximum(packets[new] * self.packet, first)
+        place = np.empty(len(rounds), np.int64)
+        for i in range(0, len(rounds), step := max(1, CELLS // len(self.totals))):
+            r = rounds[i : i + step]
+            before, after = self.sent(r - 1), self.sent(r)
+            place[i : i + step] = before.sum(0) + (after[:queue] - before[:queue]).sum(0) - before[queue]
+        place += token
+        joined = np.zeros(len(token), bool)
+        joined[1:] = place[1:] - place[:-1] == token[1:] - token[:-1]
+        return token[~joined], place[~joined]
+
+    def pieces(self, queue: int, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Cuts the tokens bounds[0]..bounds[-1] of a queue at windows and at the inner bounds:
+        (start, end, window, offset) of each piece."""
+        token, place = self.places(queue, int(bounds[0]), int(bounds[-1]))
+        end = np.append(token[1:], bounds[-1])
+        low, high = place // self.window + 1, (place + end - token - 1) // self.window
+        n = np.maximum(0, high - low + 1)
+        run = np.repeat(np.arange(len(token)), n)
+        edge = low[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        cuts = np.unique(np.concatenate([token, token[run] + edge * self.window - place[run], bounds]))
+        start, stop = cuts[:-1], cuts[1:]
+        run = np.searchsorted(token, start, side="right") - 1
+        at = place[run] + start - token[run]
+        return start, stop, at // self.window, at % self.window
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("source", pa.string()), ("ids", pa.binary())])
 OUT_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary"
 
 
-def _place(names: list, schedule: Schedule, with_ids: bool):
-    number = {s: i for i, s in enumerate(names)}
-
+def _place(schedule: Schedule, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            doc, n, at = b.column(0), np.asarray(b.column(2)), np.asarray(b.column(4))
-            source = np.array([number[s] for s in b.column(1).to_pylist()])
-            order = np.lexsort((at, source))
+            doc, n, at, queue = b.column(0), *(np.asarray(b.column(i)) for i in (2, 4, 5))
+            order = np.lexsort((at, queue))
             blobs = b.column(3)
-            cuts = np.flatnonzero(np.diff(source[order], prepend=-1) | (np.diff(at[order], prepend=-1) != np.concatenate([[0], n[order][:-1]])))
-            runs = [order[i:j] for i, j in zip(cuts, [*cuts[1:], len(order)])]
-            s = np.array([source[r[0]] for r in runs])
-            first = schedule.find(s, np.array([at[r[0]] for r in runs]))
-            last = schedule.find(s, np.array([at[r[-1]] + n[r[-1]] - 1 for r in runs]))
+            cuts = np.flatnonzero(np.diff(queue[order], prepend=-1) | (np.diff(at[order], prepend=-1) != np.concatenate([[0], n[order][:-1]])))
             rows, crc, ids = [], [], []
-            for r, k, f, l in zip(runs, s, first, last):
-                start, end, window, offset = schedule.pieces(int(k), int(f), int(l), np.append(at[r], at[r[-1]] + n[r[-1]]))
+            for r in (order[i:j] for i, j in zip(cuts, [*cuts[1:], len(order)])):
+                start, end, window, offset = schedule.pieces(int(queue[r[0]]), np.append(at[r], at[r[-1]] + n[r[-1]]))
                 of = r[np.searchsorted(at[r], start, side="right") - 1]
                 rows.append(np.stack([of, start - at[of], end - start, window, offset]))
                 held = -1
@@ -297,35 +315,61 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pack(docs: DataFrame, tokenizer_file: str | None = None, weights: dict | None = None, window: int = WINDOW, quantum: int = QUANTUM, with_ids: bool = True) -> DataFrame:
+def cycled(sources: DataFrame, weights: tuple) -> DataFrame:
+    """(source, weight) of (source): the weights in turn, by code point, null last.  The window without a partition
+    holds a row a source."""
+    by_name = Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
+    nth = (F.row_number().over(by_name) - 1) % len(weights) + 1
+    return sources.select("source", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), nth.cast("int")).alias("weight"))
+
+
+def pack(docs: DataFrame, tokenizer_file: str | None = None, weights: dict | tuple | None = None, window: int = WINDOW, packet: int = PACKET, with_ids: bool = True) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids.
 
     Every token of every document (its ids and the end id; just that for null or empty text) lies in one
-    piece.  `weights` maps sources to target proportions (others: 0, they follow when a named one ends);
-    without it the proportions are the corpus's own, so all queues end together.  Null is a source like
-    any other; repeated rows and null ids are packed row by row; an empty table gives no rows; other
-    columns are ignored.  Windows are full but for the last and for at most a quantum a source.
+    piece.  `weights` are the target proportions of a window: a dict by source (others: 0, they follow when the named
+    ones end), or a tuple that is dealt to the sources by code point, null last; without it they are the corpus's own,
+    so all queues end together.  Until a source runs out, each window holds its proportion to within a packet; the
+    others keep theirs to the end.  Null is a source like any other; repeated rows and null ids are packed row by row;
+    an empty table gives no rows; other columns are ignored.  All windows but the last are full.
     """
     spark = docs.sparkSession
     small_batches(spark)
     with open(tokenizer_file or default_tokenizer(), encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    d = docs.select(F.spark_partition_id().alias("pid"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    d = fields(stable(docs), doc_id="long", source="string", text="string").select(F.spark_partition_id().alias("pid"), "doc_id", "source", "text")
     t = materialise(d.mapInArrow(_tokenise(spec), "pid int, doc_id long, source string, before long, n long, ids binary"), "tokens")
-    by_task = t.groupBy("pid", "source").agg(F.sum("n").alias("n"))
-    along = Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    base = materialise(by_task.select("pid", "source", "n", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("base")), "queues")
-    totals = base.groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals.sort(key=lambda r: (r.source is None, r.source or ""))
-    names = [r.source for r in totals]
-    schedule = Schedule([r.n for r in totals], None if weights is None else [float(weights.get(s, 0)) for s in names], window, quantum)
+    by_task = materialise(t.groupBy("pid", "source").agg(F.sum("n").alias("n")), "tasks")
+    sizes = by_task.groupBy("source").agg(F.sum("n").alias("n"))
+    if isinstance(weights, tuple):
+        sizes = sizes.join(cycled(sizes.select("source"), weights).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    elif weights is not None:
+        given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()] or [(None, 0.0)], "s string, weight double")
+        sizes = sizes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    else:
+        sizes = sizes.withColumn("weight", F.col("n").cast("double"))
+    sizes = materialise(sizes, "sources")
+    named = F.col("weight").isNotNull() if isinstance(weights, dict) else F.lit(False)
+    own = sizes.orderBy(named.desc(), F.desc("n"), F.col("source").isNull(), "source").limit(QUEUES + (len(weights) if isinstance(weights, dict) else 0)).collect()
+    own.sort(key=lambda r: (r.source is None, r.source or ""))
+    numbers = spark.createDataFrame([(r.source, i) for i, r in enumerate(own)], "o string, number long")
+    shared = F.lit(len(own)) + F.pmod(F.xxhash64("source"), F.lit(QUEUES))
+    queue = F.coalesce("number", shared)
+    sizes = sizes.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("o")), "left").select("source", "n", "weight", queue.alias("queue"))
+    got = {r.queue: r for r in sizes.groupBy("queue").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).collect()}
+    most = max(got, default=-1) + 1
+    schedule = Schedule([got[q].n if q in got else 0 for q in range(most)], [(got[q].weight or 0.0) if q in got else 0.0 for q in range(most)], window, packet)
+    # Documents of a queue follow one another by task; sources that share a queue, one after another.
+    along = Window.partitionBy("queue").orderBy(F.col("source").isNull(), "source", "pid").rowsBetween(Window.unboundedPreceding, -1)
+    s = sizes.select(F.col("source").alias("s"), "queue")
+    of = by_task.join(F.broadcast(s) if most < QUEUES else s, F.col("source").eqNullSafe(F.col("s")))
+    base = materialise(of.select("pid", "source", "queue", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("base")), "queues")
     a, q = t.alias("a"), base.alias("q")
     placed = join_small(a, q, (F.col("a.pid") == F.col("q.pid")) & F.col("a.source").eqNullSafe(F.col("q.source")), "inner")
-    placed = placed.select("a.doc_id", "a.source", "a.n", "a.ids", (F.col("q.base") + F.col("a.before")).alias("at"))
-    return placed.mapInArrow(_place(names, schedule, with_ids), OUT_DDL)
+    placed = placed.select("a.doc_id", "a.source", "a.n", "a.ids", (F.col("q.base") + F.col("a.before")).alias("at"), "q.queue")
+    return placed.mapInArrow(_place(schedule, with_ids), OUT_DDL)
 
 
 def pack_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), with_ids=False).drop("source", "ids")
+    """All documents; the sources' target proportions are WEIGHTS by code point, null last."""
+    return pack(table(spark, sf_dir, "documents"), weights=WEIGHTS, with_ids=False).drop("source", "ids")

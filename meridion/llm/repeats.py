@@ -28,8 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridion.llm.common import UID, discard, doc_order, join_small, materialise, small_batches, with_uid
-from meridion.llm.numtext import byte_values, gram_hashes, slabs, span_hashes, utf8, window_minima, word_hashes, words
+from meridion.llm.common import UID, discard, doc_order, fields, join_small, materialise, small_batches, stable
+from meridion.llm.numtext import byte_values, gram_hashes, slabs, span_hashes, stretches, utf8, window_minima, word_hashes, words
+
+
+#: Bytes of a text beyond which it is hashed in stretches, and windows of a stretch.
+LONG, STEP = 1 << 21, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -42,12 +46,32 @@ class Units:
     within: bool
     shard_bytes: int
 
-    def cut(self, data: np.ndarray, offsets: np.ndarray):
-        """(values, first unit of each row, byte spans of units or None)."""
+    def parts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
+        """Slabs of rows: (first row, row after the last, bytes, values, first unit of each row, byte spans of units
+        or None, units of the row before these, units that are new).  A long row comes in stretches that overlap by a
+        window less one."""
+        for i, j in slabs(offsets):
+            part, base = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            if len(part) > LONG and j == i + 1:
+                yield from ((i, j, part, *x) for x in self._stretched(part))
+            elif self.name == "bytes":
+                yield i, j, part, byte_values(part), base, None, 0, np.diff(base)
+            else:
+                starts, ends, rows = words(part, base)
+                yield i, j, part, word_hashes(part, starts, ends), rows, (starts, ends), 0, np.diff(rows)
+
+    def _stretched(self, part: np.ndarray) -> Iterator[tuple]:
+        spans = None
         if self.name == "bytes":
-            return byte_values(data), offsets, None
-        starts, ends, rows = words(data, offsets)
-        return word_hashes(data, starts, ends), rows, (starts, ends)
+            n, values = len(part), lambda a, e: byte_values(part[a:e])
+        else:
+            found = [(i, *words(part[i:j], np.array([0, j - i]))[:2]) for i, j in stretches(part, LONG)]
+            hashes = np.concatenate([word_hashes(part[i : i + e[-1]], s, e) for i, s, e in found if len(s)] or [np.empty(0, np.uint64)])
+            spans = tuple(np.concatenate([i + x[k] for i, *x in found]) for k in (0, 1))
+            n, values = len(hashes), lambda a, e: hashes[a:e]
+        for a in range(0, max(1, n - self.window + 1), STEP):
+            e = min(n, a + STEP + self.window - 1)
+            yield values(a, e), np.array([0, e - a]), spans, a, np.array([e - a if not a else max(0, e - a - self.window + 1)])
 
     def whole(self, text: bytes) -> bytes:
         return text if self.name == "bytes" else b" ".join(text.split())
@@ -86,10 +110,14 @@ def _scan(u: Units):
             data, offsets = utf8(text)
             sizes, prints = np.zeros(b.num_rows, np.int64), []
             bounds = np.zeros(b.num_rows + 1, np.int64)
-            for i, j in slabs(offsets):
-                values, rows, _ = u.cut(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                sizes[i:j] = np.diff(rows)
+            found: list[list] = []
+            for i, j, _, values, rows, _, before, new in u.parts(data, offsets):
+                sizes[i:j] += new
                 row, _, _, fp, _ = u.anchors(values, rows)
+                if before:  # a further stretch of the row
+                    row, fp = np.concatenate([found[-1][2], row]), np.concatenate([found.pop()[3], fp])
+                found.append([i, j, row, fp])
+            for i, j, row, fp in found:
                 order = np.lexsort((fp, row))
                 row, fp = row[order], fp[order]
                 nth = np.ones(len(fp), bool)
@@ -115,9 +143,7 @@ def _pieces(u: Units):
         for b in batches:
             data, offsets = utf8(b.column(2))
             wanted = b.column(3)
-            for i, j in slabs(offsets):
-                part, base = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                values, rows, spans = u.cut(part, base)
+            for i, j, part, values, rows, spans, before, _ in u.parts(data, offsets):
                 row, first, last, fp, at = u.anchors(values, rows)
                 keep = np.zeros(len(row), bool)
                 cuts = np.searchsorted(row, np.arange(j - i + 1))
@@ -127,11 +153,12 @@ def _pieces(u: Units):
                 row, first, last, fp, at = row[keep], first[keep], last[keep], fp[keep], at[keep]
                 end = last + u.window - 1
                 left, right = u.halves(values, first, end, at)
-                raw = part.tobytes()
+                first, end = first + before, end + before
+                raw = part if before or len(part) > LONG else part.tobytes()
                 if spans is None:
-                    got = [raw[a:e] for a, e in zip(first.tolist(), end.tolist())]
+                    got = [bytes(raw[a:e]) for a, e in zip(first.tolist(), end.tolist())]
                 else:
-                    got = [b" ".join(raw[a:e].split()) for a, e in zip(spans[0][first].tolist(), spans[1][end - 1].tolist())]
+                    got = [b" ".join(bytes(raw[a:e]).split()) for a, e in zip(spans[0][first].tolist(), spans[1][end - 1].tolist())]
                 keys = [hashlib.blake2b(p, digest_size=16).digest() for p in got]
                 take = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(first - rows[row]), pa.array(fp), pa.array(keys, pa.binary()), pa.array(got, pa.binary()), left, right], schema=PIECE)
@@ -221,7 +248,7 @@ def remove_repeats(docs: DataFrame, u: Units, index: Callable) -> DataFrame:
     """One row a document: row uid, doc_id, n (units), n_removed, spans (start, end in units), kept_sha256."""
     spark = docs.sparkSession
     small_batches(spark)
-    d = with_uid(docs).select(F.col(UID), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = fields(stable(docs), doc_id="long", text="string")
     scan = materialise(d.mapInArrow(_scan(u), f"{UID} long, doc_id long, n long, sha binary, prints array<long>"), "scan")
     a = scan.withColumn("rank", doc_order())
     same = a.filter(F.col("n") >= u.window).groupBy("sha", "n").agg(F.min("rank").alias("top"), F.count("*").alias("copies"))

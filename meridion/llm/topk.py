@@ -1,78 +1,100 @@
 """Exact top-k by inner product (operator 7): impact-ordered, score-at-a-time, rescored exactly.
 
-A shard's postings (dimension, vector) are grouped into segments by their quantised impact, the component
-divided by a step and rounded.  Segments are processed in bands of descending impact; after a band, the
-norms of what is still unprocessed bound every score from both sides (Cauchy-Schwarz).  Processing stops
-once those bounds prove all but a few vectors out; the vectors that may be members are rescored exactly.
+A shard's postings (dimension, vector) are grouped into segments: the vectors whose component in a dimension has
+one quantised impact, the component divided by a step and rounded.  Segments are processed in the order of
+descending impact, each adding one value a query to the accumulators of its vectors.  Between impacts the norms of
+what is still unprocessed bound every score from both sides (Cauchy-Schwarz).  Processing of a query stops once
+those bounds prove all but a few vectors out; the vectors that may be members are rescored exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meridion.llm.common import UID, materialise, table, with_uid
+from meridion.llm.common import UID, fields, materialise, stable, table
 
 K = 20
 SCALE = 64
 EVERY = 20
 SHARD_ROWS = 65_536
 QUERY_ROWS = 4096
-#: Accumulators that a task holds at a time (they stay in a core's cache), and possible members rescored at a time.
-CELLS = 1 << 18
+#: Impacts of the largest component, and accumulators that a task holds at a time (they stay in a core's cache),
+#: and possible members rescored at a time.
+LEVELS = 32
+CELLS = 1 << 20
 PAIRS = 1 << 18
 
 
 class ImpactIndex:
-    """Segments of one shard; `bands` are matrices of the quantised impacts of a range of levels."""
+    """Posting segments of one shard by descending impact, and the norms of what each impact leaves unprocessed."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
+        n, width = vectors.shape
         top = int(np.abs(vectors).max(initial=0))
-        self.step = max(1, top // 16)
-        level = np.rint(vectors / self.step)
+        self.step = max(1, top // LEVELS)
+        level = np.rint(vectors / self.step).astype(np.int64)
         # Products of levels are summed exactly in single precision only below 2**24.
-        self.real = np.float32 if top * top * max(1, vectors.shape[1]) < 1 << 24 else np.float64
-        self.exact = top * top * max(1, vectors.shape[1]) < 1 << 62
-        self.bands, self.rest = [], []
-        left = vectors.astype(np.float64)
-        cuts = [np.inf, 4, 2, 1] if self.step > 1 else [np.inf, top // 4 + 1, top // 8 + 1, 1]
-        for above, least in zip(cuts, cuts[1:]):
-            size = np.abs(level)
-            segment = np.where((size >= least) & (size < above), level * self.step, 0.0)
-            left = left - segment
-            self.bands.append(segment.astype(self.real))
-            self.rest.append(np.sqrt((left**2).sum(1)))
+        self.real = np.float32 if top * top * max(1, width) < 1 << 24 else np.float64
+        self.exact = top * top * max(1, width) < 1 << 62
+        row, dimension = np.nonzero(level)
+        impact = level[row, dimension]
+        order = np.lexsort((row, impact, dimension, -np.abs(impact)))
+        self.row, dimension, impact = row[order].astype(np.int32), dimension[order], impact[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (dimension[1:] != dimension[:-1]) | (impact[1:] != impact[:-1])
+        self.start = np.append(np.flatnonzero(new), len(order))
+        self.dimension, self.impact = dimension[self.start[:-1]], impact[self.start[:-1]]
+        # Bounds are looked at where the impact has halved, and at the end.
+        self.looks, rest = {}, vectors.astype(np.float64)
+        size = np.abs(self.impact)
+        least = int(size.max(initial=1))
+        while True:
+            least = least // 2
+            segments = int(np.searchsorted(-size, -least)) if least else len(size)
+            left = rest - np.where(np.abs(level) > least, level * self.step, 0)
+            self.looks[segments] = np.sqrt((left**2).sum(1))
+            if not least:
+                break
+
+    def segments(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(dimension, quantised impact, rows) by descending impact."""
+        for i, (d, x) in enumerate(zip(self.dimension.tolist(), self.impact.tolist())):
+            yield d, x, self.row[self.start[i] : self.start[i + 1]]
 
     def possible(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, vector) that bounds leave in the running; own[i] is the query's row here or -1."""
-        n, scores = len(self.vectors), np.zeros((len(queries), len(self.vectors)), self.real)
+        n = len(self.vectors)
         norm = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
-        mine = np.flatnonzero(own >= 0)
-        q = queries.astype(self.real)
-        todo = np.arange(len(queries))
-        out = []
-        for last, (band, rest) in enumerate(zip(self.bands, self.rest), 1 - len(self.bands)):
-            if not len(todo):
-                break
-            scores[todo] += q[todo] @ band.T
+        todo, out = np.arange(len(queries)), []
+        q = np.ascontiguousarray(queries.T.astype(self.real)) * self.real(self.step)
+        scores = np.zeros((n, len(queries)), self.real)
+        segments, done, last = self.segments(), 0, len(self.impact)
+        for look, rest in sorted(self.looks.items()):
+            for _ in range(look - done):
+                d, impact, rows = next(segments)
+                scores[rows] += q[d] * self.real(impact)
+            done = look
             # Rounding of the bounds themselves is kept on the safe side.
-            slack = norm[todo, None] * rest[None, :] * (1 + 1e-6) + 1e-3
-            low, high = scores[todo] - slack, scores[todo] + slack
-            skip = np.isin(todo, mine, assume_unique=True).nonzero()[0]
-            low[skip, own[todo[skip]]] = high[skip, own[todo[skip]]] = -np.inf
-            bound = np.partition(low, max(0, n - k), axis=1)[:, max(0, n - k)] if n > k else np.full(len(todo), -np.inf)
-            may = (high >= bound[:, None]) & (high > -np.inf)
-            proved = may.sum(1) <= 8 * k
-            if not last:
-                proved[:] = True
-            a, b = np.nonzero(may[proved])
+            slack = rest[:, None] * norm[None, todo] * (1 + 1e-6) + 1e-3
+            low, high = scores - slack, scores + slack
+            mine = np.flatnonzero(own[todo] >= 0)
+            low[own[todo[mine]], mine] = high[own[todo[mine]], mine] = -np.inf
+            bound = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(len(todo), -np.inf)
+            may = (high >= bound) & (high > -np.inf)
+            proved = may.sum(0) <= 8 * k if look < last else np.ones(len(todo), bool)
+            b, a = np.nonzero(may[:, proved])
             out.append((todo[proved][a], b))
-            todo = todo[~proved]
-        return (np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])) if out else (np.empty(0, int), np.empty(0, int))
+            todo, q, scores = todo[~proved], q[:, ~proved], scores[:, ~proved]
+            if not len(todo):
+                break
+        return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
     def rescore(self, queries: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         kind = np.int64 if self.exact else object
@@ -126,7 +148,7 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: int = S
     Blocks of queries meet blocks of vectors (the stated query set against all rows); every block size is
     bounded, and a query's k best of each block are merged.
     """
-    e = with_uid(embeddings).select(F.col(UID).alias("uid"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
+    e = fields(stable(embeddings), vec_id="long", embedding="array<double>").select(F.col(UID).alias("uid"), "vec_id", F.col("embedding").alias("x"))
     finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     e = materialise(e.filter(F.col("x").isNotNull() & finite).select("uid", "vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("v")), "vectors")
     is_query = F.col("vec_id") % every == 0

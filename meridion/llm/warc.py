@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridion.llm.common import UID, join_small, materialise, table, with_uid, work_folder
+from meridion.llm.common import UID, fields, join_small, materialise, small_batches, stable, table, work_folder
 
 #: Payloads shorter than this are always stored.
 LEAST_REVISIT = 1000
-#: Records in an archive file: bounds what a reading task decodes at a time.
-RECORDS_PER_FILE = 2000
+#: Records in an archive file, of payloads under LARGE bytes and of others: bound the size of a file that a task reads.
+RECORDS_PER_FILE, LARGE, LARGE_PER_FILE = 2000, 1 << 18, 8
+#: Index rows of a range that a task merges, and rows of a run that it decodes at a time.
+RANGE_ROWS, CURSOR_ROWS = 100_000, 512
 #: Captures carry no time of their own: this instant plus a second for each page_id.
 FIRST_CAPTURE = 1_704_067_200
 EOL = "\r\n"
@@ -101,21 +103,23 @@ def _record(first_uid: Column, revisit: Column, refers_to: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
-    """One gzipped archive for each task and RECORDS_PER_FILE records; equal payloads are stored once.
+    """Gzipped archives of a bounded number of records; equal payloads (by SHA-256) are stored once.
 
     The terminator of a record is the line separator of Spark's text sink, so any file system Spark
     knows can hold the archives.
     """
-    p = with_uid(pages).select(UID, F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    p = fields(stable(pages), page_id="long", url="string", html="string").withColumn("html", F.coalesce("html", F.lit("")))
     rank = F.coalesce("page_id", F.lit(-(1 << 63)))
-    d = materialise(p.filter(F.octet_length("html") >= least).select(UID, "page_id", rank.alias("rank"), F.unhex(F.sha1(F.col("html").cast("binary"))).alias("sha"), F.octet_length("html").alias("size")), "payloads")
+    d = materialise(p.filter(F.octet_length("html") >= least).select(UID, "page_id", rank.alias("rank"), F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("sha"), F.octet_length("html").alias("size")), "payloads")
     g = materialise(d.groupBy("sha", "size").agg(F.max("rank").alias("top"), F.count("*").alias("n")).filter("n > 1").drop("n"), "equal")
     members = materialise(join_small(d, g, ["sha", "size"], "inner"), "members")
     first = members.filter("rank = top").groupBy("sha", "size").agg(F.min(UID).alias("first"), F.first("page_id").alias("refers"))
     again = materialise(join_small(members, first, ["sha", "size"], "inner").filter(f"{UID} <> first").select(UID, "first", "refers"), "revisits")
     r = join_small(p, again, UID, "left")
     record = _record(F.col("first"), F.col("first").isNotNull(), F.col("refers"))
-    r.select(record.alias("value")).write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    large = F.octet_length("html") >= LARGE
+    for name, kind, records in (("small", ~large, RECORDS_PER_FILE), ("large", large, LARGE_PER_FILE)):
+        r.filter(kind).select(record.alias("value")).write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", records).text(f"{path}/{name}")
 
 
 def read_records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -184,17 +188,35 @@ def _index_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pylist(rows, schema=INDEX)
 
 
+def _cursor(batches: list[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(0, b.num_rows, CURSOR_ROWS):
+            yield from b.slice(i, CURSOR_ROWS).to_pylist()
+
+
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs: dict[str, list[dict]] = {}
+    """The rows of a range by a loser tree over its runs.
+
+    Runs stay in Arrow buffers and are decoded a few rows at a time.  Rows of one archive that were fetched out of turn
+    make a run more: a run ends where the order does.
+    """
+    runs: list[list[pa.RecordBatch]] = []
+    end: dict[str, tuple[int, tuple]] = {}
     for b in batches:
-        for r in b.to_pylist():
-            runs.setdefault(r["archive"], []).append(r)
-    for r in runs.values():
-        # A run arrives in order unless its blocks were fetched out of turn.
-        if any(_order(a) > _order(b) for a, b in zip(r, r[1:])):
-            r.sort(key=_order)
+        if not b.num_rows:
+            continue
+        archive, keys, at = b.column(INDEX.get_field_index("archive")).to_pylist(), [_order(r) for r in _cursor([b])], 0
+        for i in range(1, b.num_rows + 1):
+            if i == b.num_rows or archive[i] != archive[at] or keys[i] < keys[i - 1]:
+                run, last = end.get(archive[at], (-1, ()))
+                if run < 0 or keys[at] < last:
+                    run = len(runs)
+                    runs.append([])
+                runs[run].append(b.slice(at, i - at))
+                end[archive[at]] = run, keys[i - 1]
+                at = i
     out = []
-    for r in LoserTree([iter(r) for r in runs.values()], _order):
+    for r in LoserTree([_cursor(r) for r in runs], _order):
         out.append(r)
         if len(out) == 4096:
             yield pa.RecordBatch.from_pylist(out, schema=INDEX)
@@ -208,11 +230,14 @@ def capture_history(spark: SparkSession, path: str) -> DataFrame:
 
     Each archive gives a sorted run, written to the shared folder.  Runs are cut at the same sampled
     keys, and a task merges its range of all runs; the whole key decides, so a host or a URL with any
-    part of the captures is cut as well.  Partitions are in order, as are the rows within.
+    part of the captures is cut as well.  There are as many ranges as bound the rows of each.  Partitions
+    are in order, as are the rows within.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    small_batches(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     runs = materialise(files.mapInArrow(_index_run, INDEX_DDL), "runs")
-    return runs.repartitionByRange("url_key", "captured_at", "page_id", "archive", "offset").mapInArrow(_merge, INDEX_DDL)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
+    return runs.repartitionByRange(ranges, "url_key", "captured_at", "page_id", "archive", "offset").mapInArrow(_merge, INDEX_DDL)
 
 
 def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,13 +20,17 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 def docs(spark):
     """Builds a documents table from (doc_id, text[, lang, source]) rows, with extra columns of clashing names."""
 
-    def make(rows, parts=3):
+    def make(rows, parts=3, written=True):
         full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s0", len(r[1]) if r[1] is not None else None) for r in rows]
         df = spark.createDataFrame(full, DOCS).repartition(parts) if full else spark.createDataFrame([], DOCS)
         from meridion.llm.common import materialise
 
         from pyspark.sql import functions as F
 
-        return materialise(df.withColumn("uid", F.lit("x")).withColumn("size", F.lit(7)).withColumn("sha", F.lit(None).cast("int")), "fixture")
+        for name in ("uid", "size", "sha", "_size", "_epochs", "_part", "_take", "_row_uid", "c0", "c1", "rank"):
+            df = df.withColumn(name, F.lit(f"own {name}"))
+        # Rows of a shuffle have no order of their own: operators must not count on one.
+        return materialise(df, "fixture") if written else df
+
 
     return make

@@ -55,9 +55,46 @@ def corpus(seed):
     return rows
 
 
-def test_prefixes_reach_the_recall():
-    k = neardup.prefix_length()
-    assert 1 - (1 - 0.8**k) ** neardup.TREES >= neardup.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** neardup.TREES
+def test_recall_is_measured():
+    assert neardup.recall_at(0.8, 6) == pytest.approx(1 - (1 - 0.8**6) ** neardup.TREES)
+    r = np.random.default_rng(0)
+    for p in (0.02, 0.1, 0.4):
+        met = r.binomial(neardup.TREES, p, 200_000)
+        assert neardup.share_of_trees(met[met > 0].mean()) == pytest.approx(p, rel=0.02)
+    # Pairs that met in fewer trees than independent minima would give call for shorter prefixes.
+    assert neardup.recall_at(0.8, 6, pairs=500, found=3.0, similarity=0.82) < neardup.recall_at(0.8, 6, pairs=500, found=10.0, similarity=0.82)
+    assert neardup.recall_at(0.8, 6, pairs=neardup.MEASURED - 1, found=1.0, similarity=0.82) == neardup.recall_at(0.8, 6)
+
+
+def test_prefixes_are_shortened_until_the_recall(spark, docs, monkeypatch):
+    depths = []
+    real = neardup._link
+    monkeypatch.setattr(neardup, "_link", lambda depth: depths.append(depth) or real(depth))
+    neardup.join(docs(corpus(1)[:40])).count()
+    assert depths == [8, 7, 6]
+    depths.clear()
+    monkeypatch.setattr(neardup, "RECALL", 0.9)
+    s = neardup.materialise(neardup.fields(docs(corpus(1)), doc_id="long", text="string").mapInArrow(neardup._signatures, "_row_uid long, doc_id long, n long, digest binary, labels array<long>").filter("n > 0"), "s")
+    full = {tuple(x) for x in neardup.forest(s, recall=1.0).select("a", "b").collect()}
+    assert depths == list(range(8, 0, -1)) and full
+    depths.clear()
+    neardup.forest(s, recall=0.9)
+    assert depths == [8]
+
+
+def test_long_texts_are_cut_into_stretches(monkeypatch):
+    r = random.Random(9)
+    text = " ".join("".join(r.choice("ab") for _ in range(r.randrange(1, 9))) for _ in range(3000)).encode()
+    cases = [text, b"x" * 500 + b" " + text, b" a b  c " + b" " * 300, b"y" * 900]
+    whole = []
+    for t in cases:
+        data = np.frombuffer(t, np.uint8)
+        whole.append(neardup.shingles(data, np.array([0, len(data)]))[0])
+    monkeypatch.setattr(neardup, "STRETCH", 100)
+    for t, w in zip(cases, whole):
+        data = np.frombuffer(t, np.uint8)
+        got, first = neardup.shingles(data, np.array([0, len(data)]))
+        assert np.array_equal(got, w) and first.tolist() == [0, len(w)]
 
 
 def test_intersections():
@@ -67,10 +104,11 @@ def test_intersections():
     assert all(got[i, j] == len(np.intersect1d(rows[i], rows[j])) for i in range(30) for j in range(30) if i != j)
 
 
-@pytest.mark.parametrize("seed,node,block", [(1, 4096, 1 << 21), (2, 4, 700)])
-def test_against_brute_force(spark, docs, monkeypatch, seed, node, block):
+@pytest.mark.parametrize("seed,node,block,members", [(1, 4096, 1 << 21, 1024), (2, 4, 700, 1024), (3, 3, 1 << 21, 3)])
+def test_against_brute_force(spark, docs, monkeypatch, seed, node, block, members):
     monkeypatch.setattr(neardup, "NODE_ROWS", node)
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", members)
     rows = corpus(seed)
     got = neardup.join(docs(rows)).collect()
     want = brute(rows)

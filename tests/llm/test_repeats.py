@@ -113,3 +113,41 @@ def test_nothing_to_remove(spark, docs):
     assert substring.deduplicate(docs([])).collect() == []
     got = suffixarray.deduplicate(docs([(1, "abc"), (2, None)])).collect()
     assert sorted((g.doc_id, g.n, g.n_removed) for g in got) == [(1, 3, 0), (2, 0, 0)]
+
+
+@pytest.mark.parametrize("unit", ["words", "bytes"])
+def test_long_texts_are_cut_into_stretches(unit, monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(8)
+    text = " ".join("".join(r.choice("abcdeé") for _ in range(r.randrange(1, 6))) for _ in range(900)) + "  " + "z" * 300
+    u = repeats.Units("words", 50, 16, False, 1) if unit == "words" else repeats.Units("bytes", 100, 32, True, 1)
+    column = pa.array([text, "short", None, text[:700]], pa.string())
+    ids = pa.array(range(4), pa.int64())
+
+    def run():
+        (scan,) = repeats._scan(u)(iter([pa.RecordBatch.from_arrays([ids, ids, column], names=["a", "b", "c"])]))
+        found = []
+        for p in repeats._pieces(u)(iter([pa.RecordBatch.from_arrays([ids, ids, column, scan.column(4)], names=list("abcd"))])):
+            found += p.select(["_row_uid", "start", "anchor", "piece", "left", "right"]).to_pylist()
+        return scan, found
+
+    def windows(found):
+        out = []
+        for f in found:
+            units = f["piece"].split(b" ") if unit == "words" else f["piece"]
+            out += [(f["_row_uid"], f["start"] + k, f["anchor"], tuple(units[k : k + u.window])) for k in range(len(units) - u.window + 1)]
+        return sorted(out)
+
+    whole, found = run()
+    monkeypatch.setattr(repeats, "LONG", 400)
+    monkeypatch.setattr(repeats, "STEP", 37)
+    monkeypatch.setattr(repeats, "slabs", lambda offsets: numtext.slabs(offsets, 300))
+    cut, again = run()
+    assert whole.column(2) == cut.column(2) and whole.column(3) == cut.column(3)
+    assert [set(x) for x in whole.column(4).to_pylist()] == [set(x) for x in cut.column(4).to_pylist()]
+    assert windows(found) == windows(again) and len(again) > len(found)
+    raw = text.encode()
+    units = raw.split() if unit == "words" else raw
+    assert [w[1] for w in windows(again) if not w[0]] == list(range(len(units) - u.window + 1))
+    assert all(tuple(units[w[1] : w[1] + u.window]) == w[3] for w in windows(again) if not w[0])
