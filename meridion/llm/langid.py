@@ -16,17 +16,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meridion.llm.common import small_batches, table
+from meridion.llm.common import fields, plain, small_batches, table, whole_rows
 from meridion.llm.numtext import utf8
 
 HIDDEN = 16
 STRETCH = 128
-#: The bounded training sample: documents a language, characters of each, and languages.
-DOCS_PER_LANG = 400
+#: The bounded training sample: documents a language, fewer where languages times that were over SAMPLE_DOCS (but never
+#: under LEAST_DOCS), and characters of each.  Every language that occurs is learned.
+DOCS_PER_LANG, LEAST_DOCS, SAMPLE_DOCS = 400, 4, 100_000
 SAMPLE_CHARS = 400
-MAX_LANGS = 256
 STEPS = 350
 UNKNOWN = "und"
+#: A stage that rejects unrecognised texts keeps a score of this, or of twice what chance gives where that is less.
+LEAST_SCORE = 0.4
 _LANES = 1024
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -171,22 +173,19 @@ def has_letter(text: Column) -> Column:
 
 
 def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Network:
-    """Learns from at most `docs_per_lang` documents of each language that are not held out, chosen by a
+    """Learns every language from at most `docs_per_lang` of its documents that are not held out, chosen by a
     hash of their id; from each one cut of SAMPLE_CHARS characters at a hashed place."""
-    d = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    d = fields(docs, doc_id="string", lang="string", text="string").withColumnRenamed("doc_id", "id")
     d = d.filter(F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    counts = {r.lang: r["count"] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
-    labels = sorted(counts)
-    net = Network(labels)
-    if len(labels) < 2:
-        return net
+    counts = d.groupBy("lang").agg(F.count("*").alias("n"))
+    most = max(LEAST_DOCS, min(docs_per_lang, SAMPLE_DOCS // max(1, counts.count())))
     spread = F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(1 << 20))
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * docs_per_lang / n)))])
-    s = d.filter(spread < share[F.col("lang")] * F.lit(1 << 20)).filter(has_letter(F.col("text")))
+    share = counts.select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(2.0 * most) / F.col("n")).alias("share"))
+    s = d.join(F.broadcast(share), F.col("lang") == F.col("l")).filter(spread < F.col("share") * F.lit(1 << 20)).filter(has_letter(F.col("text")))
     at = F.pmod(F.xxhash64(F.col("id"), F.lit(2)), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS).cast("long")) + 1
     s = s.select("lang", "id", spread.alias("o"), F.substring(F.col("text"), at.cast("int"), F.lit(SAMPLE_CHARS)).alias("cut"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "id", "cut"))
-    rows = s.withColumn("r", rank).filter(F.col("r") <= docs_per_lang).select("lang", "cut").collect()
+    rows = s.withColumn("r", rank).filter(F.col("r") <= most).select("lang", "cut").collect()
     rows = sorted((r.lang, r.cut) for r in rows)
     labels = sorted({r[0] for r in rows})
     net = Network(labels)
@@ -197,7 +196,10 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Network:
     for i, (_, cut) in enumerate(rows):
         raw = np.frombuffer(cut.encode("utf-8", "replace")[:width], np.uint8)
         x[i, : len(raw)] = _FOLD[raw]
-    return net.fit(x, np.array([labels.index(r[0]) for r in rows]))
+    number = {k: i for i, k in enumerate(labels)}
+    # With many languages a step sees more cuts, and there are more steps, so that each is seen as often as one of few.
+    lanes = min(1024, max(128, len(labels)))
+    return net.fit(x, np.array([number[r[0]] for r in rows]), STEPS * max(1, -(-32 * len(labels) // lanes) // 32), lanes)
 
 
 def _labels(net: Network, keep_columns: bool):
@@ -223,7 +225,7 @@ def _labels(net: Network, keep_columns: bool):
 def predict(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, from its whole text alone."""
     small_batches(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"), has_letter(F.col("text")).alias("letter"))
+    d = fields(docs, doc_id="long", text="string").select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text", has_letter(F.col("text")).alias("letter"))
     return d.mapInArrow(_labels(net, False), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -235,14 +237,23 @@ def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs))
 
 
+def least_score(languages: int) -> float:
+    return min(LEAST_SCORE, 2.0 / max(1, languages))
+
+
 def in_known_language(docs: DataFrame) -> DataFrame:
-    """The rows whose text has a recognised language (not `und`), in the columns of the input."""
+    """The rows whose text is in a language that the network recognises, in the columns of the input.
+
+    Texts without a letter go, and texts whose best language has a mean probability under `least_score`: their bytes
+    disagree, as those of no learned language do.  Where fewer than two languages can be learned there is nothing to
+    tell apart, and every text with a letter stays.
+    """
     small_batches(docs.sparkSession)
     net = train(docs)
     # The network decides on a copy of the text, so that any columns pass through unchanged.
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    d = docs.toDF(*names)
-    text = F.col(names[docs.columns.index("text")])
-    d = d.select(*names, text.cast("string").alias("text"), has_letter(text).alias("letter"))
-    schema = ", ".join([f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, docs.columns)] + ["text string", "lang_pred string", "score double"])
-    return d.mapInArrow(_labels(net, True), schema).filter(F.col("lang_pred") != UNKNOWN).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    text, rows = F.col(f"c{docs.columns.index('text')}").cast("string"), plain(docs)
+    if len(net.labels) < 2:
+        return whole_rows(rows.filter(has_letter(text)), docs)
+    d = rows.select("*", text.alias("text"), has_letter(text).alias("letter"))
+    schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)] + ["text string", "lang_pred string", "score double"])
+    return whole_rows(d.mapInArrow(_labels(net, True), schema).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score(len(net.labels)))), docs)

@@ -63,3 +63,23 @@ def test_held_out_accuracy_and_edges(spark, docs):
     assert out.columns == d.columns and out.count() == len(rows) - 3
     assert langid.predict(docs([]), langid.train(docs([]))).collect() == []
     assert {g.lang_pred for g in langid.predict(d, langid.Network([])).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "STEPS", 2)
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 900)
+    rows = [(i, f"text of {i}", f"l{i % 300:03}") for i in range(2400)]
+    net = langid.train(docs(rows))
+    assert net.labels == sorted({x[2] for x in rows})
+
+
+def test_what_a_stage_keeps(spark, docs):
+    r = np.random.default_rng(4)
+    rows = [(i, sample(r, lang, 40), lang) for i, lang in enumerate(["aa", "bb"] * 60)] + [(500, None, "aa"), (501, "12 34", "bb")]
+    assert langid.least_score(2) == langid.LEAST_SCORE and langid.least_score(100) == 0.02
+    d = docs(rows)
+    assert langid.in_known_language(d).count() == 120
+    # Nothing to learn from, or one language alone: texts with letters stay.
+    for lang in (None, "aa"):
+        alone = docs([(i, t, lang) for i, t, _ in rows])
+        assert langid.in_known_language(alone).count() == 120
