@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridion.llm.common import small_batches, table
+from meridion.llm.common import UID, fields, small_batches, table, work_folder
 from meridion.llm.numtext import utf8
 
 ROUNDS = 10
-#: Session setting with the key in hex; the default serves tests and must be replaced in production.
+#: Session setting with the key in hex.  Where it is unset, a key is drawn once for each shared folder and kept there.
 KEY_SETTING = "spark.meridion.pseudonyms.key"
-TEST_KEY = bytes(range(32))
+LEAST_KEY = 16
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -320,7 +321,31 @@ def _apply(key: bytes, step: int):
 
 
 def session_key(spark: SparkSession) -> bytes:
-    return bytes.fromhex(spark.conf.get(KEY_SETTING, TEST_KEY.hex()))
+    """The key of the session's setting; without one, the secret key of the shared folder, readable by its owner alone.
+
+    All runs on a cluster link equal values then, and no key can be read from this code.
+    """
+    if given := spark.conf.get(KEY_SETTING, None):
+        key = bytes.fromhex(given)
+        if len(key) < LEAST_KEY:
+            raise ValueError(f"{KEY_SETTING} must have {LEAST_KEY} bytes or more")
+        return key
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{work_folder(spark)}/meridion-key/pseudonyms")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        # Written beside and renamed: of two drivers that draw a key at once, one loses and reads the other's.
+        own = path.suffix(f"-{secrets.token_hex(8)}")
+        out = fs.create(own)
+        out.writeBytes(secrets.token_hex(32))
+        out.close()
+        fs.setPermission(own, jvm.org.apache.hadoop.fs.permission.FsPermission("600"))
+        if fs.exists(path) or not fs.rename(own, path):
+            fs.delete(own, False)
+    stream = fs.open(path)
+    key = stream.readLine()
+    stream.close()
+    return bytes.fromhex(key)
 
 
 def replace(docs: DataFrame, key: bytes, step: int = 1) -> DataFrame:
@@ -331,7 +356,7 @@ def replace(docs: DataFrame, key: bytes, step: int = 1) -> DataFrame:
     an empty table gives no rows; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = fields(docs, doc_id="long", text="string").drop(UID)
     return d.mapInArrow(_apply(key, step), "doc_id long, text string, n_replaced long, spans array<struct<kind:string,start:long,end:long>>")
 
 

@@ -1,6 +1,11 @@
 import random
+import zlib
+
+import numpy as np
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from meridion.llm import packing
 from meridion.llm.common import materialise
 
 
@@ -40,8 +45,21 @@ def test_stages(spark, docs):
     fill = {}
     for p in kept["pack"]:
         fill.setdefault(p.sequence_id, []).append((p.offset, p.length))
-    assert all(sum(n for _, n in w) <= 2048 for w in fill.values())
-    assert sum(p.length for p in kept["pack"] if p.start == 0) > 0
+    # The windows are full and without gaps, and the pieces are the mix's documents by brute force.
+    assert all(sorted(w)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(w), sorted(w)[1:])) for w in fill.values())
+    assert sorted(fill) == list(range(len(fill))) and all(sum(n for _, n in fill[k]) == 2048 for k in range(len(fill) - 1))
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    want = sorted((x.doc_id, np.array(tokenizer.encode(x.text, add_special_tokens=False).ids + [packing.END_ID], "<u4").tobytes()) for x in kept["mix_sources"])
+    assert sum(p.length for p in kept["pack"]) == sum(len(i) // 4 for _, i in want)
+    for p in kept["pack"]:
+        assert any(d == p.doc_id and len(i) == 4 * p.doc_tokens and zlib.crc32(i[4 * p.start : 4 * (p.start + p.length)]) == p.ids_crc32 for d, i in want)
+    covered = {}
+    for p in kept["pack"]:
+        covered[p.doc_id] = covered.get(p.doc_id, 0) + p.length
+    tokens = {}
+    for d, i in want:
+        tokens[d] = tokens.get(d, 0) + len(i) // 4
+    assert covered == tokens
 
 
 def test_run_of_nothing(spark, docs, tmp_path):

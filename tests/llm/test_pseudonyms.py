@@ -104,3 +104,92 @@ def test_values_that_run_on_go_back():
         text = f"{1000 + i} {d[:4]} {d[4:8]} {d[8:12]} {d[12:]} {i:03}"
         out, _ = p.pseudonymise(text, KEY)
         assert out != text and p.pseudonymise(out, KEY, -1)[0] == text
+
+
+def luhn_sum(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits)))
+
+
+def valid(token):
+    """What a token is, by definitions of its own: None if it is nothing that must be replaced."""
+    import ipaddress
+
+    digits = re.sub(r"[ -]", "", token)
+    if re.fullmatch(r"\d{4}([ -]?\d){9,15}", token) and 13 <= len(digits) <= 19:
+        return "card" if luhn_sum(digits) % 10 == 0 and len(set(digits)) > 1 else None
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", token):
+        a, b, c = map(int, token.split("-"))
+        return "ssn" if a not in (0, 666) and a < 900 and b and c else None
+    if re.fullmatch(r"[\d.]+", token) and token.count(".") == 3:
+        try:
+            return "ip" if str(ipaddress.IPv4Address(token)) == token else None
+        except ValueError:
+            return None
+    if re.fullmatch(r"\d{4}-\d\d-\d\d", token):
+        try:
+            return "date" if 1900 <= datetime.datetime.strptime(token, "%Y-%m-%d").year < 2100 else None
+        except ValueError:
+            return None
+    if re.fullmatch(r"[A-Z]{2}\d\d[0-9A-Z]{11,30}", token):
+        number = "".join(str(int(c, 36)) for c in token[4:] + token[:4])
+        return "iban" if int(number) % 97 == 1 else None
+    return None
+
+
+def test_documents_against_brute_force(spark, docs):
+    import random
+
+    r = random.Random(12)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def token():
+        kind = r.randrange(7)
+        if kind == 0:
+            d = digits(15)
+            return r.choice([d + p.luhn(d), d + digits(1)])
+        if kind == 1:
+            return f"{r.choice(['000', '666', '123', '899', '900', digits(3)])}-{r.choice(['00', '12'])}-{r.choice(['0000', digits(4)])}"
+        if kind == 2:
+            return ".".join(str(r.choice([0, 7, 10, 255, 256, 300])) for _ in range(4))
+        if kind == 3:
+            return f"{r.choice(['1899', '1900', '2024', '2023', '2099', '2100'])}-{r.choice(['00', '02', '12', '13'])}-{r.choice(['01', '29', '30', '32'])}"
+        if kind == 4:
+            account = "".join(r.choice("0123456789ABCZ") for _ in range(18))
+            check = 98 - int("".join(str(int(c, 36)) for c in account + "DE00")) % 97
+            return f"DE{check:02}{account}" if r.random() < 0.6 else f"DE{digits(2)}{account}"
+        return r.choice(["word", "x1", "12", "3.14", "a-b"])
+
+    pool = [token() for _ in range(150)]
+    rows = [(i, " ; ".join(r.choice(pool) for _ in range(r.randrange(0, 40)))) for i in range(120)]
+    got = {g.doc_id: g for g in p.replace(docs(rows), KEY).collect()}
+    new = {}
+    for i, text in rows:
+        tokens, out = text.split(" ; "), got[i].text.split(" ; ")
+        assert len(tokens) == len(out) and got[i].n_replaced == sum(valid(t) is not None for t in tokens)
+        for a, b in zip(tokens, out):
+            kind = valid(a)
+            assert (a == b) if kind is None else (a != b and valid(b) == kind and re.sub("[0-9]", "0", re.sub("[A-Z]", "A", a)) == re.sub("[0-9]", "0", re.sub("[A-Z]", "A", b)) or kind == "ip")
+            assert new.setdefault(a, b) == b
+    kinds = {valid(t) for t in new}
+    assert {"card", "ssn", "ip", "date", "iban", None} <= kinds
+    moved = [b for a, b in new.items() if valid(a)]
+    assert len(moved) == len(set(moved))
+
+
+def test_every_date_has_its_own_pseudonym():
+    days = [datetime.date.fromordinal(o).isoformat() for o in range(p._FIRST, p._LAST + 1, 1)][::97]
+    out = [p.pseudonymise(d, KEY)[0] for d in days]
+    assert len(set(out)) == len(days) and all(a != b and valid(b) == "date" for a, b in zip(days, out))
+
+
+def test_key(spark):
+    first = p.session_key(spark)
+    assert len(first) == 32 and p.session_key(spark) == first != bytes(range(32))
+    spark.conf.set(p.KEY_SETTING, "ab" * 20)
+    try:
+        assert p.session_key(spark) == b"\xab" * 20
+        spark.conf.set(p.KEY_SETTING, "ab")
+        with pytest.raises(ValueError):
+            p.session_key(spark)
+    finally:
+        spark.conf.unset(p.KEY_SETTING)
