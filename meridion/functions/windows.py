@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 KEY, TIME = "symbol", "session_date"
@@ -174,8 +177,47 @@ def last_rank(x, frame: WindowSpec, least: int) -> Column:
     return F.when(x.isNotNull() & (n >= least), (below + (equal + 1) / 2) / n)
 
 
-def expanding_rank(x, least: int = 60) -> Column:
-    return last_rank(x, so_far(), least)
+def earlier_counts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value, how many before it are smaller and how many are equal: blocks are merged two by two, so the work
+    is n log^2 n for a series of n."""
+    n = len(values)
+    distinct, r = np.unique(values, return_inverse=True)
+    m, at = len(distinct), np.arange(n)
+    below, equal = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    size = 1
+    while size < n:
+        pair, right = at // (2 * size), (at // size) % 2 == 1
+        left = np.sort(pair[~right] * m + r[~right])
+        asked = pair[right] * m + r[right]
+        low = np.searchsorted(left, asked, "left")
+        below[right] += low - np.searchsorted(left, pair[right] * m, "left")
+        equal[right] += np.searchsorted(left, asked, "right") - low
+        size *= 2
+    return below, equal
+
+
+def expanding_ranks(df: DataFrame, columns: dict[str, str], least: int = 60) -> DataFrame:
+    """Adds, for each (new name: column), the average-tie percentile rank of a value among those of its series so far.
+
+    Order statistics of a growing frame have no window function; a list of the frame for each row would be quadratic.
+    A task holds one series at a time.
+    """
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in df.schema], *[T.StructField(n, T.DoubleType()) for n in columns]])
+    names = df.columns
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(TIME)
+        for name, x in columns.items():
+            v = t.column(names.index(x)).to_numpy().astype(float)
+            there = np.flatnonzero(~np.isnan(v))
+            below, equal = earlier_counts(v[there])
+            n = np.arange(1, len(there) + 1)
+            rank = np.full(len(v), np.nan)
+            rank[there] = np.where(n >= least, (below + (equal + 2) / 2) / n, np.nan)
+            t = t.append_column(name, pa.array(rank, pa.float64(), from_pandas=True))
+        return t
+
+    return df.groupBy(KEY).applyInArrow(run, schema)
 
 
 def ts_rank(x, k: int, least: int | None = None) -> Column:
@@ -210,12 +252,10 @@ def clip(x, low: float, high: float) -> Column:
 
 
 def session_rank(x) -> Column:
-    """Average-tie percentile rank within the session."""
+    """Average-tie percentile rank within the session: halfway between the first and the last place of equal values."""
     x = col(x)
     w = Window.partitionBy(TIME).orderBy(x.asc_nulls_last())
-    ties = F.count(x).over(Window.partitionBy(TIME, x))
-    n = F.count(x).over(session())
-    return F.when(x.isNotNull(), (F.rank().over(w) + (ties - 1) / 2) / n)
+    return F.when(x.isNotNull(), (F.rank().over(w) + F.count(x).over(w)) / 2 / F.count(x).over(session()))
 
 
 def session_z(x, limit: float = 5.0) -> Column:
@@ -230,3 +270,72 @@ def week_end(day="session_date") -> Column:
 
 def month_start(day="session_date") -> Column:
     return F.trunc(col(day), "MM")
+
+
+def positions(df: DataFrame, out: str = "_pos", total: str | None = None) -> DataFrame:
+    """Adds the place of each row in the order of (session, symbol), from 0.
+
+    Places come from counts of sessions: the only window without a partition runs over sessions.
+    """
+    by = df.groupBy(TIME).agg(F.count("*").alias("_c"))
+    along = Window.orderBy(TIME).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    by = by.select(TIME, F.coalesce(F.sum("_c").over(along), F.lit(0)).alias("_before"), *([F.sum("_c").over(whole).alias(total)] if total else []))
+    x = df.join(F.broadcast(by), TIME).withColumn(out, F.col("_before") + F.row_number().over(Window.partitionBy(TIME).orderBy(KEY)) - 1)
+    return x.drop("_before")
+
+
+#: Ranges that values are dealt to before they are sorted: so many times as many.
+RANGES = 16
+
+
+def _ranges(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Adds `_range`, the place of a value among sketched quantiles of its group: ranges hold about as many rows each.
+    The place is found in two steps, among every sixteenth edge and then among those between two of them."""
+    n = RANGES * RANGES
+    edges = df.groupBy(*by).agg(F.percentile_approx(value, F.lit([i / n for i in range(1, n)]), F.lit(8 * n)).alias("_edges"))
+    edges = edges.withColumn("_heads", F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), lambda i: F.element_at("_edges", i * RANGES)))
+    x = df.join(F.broadcast(edges), by) if by else df.join(F.broadcast(edges))
+    x = x.withColumn("_head", F.size(F.filter("_heads", lambda e: e < F.col(value))))
+    rest = F.slice("_edges", F.col("_head") * RANGES + 1, RANGES - 1)
+    return x.withColumn("_range", F.col("_head") * RANGES + F.size(F.filter(rest, lambda e: e < F.col(value)))).drop("_edges", "_heads", "_head")
+
+
+def running_total(df: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """Adds <value>_before, the sum over all rows with a smaller (distinct) key: ranges of keys are summed alone, and only
+    the totals of ranges along all of them."""
+    x = _ranges(df, [], key)
+    along = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = x.groupBy("_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    base = base.select("_range", *[F.coalesce(F.sum(f"_t_{v}").over(along), F.lit(0)).alias(f"_b_{v}") for v in values])
+    inner = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.join(F.broadcast(base), "_range").withColumns({f"{v}_before": F.coalesce(F.sum(v).over(inner), F.lit(0)) + F.col(f"_b_{v}") for v in values})
+    return x.drop("_range", *[f"_b_{v}" for v in values])
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """by, n, q: exact quantiles (linear between neighbours) of the values of each group, nulls left out.
+
+    A value's place is its place in its range plus the rows of the ranges below, so no task sorts a whole group; only the
+    places that the shares ask for are gathered.
+    """
+    x = _ranges(df.select(*by, value).filter(F.col(value).isNotNull()), by, value)
+    counts = x.groupBy(*by, "_range").agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*by)
+    counts = counts.select(*by, "_range", F.coalesce(F.sum("_c").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(group).alias("n"))
+    x = x.join(F.broadcast(counts), [*by, "_range"])
+    x = x.withColumn("_at", F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_range").orderBy(value)) - 1)
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("n") - 1) * F.lit(s)), F.ceil((F.col("n") - 1) * F.lit(s))) for s in sorted(set(shares))]))) if len(shares) <= 64 else None
+    if wanted is not None:
+        x = x.filter(F.array_contains(wanted, F.col("_at")))
+    else:
+        # Many even shares: a place is asked for if a share lies within a place of it, in whole numbers.
+        k = len(shares) - 1
+        over = F.pmod(F.col("_at") * k, F.greatest(F.col("n") - 1, F.lit(1)))
+        x = x.filter((over < k) | (F.col("n") - 1 - over < k))
+    g = x.groupBy(*by).agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct(F.col("_at").cast("long"), F.col(value).cast("double")))).alias("_m"))
+    place = lambda s: (F.col("n") - 1) * s
+    low = lambda s: F.col("_m")[F.floor(place(s)).cast("long")]
+    high = lambda s: F.col("_m")[F.ceil(place(s)).cast("long")]
+    q = F.transform(F.array(*[F.lit(s) for s in shares]), lambda s: low(s) + (place(s) - F.floor(place(s))) * (high(s) - low(s)))
+    return g.select(*by, "n", q.alias("q"))

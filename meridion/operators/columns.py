@@ -2,8 +2,8 @@
 
 A column is a function of other columns; `c(name)` inside it both refers to a column and records the
 dependency.  `with_columns` finds what is needed for the wanted names, sorts it into layers (a window
-expression can't contain another), and adds each layer in one select.  Columns nobody asked for are
-never built, so a narrow query has a narrow plan.
+expression can't contain another), and adds each layer in one select, and all expanding ranks of a layer in
+one step more.  Columns nobody asked for are never built, so a narrow query has a narrow plan.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meridion.functions.windows import expanding_ranks
+
 _asked: list[set[str]] = []
 
 
@@ -28,6 +30,7 @@ class Registry(dict):
     def __init__(self):
         super().__init__()
         self.notes: dict[str, tuple[int, str]] = {}
+        self.ranks: dict[str, str] = {}
 
     def add(self, name: str, builder: Callable[[], Column], lookback: int = 1, why: str = "") -> None:
         if name in self:
@@ -35,6 +38,11 @@ class Registry(dict):
         self[name] = builder
         self.notes[name] = (lookback, why)
 
+    def add_rank(self, name: str, of: str, lookback: int = 60, why: str = "") -> None:
+        """The rank of a column's value among those of its series so far."""
+        self.add(name, lambda: c(of), lookback, why)
+        self.ranks[name] = of
+
     def __call__(self, name: str, lookback: int = 1, why: str = ""):
         def keep(builder):
             self.add(name, builder, lookback, why)
@@ -66,5 +74,8 @@ class Registry(dict):
 
     def with_columns(self, df: DataFrame, wanted: Iterable[str]) -> DataFrame:
         for layer in self.layers(wanted, df.columns):
-            df = df.select("*", *[x.alias(n) for n, x in layer])
+            plain = [x.alias(n) for n, x in layer if n not in self.ranks]
+            df = df.select("*", *plain) if plain else df
+            if ranks := {n: self.ranks[n] for n, _ in layer if n in self.ranks}:
+                df = expanding_ranks(df, ranks)
         return df

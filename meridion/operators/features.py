@@ -158,6 +158,7 @@ _simple("_signed", lambda: F.coalesce(F.signum(c("_dc")), F.lit(0.0)) * c("volum
 _simple("D_obv", lambda: w.cumulative(F.sum, c("_signed")), 1, "on-balance volume")
 _simple("_pobv", lambda: w.lag(c("D_obv")))
 _simple("D_obv_slope", lambda: c("D_obv") - c("_pobv"), 2, "change of on-balance volume")
+_simple("D_price_and_obv_rising", lambda: w.flag((c("close") > c("_pc")) & (c("D_obv") > c("_pobv"))), 2, "price and volume rise together")
 _simple("D_dollar_vol", lambda: c("close") * c("volume"), 1, "turnover")
 for k in (20, 50, 252):
     _simple(f"D_dvol_z{k}", lambda k=k: w.zscore(c("D_dollar_vol"), k), k, "turnover, standardised")
@@ -256,24 +257,26 @@ _simple("D_mdi14_rrank20", lambda: w.ts_rank(c("D_mdi14"), 20, 5), 300, "rank of
 # Alphas: price and volume relations, some over expanding ranks.
 _lag = lambda name, x, n: _simple(name, lambda: w.lag(c(x), n))
 for _x in ("open", "volume", "high", "close"):
-    _simple(f"_x_{_x}", lambda x=_x: w.expanding_rank(c(x)))
+    FEATURES.add_rank(f"_x_{_x}", _x)
 _simple("D_WQ_3", lambda: -w.rolling_corr(c("_x_open"), c("_x_volume"), 10, 5), 60, "ranked open against ranked volume")
 _simple("D_WQ_6", lambda: -w.rolling_corr(c("open"), c("volume"), 10), 10, "open against volume")
 _simple("_dv", lambda: c("volume") - w.lag(c("volume")))
 _simple("D_WQ_12", lambda: F.signum(c("_dv")) * -c("_dc"), 2, "volume change against price change")
 _simple("_cov13", lambda: w.rolling_cov(c("_x_close"), c("_x_volume"), 5, 3))
 _simple("_cov16", lambda: w.rolling_cov(c("_x_high"), c("_x_volume"), 5, 3))
-_simple("D_WQ_13", lambda: -w.expanding_rank(c("_cov13")), 60, "ranked covariance of close and volume")
-_simple("D_WQ_16", lambda: -w.expanding_rank(c("_cov16")), 60, "ranked covariance of high and volume")
+for _x in ("13", "16"):
+    FEATURES.add_rank(f"_x_cov{_x}", f"_cov{_x}")
+_simple("D_WQ_13", lambda: -c("_x_cov13"), 60, "ranked covariance of close and volume")
+_simple("D_WQ_16", lambda: -c("_x_cov16"), 60, "ranked covariance of high and volume")
 _lag("_c7", "close", 7)
 _simple("_c_c7", lambda: c("close") - c("_c7"))
 _lag("_c_c7_5", "_c_c7", 5)
 _simple("_ret250", lambda: 1 + w.roll(F.sum, c("_ret"), 250, 50))
-_simple("_x_ret250", lambda: w.expanding_rank(c("_ret250")))
+FEATURES.add_rank("_x_ret250", "_ret250")
 _simple("D_WQ_19", lambda: -F.signum((c("_c_c7") - c("_c_c7_5")) + (c("close") - c("_c5"))) * (1 + c("_x_ret250")), 250, "short reversal in a long trend")
 for _n, _x in (("h", "_ph"), ("c", "_pc"), ("l", "_pl")):
     _simple(f"_o_{_n}", lambda x=_x: c("open") - c(x))
-    _simple(f"_x_o_{_n}", lambda n=_n: w.expanding_rank(c(f"_o_{n}")))
+    FEATURES.add_rank(f"_x_o_{_n}", f"_o_{_n}")
 _simple("D_WQ_20", lambda: -c("_x_o_h") * c("_x_o_c") * c("_x_o_l"), 60, "open against yesterday")
 _lag("_h2", "high", 2)
 _simple("_h20", lambda: w.roll(F.avg, c("high"), 20, 10))
@@ -283,23 +286,24 @@ _simple("_ts5_h", lambda: w.ts_rank(c("high"), 5))
 _simple("_corr26", lambda: w.rolling_corr(c("_ts5_v"), c("_ts5_h"), 5, 5))
 _simple("D_WQ_26", lambda: -w.roll(F.max, c("_corr26"), 3), 14, "ranked volume against ranked high")
 _simple("_neg_d5", lambda: c("close") - c("_c5"))
-_simple("_x29a", lambda: -w.expanding_rank(c("_neg_d5")))
-_simple("_x29b", lambda: w.expanding_rank(c("_x29a")))
-_simple("D_WQ_29", lambda: w.expanding_rank(c("_x29b")), 60, "ranked reversal")
+FEATURES.add_rank("_r29", "_neg_d5")
+_simple("_x29a", lambda: -c("_r29"))
+FEATURES.add_rank("_x29b", "_x29a")
+FEATURES.add_rank("D_WQ_29", "_x29b", 60, "ranked reversal")
 _simple("_oc", lambda: w.ratio(c("open"), c("close")) - 1)
-_simple("D_WQ_33", lambda: w.expanding_rank(c("_oc")), 60, "ranked open against close")
+FEATURES.add_rank("D_WQ_33", "_oc", 60, "ranked open against close")
 _simple("_chl", lambda: c("close") + c("high") - c("low"))
 _simple("_ts32_v", lambda: w.ts_rank(c("volume"), 32))
 _simple("_ts16_chl", lambda: w.ts_rank(c("_chl"), 16))
 _simple("_ts32_r", lambda: w.ts_rank(c("_ret"), 32))
 _simple("D_WQ_35", lambda: c("_ts32_v") * (1 - c("_ts16_chl")) * (1 - c("_ts32_r")), 33, "volume against price and return")
 _simple("_ts10_c", lambda: w.ts_rank(c("close"), 10))
-_simple("_x38a", lambda: w.expanding_rank(c("_ts10_c")))
+FEATURES.add_rank("_x38a", "_ts10_c")
 _simple("_co", lambda: w.ratio(c("close"), c("open")))
-_simple("_x38b", lambda: w.expanding_rank(c("_co")))
+FEATURES.add_rank("_x38b", "_co")
 _simple("D_WQ_38", lambda: -c("_x38a") * c("_x38b"), 60, "ranked close")
 _simple("_sd10h", lambda: w.roll(F.stddev_samp, c("high"), 10, 5))
-_simple("_x40", lambda: w.expanding_rank(c("_sd10h")))
+FEATURES.add_rank("_x40", "_sd10h")
 _simple("_corr40", lambda: w.rolling_corr(c("high"), c("volume"), 10))
 _simple("D_WQ_40", lambda: -c("_x40") * c("_corr40"), 60, "spread of highs against volume")
 _simple("D_WQ_41", lambda: F.when(c("high") * c("low") >= 0, F.sqrt(c("high") * c("low"))) - (c("high") + c("low") + c("close")) / 3, 1, "geometric against arithmetic middle")

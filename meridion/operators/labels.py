@@ -27,13 +27,13 @@ def simple_atr_pct(k: int = 14) -> list[tuple[str, Column]]:
 
 
 def base_labels(bars: DataFrame, horizon: int = HORIZON, touch: float = TOUCH) -> DataFrame:
-    """label_mfe, label_mae, label_fwd_ret, label_touch; null while the horizon is incomplete."""
+    """label_mfe_5d, label_mae_5d, label_fwd_ret_5d, label_touch; null while the horizon is incomplete."""
     frame = w.forward(horizon)
     whole = (F.count("high").over(frame) == horizon) & (F.count("low").over(frame) == horizon)
     mfe = F.when(whole, w.ratio(F.max("high").over(frame), "close") - 1)
     mae = F.when(whole, w.ratio(F.min("low").over(frame), "close") - 1)
-    out = bars.select("*", mfe.alias("label_mfe"), mae.alias("label_mae"), (w.ratio(w.lead("close", horizon), "close") - 1).alias("label_fwd_ret"))
-    return out.withColumn("label_touch", F.when(F.col("label_mfe").isNotNull(), (F.col("label_mfe") >= touch).cast("int")))
+    out = bars.select("*", mfe.alias("label_mfe_5d"), mae.alias("label_mae_5d"), (w.ratio(w.lead("close", horizon), "close") - 1).alias("label_fwd_ret_5d"))
+    return out.withColumn("label_touch", F.when(F.col("label_mfe_5d").isNotNull(), (F.col("label_mfe_5d") >= touch).cast("int")))
 
 
 def path_labels(bars: DataFrame, horizon: int = HORIZON, variants: dict = VARIANTS) -> DataFrame:

@@ -2,22 +2,53 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridion.functions import windows as w
+from meridion.operators import features as fx
+from meridion.operators import quality
 from meridion.operators.features import FEATURES, WARMUP, features
-from meridion.operators.labels import base_labels, path_labels
+from meridion.operators.labels import HORIZON, PRIMARY, VARIANTS, base_labels, path_labels
 
 LEAST_BARS = WARMUP + 5
 LEAST_NAMES = 20
-#: Features that are ranked across a session.
-CROSS_SECTION = ("D_rsi14", "D_adx14", "D_atr_pct", "D_range_pct", "D_gap_pct", "D_bb_pctB_20", "D_bb_bw_20", "D_donch_pos_20", "D_donch_pos_50", "D_vol_yz_20", "D_dvol_z20", "D_cmf20", "D_macd_hist", "D_ema20_angle_deg", "D_close_roll_slope_20", "D_dist_from_52wh", "D_drawdown_252", "D_realvol_20", "D_amihud_20", "D_body_ratio", "D_overnight_share")
+#: Features that are ranked across a session, in their order (those that don't exist are passed over).
+CROSS_SECTION = (
+    "D_ret_1d_pct", "D_range_pct", "D_atr_pct", "D_rsi14", "D_adx14", "D_dist_from_52wh", "D_dist_from_52wl", "D_pos_in_52w_range", "D_drawdown_252", "D_dvol_z20", "D_dvol_z252",
+    "D_realvol_20", "D_realvol_ratio_20_60", "D_amihud_20", "D_gap_pct", "D_intraday_ret_pct", "D_ret_skew_60", "D_downside_dev_60", "D_bb_pctB_20", "D_donch_pos_20", "D_ema20_angle_deg",
+)
+#: Features of the market series that a panel gets.
+MARKET = ("D_ret_1d_pct", "D_realvol_20", "D_rsi14", "D_adx14", "D_dist_from_52wh", "D_drawdown_252")
+#: Columns that a panel never keeps: exact duplicates, and texts and flags on the way to others.
+DUPLICATES = ("D_pivot", "D_vpoc", "D_tmr_cpr_bc", "D_tmr_cpr_tc", "D_tmr_cpr_vs_today_code", "D_atr14_to_close_pct")
+DROPPED = (*DUPLICATES, "D_hh", "D_hl", "D_lh", "D_ll", "D_price_and_obv_rising", "D_golden_regime", "D_day_type", "D_nr", "D_tmr_cpr_vs_today", "D_cpr_vs_yday", "D_structure_trend")
+#: Features of weeks and months, which take joins with their periods: name -> builder.
+PERIODS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "W_ret_4w": fx.weekly_features, "W_ret_13w": fx.weekly_features, "W_close_pos": fx.weekly_features, "W_vol_vs_4w": fx.weekly_features,
+    "D_weekly_trend": lambda b: fx.period_trend(b, w.week_end(), "D_weekly_trend"), "D_monthly_trend": lambda b: fx.period_trend(b, w.month_start(), "D_monthly_trend"),
+}
+#: The trailing sessions of the liquidity floor, and the bars it takes.
+LIQUIDITY_WINDOW, LIQUIDITY_BARS = 60, 40
 FORWARD_PARTS = ("label_", "fwd_", "future_", "mfe", "mae", "ret_5d_close_pct", "_next")
-STRUCTURE = ("symbol", "session_date", "open", "high", "low", "close", "volume", "D_is_warmup", "year")
+STRUCTURE = ("symbol", "session_date", "open", "high", "low", "close", "volume", "D_is_warmup", "year", "month")
+
+
+def panel_names() -> list[str]:
+    """All features that a panel holds."""
+    return [n for n in (*FEATURES, *PERIODS) if not n.startswith("_") and not n.endswith("_term") and n not in DROPPED]
+
+
+def assert_features(names: list[str], columns: list[str]) -> None:
+    if not names or len(names) != len(set(names)):
+        raise ValueError("features must be a list without repeats, and not empty")
+    if gone := [x for x in names if x not in columns]:
+        raise ValueError(f"features that the panel lacks: {gone}")
 
 
 def feature_columns(columns: list[str]) -> list[str]:
@@ -31,7 +62,7 @@ def assert_no_forward_columns(columns: list[str], registered: tuple[str, ...] =
         raise ValueError(f"columns look forward without being labels: {bad}")
 
 
-def liquidity_floor(panel: DataFrame, least: float, window: int = 60, observations: int = 40) -> DataFrame:
+def liquidity_floor(panel: DataFrame, least: float, window: int = LIQUIDITY_WINDOW, observations: int = LIQUIDITY_BARS) -> DataFrame:
     """Rows whose trailing median turnover reaches the floor; 0 turns it off."""
     if not least:
         return panel
@@ -41,43 +72,71 @@ def liquidity_floor(panel: DataFrame, least: float, window: int = 60, observatio
 
 
 def cross_section(panel: DataFrame, columns: tuple[str, ...] = CROSS_SECTION) -> DataFrame:
-    """X_rank_*, X_z_* and X_universe_size of each session."""
-    there = [x for x in columns if x in panel.columns]
-    ranks = [w.session_rank(x).alias(f"X_rank_{x}") for x in there]
-    scores = [w.session_z(x).alias(f"X_z_{x}") for x in there]
-    return panel.select("*", *ranks, *scores, F.count("*").over(w.session()).alias("X_universe_size"))
-
+    """X_rank_*, X_z_* and X_universe_size of each session.
 
-def market_relative(panel: DataFrame, market: DataFrame, columns: list[str]) -> DataFrame:
-    """The market's features as MKT_* and the excess return and relative volatility against it."""
-    m = market.select("session_date", *[F.col(x).alias(f"MKT_{x}") for x in columns])
+    All columns are ranked in one sort, by column, session and value, of narrow rows, and come back as one row a key: the
+    plan doesn't grow with the columns, and the wide rows aren't sorted once for each.
+    """
+    there = [x for x in columns if x in panel.columns]
+    sized = panel.withColumn("X_universe_size", F.count("*").over(w.session()))
+    if not there:
+        return sized
+    values = F.array(*[F.struct(F.lit(i).alias("i"), F.col(x).cast("double").alias("x")) for i, x in enumerate(there)])
+    long = panel.select("symbol", "session_date", F.explode(values).alias("e")).select("symbol", "session_date", "e.*").filter("x IS NOT NULL")
+    by = Window.partitionBy("i", "session_date")
+    rank = (F.rank().over(by.orderBy("x")) + F.count("x").over(by.orderBy("x"))) / 2 / F.count("x").over(by)
+    score = w.clip(w.ratio(F.col("x") - F.avg("x").over(by), F.stddev_samp("x").over(by)), -5.0, 5.0)
+    long = long.select("symbol", "session_date", "i", rank.alias("r"), score.alias("z"))
+    wide = long.groupBy("symbol", "session_date").agg(*[F.max(F.when(F.col("i") == i, F.col(c))).alias(f"X_{n}_{x}") for n, c in (("rank", "r"), ("z", "z")) for i, x in enumerate(there)])
+    return sized.join(wide, ["symbol", "session_date"], "left").select(*panel.columns, *[f"X_{n}_{x}" for n in ("rank", "z") for x in there], "X_universe_size")
+
+
+def market_relative(panel: DataFrame, market: DataFrame, columns: tuple[str, ...] = MARKET) -> DataFrame:
+    """The market's features as MKT_*, the excess return where returns are there, and relative volatility."""
+    there = [x for x in columns if x in market.columns]
+    m = market.select("session_date", *[F.col(x).alias(f"MKT_{x}") for x in there])
     out = panel.join(m, "session_date", "left")
-    if "D_intraday_ret_pct" in columns:
-        out = out.withColumn("X_excess_ret", F.col("D_intraday_ret_pct") - F.col("MKT_D_intraday_ret_pct"))
-    if "D_realvol_20" in columns:
+    if {"D_ret_1d_pct", "MKT_D_ret_1d_pct"} <= set(out.columns):
+        out = out.withColumn("X_excess_ret_1d", F.col("D_ret_1d_pct") - F.col("MKT_D_ret_1d_pct"))
+    if {"D_realvol_20", "MKT_D_realvol_20"} <= set(out.columns):
         out = out.withColumn("X_relvol_20", w.ratio("D_realvol_20", "MKT_D_realvol_20"))
     return out
 
 
-def align_to_sessions(bars: DataFrame, sessions: DataFrame, lag: int = 0) -> DataFrame:
+def align_to_sessions(bars: DataFrame, sessions: DataFrame, lag: int | dict[str, int] = 0) -> DataFrame:
     """One row for each series and session from its first bar on: the close held forward, its age in
-    sessions, then both lagged.  A session's key is broadcast only as far as Spark's own threshold allows."""
-    span = bars.groupBy("symbol").agg(F.min("session_date").alias("_first"))
-    grid = span.join(sessions.select("session_date"), F.col("session_date") >= F.col("_first")).drop("_first")
+    sessions, then both lagged (by one number, or by a number a series).
+
+    Sessions are numbered, and a series is expanded from the number of its first one, so nothing is joined over ranges.
+    """
+    along = Window.orderBy("session_date")
+    pos = sessions.select("session_date").distinct().select("session_date", F.row_number().over(along).alias("_pos"))
+    last = pos.agg(F.max("_pos").alias("_last"))
+    first = bars.groupBy("symbol").agg(F.min("session_date").alias("session_date"))
+    # The session on or after a first bar; this window runs over calendar days only.
+    days = pos.join(first.select("session_date").distinct(), "session_date", "full")
+    days = days.select("session_date", F.min("_pos").over(along.rowsBetween(0, Window.unboundedFollowing)).alias("_from")).filter("_from IS NOT NULL")
+    grid = first.join(days, "session_date").join(F.broadcast(last)).select("symbol", F.explode(F.sequence("_from", "_last")).alias("_pos"))
+    grid = grid.join(F.broadcast(pos), "_pos").drop("_pos")
     held = grid.join(bars.select("symbol", "session_date", "close"), ["symbol", "session_date"], "left")
     fresh = F.count("close").over(w.so_far())
     held = held.withColumn("_group", fresh).withColumn("close", F.last("close", ignorenulls=True).over(w.so_far()))
     inside = Window.partitionBy("symbol", "_group").orderBy("session_date")
     held = held.withColumn("stale", F.row_number().over(inside) - 1).drop("_group")
-    if lag:
-        held = held.withColumns({x: w.lag(x, lag) for x in ("close", "stale")})
-    return held
+    lags = {None: lag} if isinstance(lag, int) else lag
+    for name in ("close", "stale"):
+        x = F.col(name)
+        for n in sorted({v for v in lags.values() if v}):
+            late = F.lit(True) if isinstance(lag, int) else F.col("symbol").isin([k for k, v in lags.items() if v == n])
+            x = F.when(late, w.lag(name, n)).otherwise(x)
+        held = held.withColumn(f"_{name}", x)
+    return held.select("symbol", "session_date", F.col("_close").alias("close"), F.col("_stale").alias("stale"))
 
 
-def exogenous(panel: DataFrame, bars: DataFrame, names: list[str], lag: int = 0) -> DataFrame:
+def exogenous(panel: DataFrame, bars: DataFrame, names: list[str], lag: int | dict[str, int] = 0, sessions: DataFrame | None = None) -> DataFrame:
     """Adds <name>_close, <name>_stale, <name>_ret_1d of each outside series: one pivoted join, not one a series."""
-    sessions = panel.select("session_date").distinct()
-    a = align_to_sessions(bars.filter(F.col("symbol").isin(names)), sessions, lag)
+    days = panel.select("session_date").distinct() if sessions is None else sessions
+    a = align_to_sessions(bars.filter(F.col("symbol").isin(names)), days, lag)
     a = a.withColumn("ret", w.ratio("close", w.lag("close")) - 1)
     wide = a.groupBy("session_date").pivot("symbol", names).agg(F.first("close").alias("close"), F.first("stale").alias("stale"), F.first("ret").alias("ret_1d"))
     return panel.join(wide, "session_date", "left")
@@ -97,81 +156,158 @@ def folds(panel: DataFrame, n: int = 5, embargo: int = 5) -> DataFrame:
 
     The windows without a partition run over sessions, of which there are a few thousand at any size.
     """
-    if embargo < 5:
+    if embargo < HORIZON:
         raise ValueError("the embargo must cover the label horizon of five sessions")
     every = Window.orderBy("session_date")
-    s = panel.select("session_date").distinct().select("session_date", (F.row_number().over(every) - 1).alias("pos"), (F.ntile(n + 1).over(every) - 1).alias("block"))
+    days = panel.select("session_date").distinct()
+    if (there := days.count()) < (least := (n + 1) * (embargo + 10)):
+        raise ValueError(f"{there} sessions are too few for {n} folds: it takes {least}")
+    s = days.select("session_date", (F.row_number().over(every) - 1).alias("pos"), (F.ntile(n + 1).over(every) - 1).alias("block"))
     blocks = s.groupBy("block").agg(F.min("session_date").alias("test_start"), F.max("session_date").alias("test_end"), F.min("pos").alias("first"))
     first = s.agg(F.min("session_date").alias("train_start"))
     ends = s.select((F.col("pos") + 1 + embargo).alias("first"), F.col("session_date").alias("train_end"))
     return blocks.filter("block > 0").join(ends, "first").join(first).select(F.col("block").cast("int").alias("fold"), "train_start", "train_end", "test_start", "test_end")
 
 
-def fit_calibration(panel: DataFrame, fold_table: DataFrame, share: float = 0.75, gap: int = 5) -> DataFrame:
-    """Role of each session in each fold: fit (first 75 % of training), cal (after a gap), test."""
+def fit_calibration(panel: DataFrame, fold_table: DataFrame, share: float = 0.75, gap: int = 5, least: int = 40) -> DataFrame:
+    """Role of each session in each fold: fit (first 75 % of training), cal (after a gap), test.  Raises where a fold has
+    fewer than `least` sessions to train on."""
     s = panel.select("session_date").distinct()
-    x = s.join(fold_table, F.col("session_date").between(F.col("train_start"), F.col("test_end")))
+    x = s.join(F.broadcast(fold_table), F.col("session_date").between(F.col("train_start"), F.col("test_end")))
     train = F.col("session_date") <= F.col("train_end")
     x = x.withColumn("_train", train.cast("int"))
     pos = F.row_number().over(Window.partitionBy("fold", "_train").orderBy("session_date")) - 1
     size = F.count("*").over(Window.partitionBy("fold", "_train"))
-    cut = F.floor(size * share)
+    short = x.filter("_train = 1").groupBy("fold").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
+    if short is not None and short < least:
+        raise ValueError(f"a fold has {short} sessions to train on: it takes {least}")
+    cut = F.greatest(F.lit(1), F.least(F.floor(size * share), size - gap - 1))
     role = F.when((F.col("_train") == 1) & (pos < cut), "fit").when((F.col("_train") == 1) & (pos >= cut - 1 + gap), "cal").when(F.col("session_date") >= F.col("test_start"), "test")
     return x.select("fold", "session_date", role.alias("role")).filter("role IS NOT NULL")
 
 
 def universe_hash(symbols: list[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(symbols)).encode()).hexdigest()[:16]
+    return hashlib.sha256("|".join(sorted(symbols)).encode()).hexdigest()[:16]
 
 
-def build_signature(symbols: list[str], **settings) -> str:
-    """Changes whenever a stored panel can't be extended but must be built anew."""
-    return hashlib.sha256(json.dumps({"universe": universe_hash(symbols), **settings}, sort_keys=True).encode()).hexdigest()[:16]
+def build_signature(symbols: list[str], floor: float = 0.0, **settings) -> str:
+    """Changes whenever the rows of a stored panel mean something else, so that it can't be extended but must be built anew."""
+    parts = {"universe": universe_hash(symbols), "floor": f"{float(floor):.6g}", "window": LIQUIDITY_WINDOW, "variants": VARIANTS, "primary": PRIMARY, "horizon": HORIZON, "cross_section": sorted(CROSS_SECTION), **settings}
+    return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
-def build_panel(bars: DataFrame, names: list[str] | None = None, least_turnover: float = 0.0, since=None, least_names: int = LEAST_NAMES, least_bars: int = LEAST_BARS) -> DataFrame:
-    """Features, labels, liquidity floor, cross-section, thin sessions dropped last.
-
-    Everything is computed on full history; `since` slices at the end, so a rebuild of recent sessions
-    gives the very rows a full build gives.
-    """
+def series_frames(bars: DataFrame, names: list[str] | None = None, least_bars: int = LEAST_BARS) -> DataFrame:
+    """Features and labels of every series with enough bars, on its full history; the warm-up is dropped after all is computed."""
     long = bars.groupBy("symbol").agg(F.count("*").alias("_bars")).filter(F.col("_bars") >= least_bars).select("symbol")
     b = bars.join(long, "symbol", "left_semi")
-    wanted = list(names) if names is not None else [n for n in FEATURES if not n.startswith("_") and not n.endswith("_term")]
-    x = features(path_labels(base_labels(b)), wanted).filter("D_is_warmup = 0")
+    wanted = panel_names() if names is None else list(names)
+    x = path_labels(base_labels(b))
+    for build in dict.fromkeys(PERIODS[n] for n in wanted if n in PERIODS):
+        x = build(x)
+    x = features(x, [n for n in wanted if n not in PERIODS])
+    keep = [c for c in x.columns if c not in DROPPED and (c not in PERIODS or c in wanted)]
+    return x.filter("D_is_warmup = 0").select(*keep)
+
+
+def build_panel(bars: DataFrame, names: list[str] | None = None, least_turnover: float = 0.0, since=None, least_names: int = LEAST_NAMES, least_bars: int = LEAST_BARS, kinds: DataFrame | None = None, market: str | None = None, outside: list[str] | None = None, lags: dict[str, int] | None = None, sessions: DataFrame | None = None) -> DataFrame:
+    """Features, labels, liquidity floor, cross-section, market and outside series, thin sessions dropped last.
+
+    `kinds` (symbol, kind) tells equities, which alone are ranked, from the market series and the outside ones.  Outside
+    series are held forward over `sessions` and lagged by their own rule.  Everything is computed on full history;
+    `since` slices at the end, so a rebuild of recent sessions gives the very rows a full build gives.
+    """
+    ranked = bars if kinds is None else bars.join(kinds.filter("kind = 'equity'").select("symbol"), "symbol", "left_semi")
+    x = series_frames(ranked, names, least_bars)
     x = cross_section(liquidity_floor(x, least_turnover))
+    if market is not None:
+        wanted = [n for n in MARKET if n in FEATURES]
+        index = features(bars.filter(F.col("symbol") == market), wanted).filter("D_is_warmup = 0")
+        x = market_relative(x, index.select("session_date", *wanted))
+    if outside:
+        x = exogenous(x, bars, outside, lags or 0, sessions)
     x = x.filter(F.col("X_universe_size") >= least_names)
     return x if since is None else x.filter(F.col("session_date") >= F.lit(since))
 
 
-def write_panel(panel: DataFrame, path: str, meta: dict, mode: str = "overwrite") -> None:
-    """Partitions by month; a rebuild overwrites only the months it holds.  Metadata go beside as JSON."""
+def write_panel(panel: DataFrame, path: str, meta: dict, full: bool = True) -> None:
+    """Partitions by month.  A full build replaces the whole panel, a rebuild the months it holds.  Metadata go beside as
+    JSON, after the rows."""
     spark: SparkSession = panel.sparkSession
     out = panel.withColumn("month", F.date_format("session_date", "yyyy-MM"))
-    out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{path}/panel")
-    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "static" if full else "dynamic").partitionBy("month").parquet(f"{path}/panel")
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def read_meta(spark: SparkSession, path: str) -> dict | None:
+    """None where the metadata are missing or aren't JSON: such a panel is built anew."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.text(f"{path}/meta").collect()
+    except AnalysisException:
+        return None
     try:
-        return json.loads(spark.read.text(f"{path}/meta").first()[0])
-    except Exception:  # noqa: BLE001  a missing or broken sidecar means: build anew
+        return json.loads(rows[0][0])
+    except (IndexError, ValueError):
         return None
 
 
-def update_panel(bars: DataFrame, path: str, rebuild_sessions: int = 20, **settings) -> str:
-    """Full build where the signature changed, otherwise the months of the last sessions only."""
+def panel_meta(panel: DataFrame, symbols: list[str], floor: float, signature: str, mode: str, trusted: bool | None = None) -> dict:
+    """What is known of a stored panel: its size and span, its labels, and how it was built."""
+    y = F.col("label_touch") if "label_touch" in panel.columns else F.lit(None).cast("int")
+    r = panel.agg(F.count("*").alias("rows"), F.count_distinct("symbol").alias("n"), F.min("session_date").alias("first"), F.max("session_date").alias("last"), F.count(y).alias("resolved"), F.avg(y).alias("rate")).first()
+    return {
+        "built_at": datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds"), "rows": r.rows, "columns": len(panel.columns), "symbols": r.n, "first_session": str(r.first), "last_session": str(r.last),
+        "labels_resolved": r.resolved, "labels_pending": r.rows - r.resolved, "label_positive_rate": r.rate, "calendar_trusted": trusted, "liquidity_floor": float(floor), "liquidity_window": LIQUIDITY_WINDOW,
+        "universe_hash": universe_hash(symbols), "universe": sorted(symbols), "signature": signature, "feature_columns": len(feature_columns(panel.columns)), "mode": mode,
+    }
+
+
+def update_panel(bars: DataFrame, path: str, rebuild_sessions: int = 15, full: bool = False, trusted: bool | None = None, **settings) -> str:
+    """Full build where the signature changed, otherwise the months of the last sessions (those whose bars may have been
+    corrected or whose labels may have become known) only.  Rows of series that aren't in `bars` any more don't stay."""
     spark = bars.sparkSession
-    symbols = [r.symbol for r in bars.select("symbol").distinct().collect()]
-    signature = build_signature(symbols, **{k: v for k, v in settings.items() if k != "names"}, columns=settings.get("names") or "all")
-    meta = read_meta(spark, path)
+    kinds = settings.get("kinds")
+    ranked = bars if kinds is None else bars.join(kinds.filter("kind = 'equity'").select("symbol"), "symbol", "left_semi")
+    symbols = [r.symbol for r in ranked.select("symbol").distinct().collect()]
+    told = {k: v for k, v in settings.items() if k not in ("names", "kinds", "sessions", "least_turnover")}
+    floor = settings.get("least_turnover", 0.0)
+    signature = build_signature(symbols, floor, columns=settings.get("names") or "all", **told)
+    meta = None if full else read_meta(spark, path)
     since = None
     if meta and meta.get("signature") == signature:
-        last = bars.select("session_date").distinct().orderBy(F.desc("session_date")).limit(rebuild_sessions).agg(F.min("session_date")).first()[0]
+        last = bars.select("session_date").distinct().orderBy(F.desc("session_date")).limit(rebuild_sessions + HORIZON).agg(F.min("session_date")).first()[0]
         since = last.replace(day=1)
+        kept = spark.read.parquet(f"{path}/panel").filter(F.col("session_date") < F.lit(since))
+        if kept.join(ranked.select("symbol").distinct(), "symbol", "left_anti").limit(1).count():
+            since = None
     panel = build_panel(bars, since=since, **settings)
-    write_panel(panel, path, {"signature": signature, "symbols": len(symbols)})
-    return "incremental" if since else "full"
+    mode = "incremental" if since else "full"
+    write_panel(panel, path, {"signature": None}, since is None)
+    stored = spark.read.parquet(f"{path}/panel").drop("month")
+    meta = panel_meta(stored, symbols, floor, signature, mode, trusted)
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    return mode
+
+
+def build_gated(bars: DataFrame, meta: DataFrame, path: str, market: str | None = None, outside: list[str] | None = None, published: DataFrame | None = None, allow_partial: bool = False, allow_unverified: bool = False, schema_version: str | None = None, **settings) -> str:
+    """The whole build: the calendar, the gate, and a panel of what passed.
+
+    `meta` is what `quality.gate` takes, with series_kind and session_end.  Raises if any series is quarantined, unless
+    partial panels are allowed, or if none passed.  Series that end after the exchange's close are lagged by a session.
+    """
+    kinds = meta.select("symbol", F.coalesce("series_kind", F.lit("equity")).alias("kind"))
+    calendar = quality.build_calendar(bars, market, published, kinds)
+    gated = quality.gate(bars, calendar, meta, schema_version, allow_unverified=allow_unverified)
+    allowed = quality.assert_ready(gated, allow_partial)
+    passed = bars.join(allowed, "symbol", "left_semi")
+    names = {r.symbol for r in allowed.collect()}
+    if not names:
+        raise ValueError("no series passed the gate")
+    ends = {r.symbol: r.session_end for r in meta.select("symbol", "session_end").collect()} if "session_end" in meta.columns else {}
+    lags = {k: int((v or "") > "15:30") for k, v in ends.items()}
+    there = [x for x in outside or [] if x in names]
+    return update_panel(passed, path, trusted=calendar.trusted, kinds=kinds.join(allowed, "symbol", "left_semi"), market=market if market in names else None, outside=there, lags={k: v for k, v in lags.items() if k in there}, sessions=calendar.sessions, **settings)
 
 
 def contract(names: list[str]) -> list[tuple]:

@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
-import datetime
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridion.functions import windows as w
+from meridion.operators import ingest
 from meridion.operators.labels import simple_atr_pct
 
-#: The grids of targets and stops, as fractions and as multiples of volatility.
-TARGETS, STOPS = (0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.10), (0.01, 0.02, 0.03, 0.04, 0.05)
-ATR_TARGETS, ATR_STOPS = (1.0, 1.5, 2.0, 2.5, 3.0), (0.5, 1.0, 1.5, 2.0)
+#: The grids of targets and stops, as fractions and as multiples of volatility, and the cost of a round trip.
+TARGETS, STOPS = (0.02, 0.03, 0.04, 0.05, 0.07, 0.10, 0.15), (0.015, 0.02, 0.03, 0.04, 0.05)
+ATR_TARGETS, ATR_STOPS = (0.75, 1.0, 1.5, 2.0, 3.0), (0.5, 0.75, 1.0, 1.5)
 COST = 0.0035
+#: Names of regimes (the middle one where no rule holds), and of amounts of evidence.
+REGIMES = ("strong_uptrend", "weak_uptrend", "sideways", "weak_downtrend", "strong_downtrend", "vol_compression", "vol_expansion")
+EVIDENCE = ("insufficient", "weak", "moderate", "strong")
+#: What a personality is made of, and how each part is read.
+DIMENSIONS = {
+    "label_touch": ("rate", "P(+5% within 5d)"), "label_tp_before_sl": ("rate", "P(TP before SL)"), "label_fwd_ret_5d": ("mean", "Expected 5d return"),
+    "label_mfe_5d": ("mean", "Expected MFE"), "label_mae_5d": ("mean", "Expected MAE"), "label_days_to_tp": ("mean", "Days to target"),
+}
+
+
+def liquid_sample(bars: DataFrame, sample: int | None = None, least_turnover: float = 0.0, seed: int = 0) -> DataFrame:
+    """Bars of the series whose recent median turnover reaches the floor, and of those of `sample` that the seed picks."""
+    out = bars
+    if least_turnover:
+        out = out.join(ingest.turnover(bars).filter(F.col("median_turnover") >= least_turnover).select("symbol"), "symbol", "left_semi")
+    return out if sample is None else out.join(ingest.sample_symbols(out, sample, seed), "symbol", "left_semi")
 
 
 def episodes(bars: DataFrame, horizon: int = 5, first: int = 60, least: int = 80) -> DataFrame:
@@ -34,189 +49,137 @@ def episodes(bars: DataFrame, horizon: int = 5, first: int = 60, least: int = 80
 def barrier_scan(paths: DataFrame, targets=TARGETS, stops=STOPS, scaled: bool = False, cost: float = COST) -> DataFrame:
     """Per target and stop: how often each is met, which first, when, and what that pays.
 
-    The grid is exploded beside each episode and pre-aggregated in place; an episode never meets another.
+    Payoffs are those of the median levels, and of the mean end return where neither is met, less the cost.  `lo` counts
+    a session that meets both barriers as the stop, `hi` as the target.  `breakeven` is the rate of targets that pays
+    the stops, the cost and what is left unresolved; `lift_needed` is what that asks above `tp_first_lo`.  Scaled grids
+    leave out episodes without a volatility.  The grid is exploded beside each episode and pre-aggregated in place.
     """
     grid = F.array(*[F.struct(F.lit(float(t)).alias("tp"), F.lit(float(s)).alias("sl")) for t in targets for s in stops])
-    x = paths.filter(F.col("atr_pct").isNotNull() & F.col("fwd_ret").isNotNull()).select("*", F.explode(grid).alias("g")).select("*", "g.tp", "g.sl")
+    x = (paths.filter(F.col("atr_pct").isNotNull()) if scaled else paths).select("*", F.explode(grid).alias("g")).select("*", "g.tp", "g.sl")
     unit = F.col("atr_pct") if scaled else F.lit(1.0)
-    up, down = F.col("tp") * unit, F.col("sl") * unit
-    first = lambda path, hit: F.array_position(F.transform(path, lambda v: F.when(hit(v), 1).otherwise(0)), 1)
-    x = x.withColumns({"_up": up, "_down": down})
-    k_tp, k_sl = first("run_hi", lambda v: v >= F.col("_up")), first("run_lo", lambda v: v <= -F.col("_down"))
-    x = x.withColumns({"k_tp": F.nullif(k_tp, F.lit(0)), "k_sl": F.nullif(k_sl, F.lit(0))})
+    x = x.withColumns({"_up": F.col("tp") * unit, "_down": F.col("sl") * unit})
+    first = lambda path, hit: F.nullif(F.array_position(F.transform(path, lambda v: F.when(hit(v), 1).otherwise(0)), 1), F.lit(0))
+    x = x.withColumns({"k_tp": first("run_hi", lambda v: v >= F.col("_up")), "k_sl": first("run_lo", lambda v: v <= -F.col("_down"))})
     tp, sl = F.col("k_tp").isNotNull(), F.col("k_sl").isNotNull()
-    clear = tp & (~sl | (F.col("k_tp") < F.col("k_sl")))
-    tie = tp & sl & (F.col("k_tp") == F.col("k_sl"))
+    later = lambda a, b: F.col(a).isNotNull() & (F.col(b).isNull() | (F.col(a) < F.col(b)))
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
-    pay = lambda ties_win: F.avg(F.when(clear | (tie if ties_win else F.lit(False)), F.col("_up")).when(sl, -F.col("_down")).otherwise(F.col("fwd_ret")) - cost)
     out = x.groupBy("tp", "sl").agg(
-        F.count("*").alias("n"), share(tp).alias("tp_touch"), share(sl).alias("sl_touch"), share(~tp & ~sl).alias("neither"), share(clear).alias("tp_first_lo"), share(clear | tie).alias("tp_first_hi"), share(tie).alias("ambiguous"),
-        w.median(F.col("k_tp")).alias("median_days"), share(F.col("k_tp") <= 1).alias("within_1d"), share(F.col("k_tp") <= 3).alias("within_3d"), pay(False).alias("pay_lo"), pay(True).alias("pay_hi"),
+        F.count("*").alias("n"), share(tp).alias("tp_touch"), share(sl).alias("sl_touch"), share(~tp & ~sl).alias("neither"),
+        share(later("k_tp", "k_sl")).alias("tp_first_lo"), share(later("k_sl", "k_tp")).alias("_sl_first"), share(F.col("k_tp") == F.col("k_sl")).alias("ambiguous"),
+        w.median(F.col("k_tp")).alias("median_days"), share(F.col("k_tp") <= 1).alias("within_1d"), share(F.col("k_tp") <= 3).alias("within_3d"),
+        w.median(F.col("_up")).alias("_tp"), w.median(F.col("_down")).alias("_sl"), F.coalesce(F.avg(F.when(~tp & ~sl, F.col("fwd_ret"))), F.lit(0.0)).alias("_rest"),
     )
-    return out.withColumn("breakeven", (F.col("sl") + (F.lit(0.0) if scaled else F.lit(cost))) / (F.col("tp") + F.col("sl"))).withColumn("lift", F.col("tp_first_lo") - F.col("breakeven"))
+    c = F.col
+    out = out.withColumn("tp_first_hi", c("tp_first_lo") + c("ambiguous"))
+    left = c("neither") * c("_rest")
+    out = out.withColumns({
+        "reward_risk": F.round(w.ratio("_tp", "_sl"), 2),
+        "pay_lo": c("tp_first_lo") * c("_tp") - (c("_sl_first") + c("ambiguous")) * c("_sl") + left - cost,
+        "pay_hi": c("tp_first_hi") * c("_tp") - c("_sl_first") * c("_sl") + left - cost,
+        "breakeven": w.ratio(F.lit(cost) + c("_sl") - left, c("_tp") + c("_sl")),
+    })
+    return out.withColumn("lift_needed", c("breakeven") - c("tp_first_lo")).drop("_tp", "_sl", "_rest", "_sl_first")
+
+
+def barrier_stability(paths: DataFrame, targets=TARGETS, stops=STOPS, blocks: int = 3, least: int = 5000, scaled: bool = False) -> DataFrame:
+    """One row: the mean rank correlation of the grid's payoffs between blocks of years, the pairs of blocks, a verdict.
+
+    Blocks with under `least` episodes don't count.  All blocks are scanned in one pass.
+    """
+    years = paths.select(F.year("session_date").alias("year")).distinct()
+    block = years.select("year", F.ntile(blocks).over(Window.orderBy("year")).alias("block"))
+    x = paths.withColumn("year", F.year("session_date")).join(F.broadcast(block), "year")
+    big = x.groupBy("block").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("block")
+    x = x.join(F.broadcast(big), "block")
+    scans = None
+    for b in range(1, blocks + 1):
+        one = barrier_scan(x.filter(F.col("block") == b), targets, stops, scaled).select("tp", "sl", F.lit(b).alias("block"), "pay_lo")
+        scans = one if scans is None else scans.unionByName(one)
+    # Ranks by the payoff as it is shown, rounded; equal ones in the order of the grid.
+    ranked = scans.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(F.desc(F.round("pay_lo", 5)), "tp", "sl")).cast("double"))
+    a, c = ranked.alias("a"), ranked.alias("c")
+    pairs = a.join(c, (F.col("a.tp") == F.col("c.tp")) & (F.col("a.sl") == F.col("c.sl")) & (F.col("a.block") < F.col("c.block")))
+    by = pairs.groupBy(F.col("a.block").alias("one"), F.col("c.block").alias("two")).agg(F.corr("a.r", "c.r").alias("rho"), F.count("*").alias("n")).filter("n > 3")
+    mean = by.agg(F.avg("rho").alias("mean_rho"), F.count("rho").alias("pairs"))
+    return mean.withColumn("verdict", F.when(F.col("mean_rho") > 0.7, "stable").when(F.col("mean_rho") < 0.4, "unstable").when(F.col("mean_rho").isNotNull(), "partly stable"))
 
 
 def regimes(features: DataFrame, trend: str, volatility: str, location: str, least: int = 252) -> DataFrame:
-    """Trend regime by expanding ranks; extreme volatility overrides it; an unknown trend is unknown."""
-    x = features.select("*", w.expanding_rank(trend, least).alias("_t"), w.expanding_rank(volatility, least).alias("_v"), w.expanding_rank(location, least).alias("regime_location_pct"))
+    """Trend regime by expanding ranks of a series' own history; extreme volatility overrides it; an unknown trend is unknown."""
+    ranked = w.expanding_ranks(features, {"_t": trend, "_v": volatility, "_l": location}, least)
     t, v = F.col("_t"), F.col("_v")
-    base = F.when(t >= 0.8, "strong_up").when(t >= 0.6, "up").when(t > 0.4, "range").when(t > 0.2, "down").otherwise("strong_down")
-    return x.withColumn("regime", F.when(t.isNull(), None).when(v >= 0.85, "expansion").when(v <= 0.15, "compression").otherwise(base)).drop("_t", "_v")
+    up2, up1, flat, down1, down2, calm, wild = (F.lit(r) for r in REGIMES)
+    base = F.when(t >= 0.8, up2).when(t >= 0.6, up1).when(t <= 0.2, down2).when(t <= 0.4, down1).otherwise(flat)
+    regime = F.when(t.isNotNull(), F.when(v >= 0.85, wild).when(v <= 0.15, calm).otherwise(base))
+    return ranked.withColumns({"regime": regime, "regime_location_pct": F.round("_l", 3)}).drop("_t", "_v", "_l")
 
 
-def personality(labelled: DataFrame, label: str, by: str, lag: int = 5, strength: float = 50.0) -> DataFrame:
-    """Rate of a label for a series in its regime, shrunk to the rate of all series in that regime.
+def personality_many(labelled: DataFrame, outcomes: list[str], by: str, lag: int = 5, strength: float = 50.0) -> DataFrame:
+    """For each outcome: what a series did in its regime so far, what all did, and the first shrunk to the second.
 
-    Only outcomes that were known `lag` sessions before count.  The rate of all is summed per session
-    first and then over sessions, so that peers of the same session never see each other and no window
-    holds more than the sessions of a regime.
+    Only outcomes that were known `lag` sessions before count.  Rows of all series are taken in the order of session and
+    symbol; earlier sessions are summed by session first, so that no window holds more than the sessions of a regime or
+    the series of a session.  n, its conservative effective size and the evidence come from the first outcome; the first
+    row of a series in a regime has none.  All outcomes share the shuffles of one.
     """
-    x = labelled.withColumn("_y", w.lag(label, lag)).filter(F.col(by).isNotNull())
+    x = labelled.withColumns({f"_{y}": w.lag(F.col(y).cast("double"), lag) for y in outcomes}).filter(F.col(by).isNotNull())
     own = Window.partitionBy("symbol", by).orderBy("session_date").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.select("*", F.coalesce(F.count("_y").over(own), F.lit(0)).alias("n"), F.coalesce(F.sum("_y").over(own), F.lit(0.0)).alias("_s"))
-    day = x.groupBy(by, "session_date").agg(F.count("_y").alias("_dn"), F.sum("_y").alias("_ds"))
+    peers = Window.partitionBy(by, "session_date").orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
+    many = lambda f, frame, name: {f"{name}{i}": F.coalesce(f(f"_{y}").over(frame), F.lit(0)) for i, y in enumerate(outcomes)}
+    x = x.withColumns(many(F.count, own, "_n") | many(F.sum, own, "_s") | many(F.count, peers, "_pn") | many(F.sum, peers, "_ps") | {"_rows": F.count("*").over(own)})
+    day = x.groupBy(by, "session_date").agg(*[f(f"_{y}").alias(f"_d{n}{i}") for i, y in enumerate(outcomes) for f, n in ((F.count, "n"), (F.sum, "s"))])
     along = Window.partitionBy(by).orderBy("session_date").rowsBetween(Window.unboundedPreceding, -1)
-    day = day.select(by, "session_date", w.ratio(F.sum("_ds").over(along), F.sum("_dn").over(along).cast("double")).alias("global_rate"))
+    day = day.select(by, "session_date", *[F.coalesce(F.sum(f"_d{n}{i}").over(along), F.lit(0)).alias(f"_g{n}{i}") for i in range(len(outcomes)) for n in "ns"])
     x = x.join(day, [by, "session_date"])
-    eff = F.col("n") / F.lit(float(lag))
-    stock = w.ratio(F.col("_s"), F.col("n").cast("double"))
-    est = (eff * F.coalesce(stock, F.lit(0.0)) + strength * F.col("global_rate")) / (eff + strength)
-    evidence = F.when(eff < 5, "none").when(eff < 20, "thin").when(eff < 60, "some").otherwise("ample")
-    return x.select("symbol", "session_date", by, "n", stock.alias("stock_rate"), "global_rate", est.alias("estimate"), (eff / (eff + strength)).alias("weight"), evidence.alias("evidence"))
-
-
-def quantile_edges(states: DataFrame, columns: list[str], epochs: list[datetime.date], steps: int = 1000, least: int = 5000) -> DataFrame:
-    """For each epoch with enough earlier rows: `steps`+1 percentiles of each column of those rows."""
-    grid = [i / steps for i in range(steps + 1)]
-    e = states.sparkSession.createDataFrame([(x,) for x in epochs], "epoch date")
-    prior = states.join(F.broadcast(e), F.col("session_date") < F.col("epoch"))
-    out = prior.groupBy("epoch").agg(F.count("*").alias("rows"), *[F.percentile(x, F.lit(grid)).alias(x) for x in columns])
-    return out.filter(F.col("rows") >= least)
-
-
-def normalise(states: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame:
-    """Each column as the share of the latest epoch's edges below it, in 0..1; rows before any epoch drop out."""
-    e = F.broadcast(edges.select("epoch", *[F.col(x).alias(f"_e_{x}") for x in columns]))
-    found = states.join(e, F.col("epoch") <= F.col("session_date"))
-    latest = found.withColumn("_r", F.row_number().over(Window.partitionBy("symbol", "session_date").orderBy(F.desc("epoch")))).filter("_r = 1")
-    share = lambda x: F.when(F.col(x).isNotNull(), w.clip(F.size(F.filter(f"_e_{x}", lambda v: v < F.col(x))) / (F.size(f"_e_{x}") - 1), 0, 1))
-    return latest.select("symbol", "session_date", "epoch", *[share(x).alias(x) for x in columns])
-
-
-def decluster(order: np.ndarray, symbols: np.ndarray, positions: np.ndarray, apart: int, most: int) -> list[int]:
-    """Nearest first, skipping what lies within `apart` sessions of a taken row of the same symbol."""
-    taken: dict[str, list[int]] = {}
-    out = []
-    for i in order:
-        near = taken.setdefault(symbols[i], [])
-        if all(abs(int(positions[i]) - p) >= apart for p in near):
-            near.append(int(positions[i]))
-            out.append(int(i))
-            if len(out) == most:
-                break
-    return out
+    n = lambda i: F.when(F.col("_rows") > 0, F.col(f"_n{i}"))
+    cols = [n(0).alias("n"), (n(0) / F.lit(float(lag))).alias("n_eff")]
+    for i, y in enumerate(outcomes):
+        eff = n(i) / F.lit(float(lag))
+        stock = w.ratio(F.col(f"_s{i}"), F.col(f"_n{i}").cast("double"))
+        every = w.ratio(F.col(f"_gs{i}") + F.col(f"_ps{i}"), (F.col(f"_gn{i}") + F.col(f"_pn{i}")).cast("double"))
+        est = F.when(eff.isNotNull(), F.when(stock.isNull(), every).otherwise((eff * stock + strength * every) / (eff + strength)))
+        cols += [est.alias(f"{y}__est"), stock.alias(f"{y}__stock"), every.alias(f"{y}__global")]
+    out = x.select("symbol", "session_date", by, *cols)
+    eff = F.coalesce("n_eff", F.lit(0.0))
+    none, thin, some, ample = (F.lit(e) for e in EVIDENCE)
+    evidence = F.when(eff < 5, none).when(eff < 20, thin).when(eff < 60, some).otherwise(ample)
+    return out.withColumns({"weight": F.col("n_eff") / (F.col("n_eff") + strength), "evidence": evidence})
 
 
-def nearest(states: DataFrame, queries: DataFrame, columns: list[str], k: int = 100, lag: int = 5, apart: int = 5, scope: str = "cross", outcome: str | None = None, shards: int = 16, edges: DataFrame | None = None, percentile: float | None = None, least: int = 1, cover: int = 0) -> DataFrame:
-    """The k nearest earlier states of each query, at least `apart` sessions apart within a symbol (0: all).
+def personality(labelled: DataFrame, label: str, by: str, lag: int = 5, strength: float = 50.0) -> DataFrame:
+    """`personality_many` of one outcome: stock_rate, global_rate and their shrunk estimate."""
+    p = personality_many(labelled, [label], by, lag, strength)
+    names = {f"{label}__stock": "stock_rate", f"{label}__global": "global_rate", f"{label}__est": "estimate"}
+    return p.select("symbol", "session_date", by, "n", *[F.col(a).alias(b) for a, b in names.items()], "weight", "evidence")
 
-    A state counts if it is `lag` sessions older than the query; `scope` is cross (other symbols) or self.
-    With `edges` (`quantile_edges`) a query and its pool are placed on the edges of the latest epoch at the
-    query's date; queries before any epoch drop out.  With `percentile` only neighbours within that percentile
-    of the query's distances to its whole pool are kept, after the nearest `5 k` were declustered.  Queries with
-    fewer than `least` states in their pool, or on a session with fewer than `cover` earlier states of any symbol,
-    have no neighbours.
 
-    Queries meet the pool shard by shard in blocks; a shard returns enough candidates for any
-    declustering that keeps k (k times the sessions within `apart`), or for the percentile, and those are
-    thinned once more.  Edges are one small array an epoch.
-    """
-    extra = [outcome] if outcome else []
-    plain = states.select("symbol", "session_pos", "session_date", *columns, *extra).na.drop(subset=columns)
-    total = plain.count() if percentile is not None else 0
-    #: Order statistics below and above the percentile of a pool of n.
-    below = lambda n: (n - 1) * (percentile or 0) / 100
-    keep = min(5 * k, int(below(total)) + 2) if percentile is not None else k * max(1, 2 * apart - 1)
-    table = sorted((r.epoch, np.array([r[x] for x in columns])) for r in edges.select("epoch", *columns).collect()) if edges is not None else []
-    starts = [e for e, _ in table]
-    pool = plain.withColumn("_shard", F.pmod(F.xxhash64("symbol", "session_pos"), F.lit(shards)))
-    q = queries.select(F.col("symbol").alias("q_symbol"), F.col("session_pos").alias("q_pos"), F.col("session_date").alias("q_date"), *[F.col(x).alias(f"q_{x}") for x in columns]).na.drop()
-    q = q.filter(F.col("q_date") >= F.lit(starts[0]) if starts else F.lit(edges is None))
-    if cover:
-        by = plain.groupBy("session_pos").agg(F.count("*").alias("_c"))
-        days = q.select("q_pos").distinct().join(F.broadcast(by), F.col("session_pos") <= F.col("q_pos") - lag).groupBy("q_pos").agg(F.sum("_c").alias("_c")).filter(F.col("_c") >= cover)
-        q = q.join(F.broadcast(days.select("q_pos")), "q_pos")
-    q = q.withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    fields = "q_symbol string, q_date date, symbol string, session_pos long, session_date date, distance double" + (f", {outcome} double" if outcome else "")
-
-    def placed(x: np.ndarray, epoch: int) -> np.ndarray:
-        if epoch < 0:
-            return x.astype(np.float32)
-        e = table[epoch][1]
-        return np.stack([np.clip(np.searchsorted(e[j], x[:, j], side="left") / (len(e[j]) - 1), 0, 1) for j in range(len(e))], 1).astype(np.float32)
+def card(table: DataFrame, symbol: str, date) -> DataFrame:
+    """The latest row of a series at or before a date."""
+    rest = [c for c in table.columns if c not in ("symbol", "session_date")]
+    x = table.filter((F.col("symbol") == symbol) & (F.col("session_date") <= F.lit(date)))
+    last = x.agg(F.max_by(F.struct("symbol", "session_date", *rest), "session_date").alias("r"))
+    return last.filter("r IS NOT NULL").select("r.*")
 
-    def search(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        p = p.sort_values(["symbol", "session_pos"], ignore_index=True)  # a stable sort by distance then breaks ties
-        raw, asked = p[columns].to_numpy(np.float64), q[[f"q_{c}" for c in columns]].to_numpy(np.float64)
-        symbols, sessions = p["symbol"].to_numpy(), p["session_pos"].to_numpy()
-        epochs = np.searchsorted(np.array(starts, "datetime64[D]"), q["q_date"].to_numpy().astype("datetime64[D]"), side="right") - 1 if starts else np.full(len(q), -1)
-        for epoch in np.unique(epochs):
-            x, mine = placed(raw, epoch), np.flatnonzero(epochs == epoch)
-            for i in range(0, len(mine), step := max(1, (8 << 20) // max(1, len(p)))):
-                at = mine[i : i + step]
-                part = q.iloc[at]
-                y = placed(asked[at], epoch)
-                d = np.zeros((len(y), len(x)), np.float32)
-                for c in range(len(columns)):  # by differences, so that equal distances are equal in every shard
-                    d += (y[:, c, None] - x[None, :, c]) ** 2
-                d = np.sqrt(d).astype(np.float64)
-                older = sessions[None, :] <= part["q_pos"].to_numpy()[:, None] - lag
-                own = symbols[None, :] == part["q_symbol"].to_numpy()[:, None]
-                d[~(older & (own if scope == "self" else ~own))] = np.inf
-                for j, (symbol, day) in enumerate(zip(part["q_symbol"], part["q_date"])):
-                    n = int(np.isfinite(d[j]).sum())
-                    best = np.argsort(d[j], kind="stable")[:n]
-                    if percentile is not None and n > keep:
-                        best = best[: np.searchsorted(d[j][best], d[j][best[keep - 1]], side="right")][: 5 * k]  # with ties
-                    best = best if percentile is not None else best[:keep]
-                    out.append((symbol, day, n, best, d[j][best]))
-        sizes = [len(b) for *_, b, _ in out]
-        best = np.concatenate([b for *_, b, _ in out]) if out else np.zeros(0, int)
-        rows = p.iloc[best][["symbol", "session_pos", "session_date", *extra]].reset_index(drop=True)
-        rows["distance"] = np.concatenate([d for *_, d in out]) if out else np.zeros(0)
-        for name, i in (("q_symbol", 0), ("q_date", 1), ("_pool", 2)):
-            rows[name] = np.repeat(np.array([o[i] for o in out], object), sizes)
-        rows["_pool"], rows["_part"] = rows["_pool"].astype("int64"), int(p["_shard"].iloc[0]) if len(p) else 0
-        return rows[names]
-
-    names = [f.split()[0] for f in fields.split(", ")] + ["_pool", "_part"]
-    found = pool.groupBy("_shard").cogroup(q.groupBy("_shard")).applyInPandas(search, fields + ", _pool long, _part long")
-
-    def thin(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.iloc[np.lexsort((g["session_pos"], g["symbol"], g["distance"]))]
-        n = int(g.drop_duplicates("_part")["_pool"].sum())
-        if percentile is not None:
-            d = g["distance"].to_numpy()
-            lo = int(below(n))
-            if lo + 1 < min(5 * k, len(d)):
-                cut = d[lo] + (below(n) - lo) * (d[lo + 1] - d[lo])
-                g = g[d <= cut]
-            g = g.iloc[: 5 * k]
-        at = decluster(np.arange(len(g)), g["symbol"].to_numpy(), g["session_pos"].to_numpy(), apart, k) if n >= least else []
-        out = g.iloc[at].drop(columns=["_pool", "_part"])
-        out["rank"] = range(1, len(out) + 1)
-        return out
-
-    return found.groupBy("q_symbol", "q_date").applyInPandas(thin, fields + ", rank int")
-
-
-def outcome_summary(neighbours: DataFrame, outcome: str) -> DataFrame:
-    q = F.percentile(outcome, F.lit([0.25, 0.5, 0.75]))
-    x = neighbours.groupBy("q_symbol", "q_date").agg(F.count(outcome).alias("n"), F.avg(outcome).alias("mean"), q.alias("q"), F.avg((F.col(outcome) > 0).cast("double")).alias("share_up"), F.avg("distance").alias("distance"))
-    agree = F.abs(F.col("share_up") - 0.5) * 2
-    tight = 1 / (1 + F.col("distance"))
-    return x.select("q_symbol", "q_date", "n", "mean", "share_up", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), (F.least(F.col("n") / 60, F.lit(1.0)) * tight * (0.5 + 0.5 * agree)).alias("evidence"))
+
+def card_text(personalities: DataFrame, panel: DataFrame | None, symbol: str, date, dimensions: dict = DIMENSIONS) -> str:
+    """A card to read: where the series stands (with a panel), and what its regime did to it and to all."""
+    rows = card(personalities, symbol, date).collect()
+    if not rows:
+        return f"{symbol}: no estimate at that date"
+    r = rows[0].asDict()
+    show = lambda v, kind: "n/a" if v is None else f"{v:.1%}" if kind == "rate" else f"{v:+.2%}" if kind == "move" else f"{v:.1f}"
+    out = [f"{symbol} - {r['session_date']}", f"  regime: {r['regime']}"]
+    if panel is not None and (at := card(panel, symbol, date).collect()):
+        a = at[0].asDict()
+        for column, name, kind in (("D_pos_in_52w_range", "position in the year's range", "number"), ("D_drawdown_252", "drawdown from the peak", "move"), ("D_realvol_20", "realised volatility, 20 days", "number")):
+            out.append(f"  {name}: {show(a.get(column), kind)}")
+    for column, (kind, name) in dimensions.items():
+        if r.get(f"{column}__est") is not None:
+            kind = kind if kind == "rate" else "number" if "days" in column else "move"
+            out.append(f"  {name}: {show(r[f'{column}__est'], kind)} (this series {show(r[f'{column}__stock'], kind)}, all {show(r[f'{column}__global'], kind)})")
+    n, eff = r.get("n") or 0, r.get("n_eff") or 0.0
+    out += [f"  episodes: {n}, taken as {eff:.0f} independent ones", f"  evidence: {r['evidence']}", f"  weight of this series: {show(r.get('weight') or 0.0, 'rate')}"]
+    return "\n".join([*out, "  Rates of the past, neither predictions nor calibrated."])
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096, shard: int = 16384) -> DataFrame:
@@ -254,181 +217,72 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096,
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "id"))).filter(F.col("rank") <= k)
 
 
-# Feature audit.
-def hygiene(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Coverage, distinct values, spread and tail share of each column, and whether it is usable."""
-    stats = [F.struct(F.lit(x).alias("feature"), F.avg(F.col(x).isNotNull().cast("double")).alias("coverage"), F.count_distinct(F.col(x)).alias("n_unique"), F.stddev_samp(F.col(x)).alias("std"), F.percentile(F.col(x), F.lit([0.01, 0.25, 0.75, 0.99])).alias("q")) for x in columns]
-    wide = df.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
-    iqr = F.col("q")[2] - F.col("q")[1]
-    limits = wide.select("*", (F.col("q")[0] - 10 * iqr).alias("lo"), (F.col("q")[3] + 10 * iqr).alias("hi"))
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).cast("double").alias("x")) for x in columns])).alias("x")).select("x.*")
-    tails = long.join(F.broadcast(limits.select("feature", "lo", "hi")), "feature").groupBy("feature").agg(F.avg(((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi"))).cast("double")).alias("tail_share"))
-    verdict = F.when(F.col("coverage") < 0.6, "sparse").when((F.col("n_unique") <= 1) | (F.coalesce("std", F.lit(0.0)) < 1e-10), "constant").otherwise("ok")
-    return wide.join(tails, "feature").select("feature", "coverage", "n_unique", "std", "tail_share", verdict.alias("verdict"))
-
-
-def rank_ic(df: DataFrame, columns: list[str], target: str, least: int = 20) -> DataFrame:
-    """Mean of the daily rank correlations of each column with the target."""
-    long = df.filter(F.col(target).isNotNull()).select("session_date", F.col(target).alias("y"), F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).cast("double").alias("x")) for x in columns])).alias("e")).select("session_date", "y", "e.*").filter("x IS NOT NULL")
-    by = ["feature", "session_date"]
-
-    def average_rank(x: str) -> Column:
-        return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
-
-    r = long.select(*by, "x", "y", average_rank("x").alias("rx"), average_rank("y").alias("ry"))
-    spread = F.stddev_pop("rx") * F.stddev_pop("ry")
-    daily = r.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("x").alias("dx"), F.count_distinct("y").alias("dy"), F.try_divide(F.covar_pop("rx", "ry"), F.when(spread > 1e-12, spread)).alias("ic"))
-    daily = daily.filter((F.col("n") >= least) & (F.col("dx") >= 3) & (F.col("dy") >= 3))
-    return daily.groupBy("feature").agg(F.count("ic").alias("sessions"), F.avg("ic").alias("ic"), F.stddev_samp("ic").alias("ic_std"))
-
-
-def interactions(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Products of centred session ranks."""
-    names = sorted({x for p in pairs for x in p})
-    r = df.select("*", *[(w.session_rank(x) - 0.5).alias(f"_r_{x}") for x in names])
-    return r.select(*df.columns, *[(F.col(f"_r_{a}") * F.col(f"_r_{b}")).alias(f"ix_{a}__{b}") for a, b in pairs])
-
-
-def correlations(df: DataFrame, columns: list[str], least: int = 200) -> DataFrame:
-    """Pairwise-complete Pearson correlations: sums for each pair in one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    stats = []
-    for a, b in pairs:
-        x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
-        spread = F.stddev_pop(x) * F.stddev_pop(y)
-        stats.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(F.col(a) + F.col(b)).alias("n"), F.try_divide(F.covar_pop(x, y), F.when(spread > 1e-12, spread)).alias("r")))
-    return df.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*").filter(F.col("n") >= least)
-
-
-def clusters(pairs: list[tuple[str, str, float]], strength: dict[str, float], limit: float = 0.85) -> dict[str, str]:
-    """Greedy: the strongest feature leads, and takes in all that correlate with it; a few hundred names."""
-    near: dict[str, set[str]] = {}
-    for a, b, r in pairs:
-        if r is not None and abs(r) >= limit:
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-    out: dict[str, str] = {}
-    for lead in sorted(strength, key=lambda x: (-strength[x], x)):
-        if lead not in out:
-            for x in {lead, *near.get(lead, ())}:
-                out.setdefault(x, lead)
-    return out
-
-
-def verdict(ic: Column, sign_share: Column, coverage: Column, leads: Column) -> Column:
-    return F.when(coverage < 0.6, "SPARSE").when(~leads, "REDUNDANT").when(F.abs(ic) < 0.01, "NOISE").when(sign_share < 1, "UNSTABLE").otherwise("KEEP")
-
-
 def eras(df: DataFrame, n: int = 3) -> DataFrame:
-    """Equal blocks of sessions."""
-    s = df.select("session_date").distinct().select("session_date", F.ntile(n).over(Window.orderBy("session_date")).alias("era"))
-    return df.join(F.broadcast(s), "session_date")
+    """Blocks of equally many rows in the order of session and symbol; a block may begin within a session."""
+    x = w.positions(df, "_pos", "_all")
+    # The first block whose upper place, (rows - 1) i / n, reaches the row's.
+    last = F.greatest(F.col("_all") - 1, F.lit(1))
+    return x.withColumn("era", F.greatest(F.lit(1), F.floor((F.col("_pos") * n + last - 1) / last)).cast("int")).drop("_pos", "_all")
 
 
 # Metrics of scored predictions (session_date, symbol, y, score).
-def top_n(scored: DataFrame, sizes: tuple[int, ...] = (1, 3, 5, 10), hurdle: float = 0.424) -> DataFrame:
+def top_n(scored: DataFrame, sizes: tuple[int, ...] = (1, 3, 5, 10), hurdle: float = 0.424, by: tuple[str, ...] = ()) -> DataFrame:
     """Realised rate of each session's best n, two standard errors, and whether the lower end clears the hurdle."""
-    r = scored.withColumn("rank", F.row_number().over(Window.partitionBy("session_date").orderBy(F.desc("score"), "symbol")))
-    picks = r.filter(F.col("rank") <= max(sizes)).select("y", F.explode(F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: n >= F.col("rank"))).alias("top"))
-    x = picks.groupBy("top").agg(F.count("*").alias("n"), F.avg("y").alias("rate"))
+    r = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "session_date").orderBy(F.desc("score"), "symbol")))
+    picks = r.filter(F.col("rank") <= max(sizes)).select(*by, "y", F.explode(F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: n >= F.col("rank"))).alias("top"))
+    x = picks.groupBy(*by, "top").agg(F.count("*").alias("n"), F.avg("y").alias("rate"))
     se = 2 * F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("n"))
-    return x.select("top", "n", "rate", se.alias("two_se"), (F.col("rate") - se > hurdle).alias("clears"))
+    return x.select(*by, "top", "n", "rate", se.alias("two_se"), (F.col("rate") - se > hurdle).alias("clears"))
 
 
 def classification(scored: DataFrame) -> DataFrame:
-    """AUC by average ranks, Brier score, log loss.
-
-    Ranks come from counts of distinct scores: a sum along distinct scores is the only unpartitioned
-    window, and scores are pre-aggregated for it.
-    """
+    """AUC by average ranks, Brier score, log loss; ranks come from running totals over ranges of the distinct scores."""
     by = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    auc = by.select("*", (below + (F.col("n") + 1) / 2).alias("rank")).agg(F.sum(F.col("rank") * F.col("pos")).alias("s"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
+    ranked = w.running_total(by, "score", ["n"])
+    auc = ranked.select("*", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank")).agg(F.sum(F.col("rank") * F.col("pos")).alias("s"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     p = F.least(F.greatest(F.col("score"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    rest = scored.agg(F.avg((F.col("score") - F.col("y")) ** 2).alias("brier"), F.avg(-(F.col("y") * F.ln(p) + (1 - F.col("y")) * F.ln(1 - p))).alias("logloss"), F.count("*").alias("n"))
+    rest = scored.agg(F.avg((p - F.col("y")) ** 2).alias("brier"), F.avg(-(F.col("y") * F.ln(p) + (1 - F.col("y")) * F.ln(1 - p))).alias("logloss"), F.count("*").alias("n"))
     return auc.join(rest).select("n", F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"), "brier", "logloss")
 
 
-def barrier_stability(paths: DataFrame, targets=TARGETS, stops=STOPS, blocks: int = 3, least: int = 5000) -> DataFrame:
-    """Rank correlations of the grid's payoffs between blocks of sessions, and whether they agree."""
-    s = paths.select("session_date").distinct().select("session_date", F.ntile(blocks).over(Window.orderBy("session_date")).alias("block"))
-    x = paths.join(F.broadcast(s), "session_date")
-    scans = None
-    for b in range(1, blocks + 1):
-        one = barrier_scan(x.filter(F.col("block") == b).drop("block"), targets, stops).filter(F.col("n") >= least)
-        one = one.select("tp", "sl", F.lit(b).alias("block"), F.rank().over(Window.orderBy(F.desc("pay_lo"))).cast("double").alias("r"))
-        scans = one if scans is None else scans.unionByName(one)
-    a, c = scans.alias("a"), scans.alias("c")
-    pairs = a.join(c, (F.col("a.tp") == F.col("c.tp")) & (F.col("a.sl") == F.col("c.sl")) & (F.col("a.block") < F.col("c.block")))
-    spread = F.stddev_pop("a.r") * F.stddev_pop("c.r")
-    by = pairs.groupBy(F.col("a.block").alias("one"), F.col("c.block").alias("two")).agg(F.try_divide(F.covar_pop("a.r", "c.r"), F.when(spread > 1e-12, spread)).alias("rho"))
-    mean = by.agg(F.avg("rho").alias("mean_rho"), F.count("rho").alias("pairs"))
-    return mean.withColumn("verdict", F.when(F.col("mean_rho") > 0.7, "stable").when(F.col("mean_rho") < 0.4, "unstable").otherwise("mixed"))
+def daily_rank_correlation(scored: DataFrame, by: tuple[str, ...] = (), least: int = 3) -> DataFrame:
+    """Mean and median over sessions of the rank correlation of score and outcome; sessions of one outcome don't count."""
+    key = [*by, "session_date"]
+    rank = lambda x: F.rank().over(Window.partitionBy(*key).orderBy(x)) + (F.count("*").over(Window.partitionBy(*key, x)) - 1) / 2
+    r = scored.select(*key, "y", "score", rank("score").alias("rs"), rank("y").alias("ry"))
+    spread = F.stddev_pop("rs") * F.stddev_pop("ry")
+    d = r.groupBy(*key).agg(F.count("*").alias("n"), F.count_distinct("y").alias("k"), F.try_divide(F.covar_pop("rs", "ry"), F.when(spread > 1e-12, spread)).alias("ic"))
+    d = d.filter((F.col("n") >= least) & (F.col("k") >= 2))
+    return d.groupBy(*by).agg(F.count("ic").alias("sessions"), F.avg("ic").alias("mean_daily_spearman"), w.median(F.col("ic")).alias("median_daily_spearman"))
 
 
-def personality_many(labelled: DataFrame, outcomes: list[str], by: str, **settings) -> DataFrame:
-    """`personality` for several outcomes side by side; n comes from the first."""
+def fold_metrics(scored: DataFrame, hurdle: float = 0.424) -> DataFrame:
+    """A row a fold: size, base rate, AUC, log loss, Brier score, rates of the best n, daily rank correlation."""
     out = None
-    for y in outcomes:
-        p = personality(labelled, y, by, **settings)
-        cols = [F.col("estimate").alias(f"{y}__est"), F.col("stock_rate").alias(f"{y}__stock"), F.col("global_rate").alias(f"{y}__global")]
-        p = p.select("symbol", "session_date", by, *(["n", "evidence"] if out is None else []), *cols)
-        out = p if out is None else out.join(p.drop(by), ["symbol", "session_date"])
+    for fold in sorted(r.fold for r in scored.select("fold").distinct().collect()):
+        x = scored.filter(F.col("fold") == fold).select("session_date", "symbol", "y", "score")
+        tops = top_n(x, hurdle=hurdle).agg(*[F.max(F.when(F.col("top") == n, F.col(a))).alias(f"top{n}_{b}") for n in (1, 3, 5, 10) for a, b in (("rate", "realised"), ("two_se", "se2"), ("clears", "clears"))])
+        row = classification(x).join(x.agg(F.avg("y").alias("base_rate"))).join(tops).join(daily_rank_correlation(x).drop("sessions")).withColumn("fold", F.lit(fold))
+        out = row if out is None else out.unionByName(row)
+    for n in (1, 3, 5, 10):
+        out = out.withColumn(f"top{n}_lower_2se", F.col(f"top{n}_realised") - F.col(f"top{n}_se2"))
     return out
 
 
-def card(table: DataFrame, symbol: str, date) -> DataFrame:
-    """The latest row of a series at or before a date."""
-    rest = [c for c in table.columns if c not in ("symbol", "session_date")]
-    x = table.filter((F.col("symbol") == symbol) & (F.col("session_date") <= F.lit(date)))
-    last = x.agg(F.max_by(F.struct("symbol", "session_date", *rest), "session_date").alias("r"))
-    return last.filter("r IS NOT NULL").select("r.*")
+#: What is summarised over folds.
+SUMMARISED = ("auc", "logloss", "brier", "top1_realised", "top1_lower_2se", "top3_realised", "top3_lower_2se", "top5_realised", "top5_lower_2se", "top10_realised", "top10_lower_2se", "mean_daily_spearman")
 
 
-def derive(df: DataFrame, specs: list[tuple]) -> DataFrame:
-    """Distances in volatility, differences, ratios and slopes; specs whose inputs are missing are skipped.
-
-    ("dist", a, b, atr), ("diff", a, b), ("ratio", a, b), ("slope", a, k).
-    """
-    new = []
-    for kind, *args in specs:
-        names = [a for a in args if isinstance(a, str)]
-        if not set(names) <= set(df.columns):
-            continue
-        if kind == "dist":
-            new.append(w.ratio(F.col(args[0]) - F.col(args[1]), args[2]).alias(f"dist_{args[0]}__{args[1]}"))
-        elif kind == "diff":
-            new.append((F.col(args[0]) - F.col(args[1])).alias(f"diff_{args[0]}__{args[1]}"))
-        elif kind == "ratio":
-            new.append(w.ratio(args[0], args[1]).alias(f"ratio_{args[0]}__{args[1]}"))
-        elif kind == "slope":
-            new.append(((F.col(args[0]) - w.lag(args[0], args[1])) / args[1]).alias(f"slope{args[1]}_{args[0]}"))
-    return df.select("*", *new)
+def fold_summary(metrics: DataFrame, hurdle: float = 0.424) -> DataFrame:
+    """One row: mean, median and least of each metric over the folds, and whether every fold's first pick clears the hurdle."""
+    cols = [f(x).alias(f"{x}_{n}") for x in SUMMARISED for f, n in ((F.avg, "mean"), (lambda x: w.median(F.col(x)), "median"), (F.min, "min"))]
+    every = lambda x: F.coalesce(F.every(F.coalesce(F.col(x) > hurdle, F.lit(False))), F.lit(False))
+    return metrics.agg(F.count("*").alias("folds"), *cols, every("top1_realised").alias("top1_all_folds_above_hurdle"), every("top1_lower_2se").alias("top1_all_folds_clear_hurdle"))
 
 
 def stratified(df: DataFrame, cap: int) -> DataFrame:
-    """An even spread of at most `cap` rows in the order of (session_date, symbol): rows floor(i n / cap).
-
-    Positions come from per-session counts, so the only unpartitioned window runs over sessions.
-    """
-    by = df.groupBy("session_date").agg(F.count("*").alias("_c"))
-    by = by.select("session_date", F.coalesce(F.sum("_c").over(Window.orderBy("session_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
-    x = df.join(F.broadcast(by), "session_date").withColumn("_pos", F.col("_before") + F.row_number().over(Window.partitionBy("session_date").orderBy("symbol")) - 1)
+    """An even spread of at most `cap` rows in the order of (session_date, symbol): rows floor(i n / cap)."""
+    x = w.positions(df, "_pos", "_all")
     first = F.floor((F.col("_pos") * cap + F.col("_all") - 1) / F.col("_all"))  # smallest i with floor(i n / cap) >= pos
     keep = (F.col("_all") <= cap) | ((first < cap) & (F.floor(first * F.col("_all") / cap) == F.col("_pos")))
-    return x.filter(keep).drop("_before", "_all", "_pos")
-
-
-def evidence_features(states: DataFrame, columns: list[str], outcome: str, every: int = 5, k: int = 100, edges: DataFrame | None = None, own_least: int = 60, cover: int = 500) -> DataFrame:
-    """Per symbol, on every fifth session: what its nearest earlier states, of others and of its own, led to.
-
-    Those of others are the k nearest, its own are declustered; a session needs `cover` earlier states of any
-    symbol, and a symbol `own_least` of its own for the second block.
-    """
-    q = states.filter(F.col("session_pos") % every == 0)
-    cross = outcome_summary(nearest(states, q, columns, k=k, apart=0, scope="cross", outcome=outcome, edges=edges, cover=cover), outcome)
-    own = outcome_summary(nearest(states, q, columns, k=max(5, k // 4), scope="self", outcome=outcome, edges=edges, least=own_least, cover=cover), outcome)
-    name = lambda df, p: df.select(F.col("q_symbol").alias("symbol"), F.col("q_date").alias("session_date"), *[F.col(c).alias(f"{p}_{c}") for c in df.columns if not c.startswith("q_")])
-    x = name(cross, "cross").join(name(own, "self"), ["symbol", "session_date"], "left")
-    up = F.col("cross_share_up")
-    return x.select("*", (F.col("self_mean") - F.col("cross_mean")).alias("gap_mean"), (4 * up * (1 - up)).alias("dispersion"), (F.signum("self_mean") == F.signum("cross_mean")).cast("int").alias("agreement"))
+    return x.filter(keep).drop("_all", "_pos")

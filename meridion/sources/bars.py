@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meridion.work import kept
+
 BARS = T.StructType([
     T.StructField("symbol", T.StringType()), T.StructField("session_date", T.DateType()),
     *[T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume")],
@@ -41,12 +43,17 @@ def bars_of(rows: DataFrame, symbol: Column, day: Column, price: Column, volume:
 LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
 
+def _stored(spark: SparkSession, name: str, rows: DataFrame, *bars: object) -> DataFrame:
+    """Bars of a big table are a small one: a session writes them once, and its queries start from there."""
+    return kept(spark, name, [rows], lambda: bars_of(rows, *bars).repartition("symbol").sortWithinPartitions("symbol", "session_date"))
+
+
 def brand_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars of a part's brand; the part table is a dimension and joins on its key."""
     lines = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return bars_of(rows, F.col("p_brand"), F.date_trunc("week", "l_shipdate"), F.col("l_extendedprice"), F.col("l_quantity"), [F.col(c) for c in LINE_ORDER])
+    return _stored(spark, "brand_weeks", rows, F.col("p_brand"), F.date_trunc("week", "l_shipdate"), F.col("l_extendedprice"), F.col("l_quantity"), [F.col(c) for c in LINE_ORDER])
 
 
 def nation_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,13 +61,13 @@ def nation_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     rows = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    return bars_of(rows, F.col("s_nationkey"), F.to_date("l_shipdate"), F.col("l_extendedprice"), F.col("l_quantity"), [F.col(c) for c in LINE_ORDER])
+    return _stored(spark, "nation_days", rows, F.col("s_nationkey"), F.to_date("l_shipdate"), F.col("l_extendedprice"), F.col("l_quantity"), [F.col(c) for c in LINE_ORDER])
 
 
 def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of an event type."""
     e = table(spark, sf_dir, "events")
-    return bars_of(e, F.col("event_type"), F.to_date("ts"), F.col("value"), F.lit(1.0), [F.col("ts"), F.col("event_id")])
+    return _stored(spark, "event_days", e, F.col("event_type"), F.to_date("ts"), F.col("value"), F.lit(1.0), [F.col("ts"), F.col("event_id")])
 
 
 def read_bars(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

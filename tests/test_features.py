@@ -7,6 +7,7 @@ from scenarios import series
 
 from meridion.functions import windows as w
 from meridion.operators import leaks
+from meridion.operators import features as fx
 from meridion.operators.features import FEATURES, features
 from meridion.operators.labels import base_labels, path_labels
 from pyspark.sql import functions as F
@@ -118,7 +119,7 @@ def test_no_feature_reads_the_future(spark, bars):
     rows = series("A", 130, 7) + series("B", 130, 8)
     names = ["D_ema20", "D_rsi14", "D_adx14", "D_donch_pos_20", "D_WQ_3", "D_hh_run", "D_vol_surge_20", "D_slope_stability", "D_weekly_vpoc"]
     assert leaks.canary(bars(rows), lambda b: FEATURES.with_columns(b, names), names) == []
-    assert "label_fwd_ret" in leaks.canary(bars(rows), base_labels, ["label_fwd_ret"])
+    assert "label_fwd_ret_5d" in leaks.canary(bars(rows), base_labels, ["label_fwd_ret_5d"])
     leaks.check_plan(features(bars(rows), names))
     assert leaks.forward_windows(base_labels(bars(rows))) != []
     with pytest.raises(ValueError):
@@ -130,9 +131,9 @@ def test_no_feature_reads_the_future(spark, bars):
 def test_labels(spark, bars):
     rows = series("A", 60, 9)
     out = path_labels(base_labels(bars(rows))).orderBy("session_date").toPandas()
-    assert out["label_mfe"].isna().tolist() == [False] * 55 + [True] * 5
+    assert out["label_mfe_5d"].isna().tolist() == [False] * 55 + [True] * 5
     c, h, l = out["close"], out["high"], out["low"]
-    assert out["label_mfe"][10] == pytest.approx(h[11:16].max() / c[10] - 1)
+    assert out["label_mfe_5d"][10] == pytest.approx(h[11:16].max() / c[10] - 1)
     assert out["label_first_touch_5p3"].isna().tolist() == [False] * 55 + [True] * 5
     for i in range(55):
         first = 0
@@ -154,3 +155,25 @@ def test_a_day_that_meets_both_barriers_is_the_stop(spark, bars):
     out = path_labels(bars([tuple(r) for r in rows])).orderBy("session_date").toPandas()
     r = out.iloc[22]
     assert (r.label_first_touch_5p3, r.label_same_day_ambiguous_5p3, r.label_days_to_tp_5p3, r.label_days_to_sl_5p3) == (-1, 1, 3, 3)
+
+
+LEAKS = ["s.rank(pct=True)", "s.mean()", "s.std()", "s.quantile(0.9)", "s.max()", "s.corr(t)", "s.shift(-3)", "s.diff(-1)", "s.bfill()", "s.fillna(method='bfill')", "s.rolling(20, center=True).mean()", "s.interpolate(limit_direction='both')", "s[::-1]", "df.groupby('k')['v'].rank(pct=True)", "s.resample('W').max()", "F.lead('x', 1)", "w.rowsBetween(0, 3)", "w.rowsBetween(-2, Window.unboundedFollowing)"]
+CAUSAL = ["s.rolling(20).mean()", "s.expanding(min_periods=60).rank(pct=True)", "s.ewm(span=20, adjust=False).mean()", "pd.concat([s, t], axis=1).max(axis=1)", "s.shift(1)", "s.ffill()", "(s.diff() * t).cumsum()", "s.shift(-5)  # leak-free: the label", "w.rowsBetween(-19, 0)", "F.max(x)"]
+
+
+def test_source_that_reads_ahead():
+    find = lambda body: leaks.source_findings(f"def f(df):\n    {body}\n    return df\n")
+    assert [x for x in LEAKS if not find(f"df['x'] = {x}")] == [] and [x for x in CAUSAL if find(f"df['x'] = {x}")] == []
+    assert find("r = s.rolling(20)\n    df['x'] = r.mean()\n    df['y'] = r.std()") == []
+    assert find("# leak-free: by session\n    df['x'] = df.groupby('t')['v'].rank()") == [] and find("# by session\n    df['x'] = df.groupby('t')['v'].rank()")
+    with pytest.raises(ValueError):
+        leaks.check_source("def f(s):\n    return s.shift(-1)\n")
+    leaks.check_source(fx)
+
+
+def test_nulls_that_mean_unknown(spark):
+    a = spark.createDataFrame([(None, 1), (2, None)], "x int, y int")
+    assert leaks.null_census(a, ["x", "y"]).first() == (1, 1)
+    leaks.assert_nulls_kept(a, a, ["x"])
+    with pytest.raises(ValueError):
+        leaks.assert_nulls_kept(a, a.na.fill(0), ["x"])
