@@ -236,13 +236,13 @@ def gate(bars: DataFrame, calendar: Calendar | None, meta: DataFrame | None = No
         *([F.when(~futures & (F.col("_rolls") > 0), "roll marks on a series without contracts"), F.when(futures & (F.col("_rolls") < F.col("_bars")), "unknown roll")] if roll else []),
     ]
     late = F.col("_built").cast("double") < F.col("_changed").cast("double") - 1
-    verified = [] if meta is None else [
+    verified = [F.lit("no metadata")] if meta is None else [
         F.when(F.col("_meta").isNull(), "no metadata"), F.when(~absent & (F.col("meta_rows") != F.col("rows")), "rows differ from the metadata"),
         *([F.when(F.col("_meta") & ~F.col("_schema").eqNullSafe(F.lit(schema_version)), "other schema")] if schema_version is not None else []), F.when(~absent & late, "changed after its metadata"),
     ]
     parts = {"complete": complete, "valid": valid, "consistent": consistent, "verified": verified}
     out = v.withColumns({f"_{k}": F.array_compact(F.array(*x)) if x else F.array().cast("array<string>") for k, x in parts.items()})
-    warnings = F.array_compact(F.array(F.when(F.lit(trusted and allow_unverified) & ~absent & no_peers, "no peers to verify completeness"), F.when(F.lit(meta is None), "no metadata")))
+    warnings = F.array_compact(F.array(F.when(F.lit(trusted and allow_unverified) & ~absent & no_peers, "no peers to verify completeness")))
     out = out.select("*", *[(F.size(f"_{k}") == 0).alias(k) for k in parts], F.concat(*[F.col(f"_{k}") for k in parts]).alias("reasons"), warnings.alias("warnings"))
     status = F.when(F.size("reasons") > 0, "QUARANTINE").when(F.size("warnings") > 0, "PASS_UNVERIFIED").otherwise("PASS")
     return out.withColumn("status", status).drop(*[c for c in out.columns if c.startswith("_")])

@@ -185,8 +185,9 @@ def test_orphans_splits_and_merge(spark, bars):
     assert jump(5.0, 5.0) == [(True, 5.0, "high")] and jump(5.0, 1.2) == [(True, 5.0, "medium")]
     assert jump(0.2, 0.2) == [(True, 5.0, "high")] and jump(0.2, 0.8) == [(True, 5.0, "medium")]  # a merger of shares, folded
     assert jump(20.0, 20.0) == [(True, 20.0, "high")] and jump(100.0, 100.0)[0][1] == 100.0 and jump(2.5, 2.5)[0][1] == 2.5 and jump(5 / 3, 2.0)[0][1] == pytest.approx(5 / 3)
-    assert jump(1.41, 2.0)[0][1] == pytest.approx(7 / 5) and jump(7.0, 7.0) == [] and jump(1.3, 2.0) == []
-    assert jump(5.0, 5.0, revert=True) == [] and jump(2.0, 2.0, wide=True) == []
+    assert jump(1 / 1.41, 0.5)[0][1] == pytest.approx(7 / 5) and jump(7.0, 7.0) == [] and jump(1.3, 2.0) == []
+    # A fall that is taken back isn't one; the way back, which lasts, looks like one.
+    assert [at for at, *_ in jump(5.0, 5.0, revert=True)] == [False] and jump(2.0, 2.0, wide=True) == []
     a = series("M", 20, 4)
     new = [(s, d, o, h, l, c + 1, v) for s, d, o, h, l, c, v in a[15:]]
     merged = ingest.merge(ingest.merge(bars(a), bars(new)), bars(new)).orderBy("session_date").collect()

@@ -87,7 +87,7 @@ def test_analogues(spark, scope, shard, placed):
     table = {e.epoch: [np.array(e[c]) for c in "abc"] for e in edges.collect()} if placed else None
     q = df.filter("session_pos in (100, 150, 250) and symbol in ('S0', 'S3')")
     got = {}
-    for r in memory.nearest(df, q, list("abc"), edges, scope, k=10, percentile=5.0, outcomes=("y",), shard=shard).orderBy("rank").collect():
+    for r in memory.nearest(df, q, list("abc"), edges, scope, k=10, percentile=2.0, outcomes=("y",), shard=shard).orderBy("rank").collect():
         got.setdefault((r.q_symbol, r.q_date), []).append(r)
     for row in rows:
         if row[2] not in (100, 150, 250) or row[0] not in ("S0", "S3"):
@@ -96,7 +96,7 @@ def test_analogues(spark, scope, shard, placed):
             assert (row[0], row[1]) not in got  # before any epoch
             continue
         e = table[max(x for x in table if x <= row[1])] if placed else None
-        want, n, median, cut = brute(rows, row, 10, scope, e, 20, 5.0)
+        want, n, median, cut = brute(rows, row, 10, scope, e, 20, 2.0)
         mine = got[(row[0], row[1])]
         assert [(r.symbol, r.session_pos, r.close) for r in mine] == want
         assert mine[0].pool_size == n and mine[0].pool_median == pytest.approx(median, rel=1e-6 if shard > 1000 else 0.02) and mine[0].distance_cut == pytest.approx(cut, rel=1e-5)
@@ -241,7 +241,7 @@ def test_ranks_quantiles_and_totals(spark):
         for q in w.quantiles(df, ["g"], "x", shares).collect():
             known = [x for g, x in rows if g == q.g and x is not None]
             assert q.n == len(known) and np.allclose(q.q, np.quantile(known, shares))
-    t = spark.createDataFrame([(float(i), i % 7) for i in r.permutation(900)], "k double, n int")
+    t = spark.createDataFrame([(float(i), int(i % 7)) for i in r.permutation(900)], "k double, n int")
     total = 0
     for x in w.running_total(t, "k", ["n"]).orderBy("k").collect():
         assert x.n_before == total
