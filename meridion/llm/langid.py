@@ -28,7 +28,7 @@ SAMPLE_CHARS = 400
 STEPS = 350
 UNKNOWN = "und"
 #: A stage that rejects unrecognised texts keeps a score of this, or of twice what chance gives where that is less.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 _LANES = 1024
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
