@@ -112,7 +112,7 @@ mm AS (SELECT symbol, kind, exchange FROM m WHERE symbol <> '11' UNION ALL SELEC
 j AS (SELECT coalesce(v.symbol, mm.symbol) AS symbol, coalesce(mm.kind, 'equity') AS kind, mm.symbol IS NOT NULL AS has_meta, v.* EXCLUDE (symbol) FROM v FULL JOIN mm ON v.symbol = mm.symbol),
 t AS (SELECT j.*, coalesce(isolated, 0) AS isolated, coalesce(missing, 0) AS missing_sessions, stale AS stale_sessions, peer_missing, coalesce(split_suspects, 0) AS split_suspects FROM j LEFT JOIN iso USING (symbol) LEFT JOIN beh USING (symbol) LEFT JOIN fz USING (symbol) LEFT JOIN ss USING (symbol)),
 c AS (SELECT *, (SELECT count(*) FROM s) > 0 AS trusted FROM t),
-r AS (SELECT symbol, kind, stale_sessions, isolated, peer_missing, split_suspects,
+r AS (SELECT symbol, kind, CASE WHEN trusted THEN stale_sessions END AS stale_sessions, CASE WHEN trusted THEN isolated END AS isolated, CASE WHEN trusted THEN peer_missing END AS peer_missing, split_suspects,
   rows IS NOT NULL AND trusted AND NOT coalesce(stale_sessions > 1, false) AND CASE WHEN kind = 'futures' THEN coalesce(peer_missing <= 3, false) ELSE isolated <= 3 END AS complete,
   coalesce(null_prices = 0 AND nonpositive = 0 AND ohlc_violations = 0 AND (kind = 'index' OR (null_volume < rows AND negative_volume = 0)), true) AS valid,
   coalesce(repeated = 0, true) AND split_suspects = 0 AS consistent, has_meta AND symbol NOT IN ('7', '9', '13') AS verified FROM c)
