@@ -115,7 +115,7 @@ c AS (SELECT *, (SELECT count(*) FROM s) > 0 AS trusted FROM t),
 r AS (SELECT symbol, kind, CASE WHEN trusted THEN stale_sessions END AS stale_sessions, CASE WHEN trusted THEN isolated END AS isolated, CASE WHEN trusted THEN peer_missing END AS peer_missing, split_suspects,
   rows IS NOT NULL AND trusted AND NOT coalesce(stale_sessions > 1, false) AND CASE WHEN kind = 'futures' THEN coalesce(peer_missing <= 3, false) ELSE isolated <= 3 END AS complete,
   coalesce(null_prices = 0 AND nonpositive = 0 AND ohlc_violations = 0 AND (kind = 'index' OR (null_volume < rows AND negative_volume = 0)), true) AS valid,
-  coalesce(repeated = 0, true) AND split_suspects = 0 AS consistent, has_meta AND symbol NOT IN ('7', '9', '13') AS verified FROM c)
+  coalesce(repeated = 0, true) AND split_suspects = 0 AS consistent, has_meta AND symbol <> '9' AND NOT (rows IS NOT NULL AND symbol IN ('7', '13')) AS verified FROM c)
 SELECT *, CASE WHEN complete AND valid AND consistent AND verified THEN 'PASS' ELSE 'QUARANTINE' END AS status FROM r"""
 
 
