@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import numpy as np
 import pytest
@@ -269,3 +270,35 @@ def test_knn_takes_any_number_of_queries(spark):
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
         d[i] = np.inf
         assert got[i] == np.lexsort((np.arange(len(x)), d))[:3].tolist()
+
+
+def _means(rows, k=5):
+    """(event_id, mean) of each series in the order of ts and event_id."""
+    out, held = [], {}
+    for i, ts, kind, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        last = held[kind] = [*held.get(kind, []), v][-k:]
+        out.append((i, round(sum(last) / k, 6) if len(last) == k and None not in last else None))
+    return sorted(out)
+
+
+def _events(spark, rows, path, parts):
+    e = spark.createDataFrame([(i, i % 7, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=t), kind, v, "{}") for i, t, kind, v in rows], "event_id long, user_id long, ts timestamp, event_type string, value double, props string")
+    e.repartition(parts).write.mode("append").parquet(path)
+
+
+def test_moving_average_of_files_in_any_order(spark, tmp_path):
+    from meridion.plans import catalog
+
+    r = random.Random(5)
+    rows = [(i, r.randrange(500), r.choice("aaaab"), None if i % 50 == 7 else float(r.randrange(100))) for i in range(1500)] + [(2000, 3, "few", 1.0)]
+    _events(spark, rows, f"{tmp_path}/events.parquet", 3)
+    got = catalog.queries()["stream_moving_average"](spark, str(tmp_path))
+    assert sorted((x.event_id, x.mean) for x in got.collect()) == _means(rows)
+
+
+def test_moving_average_goes_on_after_a_batch(spark, tmp_path):
+    rows = [(i, i, "ab"[i % 2], float(i * i % 31)) for i in range(60)]
+    for part in (rows[:3], rows[3:40], rows[40:]):
+        _events(spark, part, f"{tmp_path}/events", 1)
+        got = streams.moving_average(streams.read_events(spark, f"{tmp_path}/events", None), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert sorted((x.event_id, None if x.mean is None else round(x.mean, 6)) for x in got.collect()) == _means(rows)
