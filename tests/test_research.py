@@ -1,4 +1,5 @@
 import datetime
+import math
 import random
 
 import numpy as np
@@ -302,3 +303,34 @@ def test_moving_average_goes_on_after_a_batch(spark, tmp_path):
         _events(spark, part, f"{tmp_path}/events", 1)
         got = streams.moving_average(streams.read_events(spark, f"{tmp_path}/events", None), f"{tmp_path}/out", f"{tmp_path}/state")
     assert sorted((x.event_id, None if x.mean is None else round(x.mean, 6)) for x in got.collect()) == _means(rows)
+
+
+def test_correlations_of_many_columns(spark):
+    r = np.random.default_rng(3)
+    n, width = 500, 60
+    x = r.normal(size=(n, 1)) + r.normal(size=(n, width)) * r.uniform(0.01, 3, width) + 1e5 * r.integers(0, 2, width)
+    x[:, 4] = 7.0
+    gone = r.random((n, width)) < 0.1
+    gone[300:, 5] = True
+    gone[50:, 6] = True
+    names = [f"f{i}" for i in range(width)]
+    df = spark.createDataFrame([[None if g else float(v) for v, g in zip(a, b)] for a, b in zip(x, gone)], ", ".join(f"{c} double" for c in names)).repartition(3)
+    df = df.withColumn("f7", F.when(F.col("f7").isNotNull() & (F.col("f0") > F.lit(float(np.sort(x[~gone[:, 0], 0])[-40]))), float("nan")).otherwise(F.col("f7")))
+    got = audit.correlations(df, names)
+    # The plan doesn't grow with the pairs: a whole panel's columns make thousands.
+    assert len(got._jdf.queryExecution().analyzed().toJSON()) < 1_000_000
+    got = {(p.a, p.b): (p.n, p.r) for p in got.collect()}
+    for i in range(width):
+        for j in range(i + 1, width):
+            ok = ~gone[:, i] & ~gone[:, j]
+            if 6 in (i, j):
+                assert (names[i], names[j]) not in got
+                continue
+            count, value = got[names[i], names[j]]
+            assert count == ok.sum()
+            if 4 in (i, j):
+                assert value is None
+            elif 7 in (i, j):
+                assert math.isnan(value)
+            else:
+                assert value == pytest.approx(np.corrcoef(x[ok, i], x[ok, j])[0, 1], abs=1e-9)
