@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridion.llm.common import UID, doc_order, fields, join_small, materialise, rows_without, small_batches, stable, table
+from meridion.llm.common import UID, doc_order, fields, join_small, materialise, release, rows_without, small_batches, stable, table
 from meridion.llm.numtext import gram_hashes, mix, slabs, stretches, utf8, word_hashes, words
 
 SHINGLE = 5
@@ -99,6 +99,7 @@ def _long_shingles(data: np.ndarray, size: int) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for b in batches:
         data, offsets = utf8(b.column(2))
         size = np.zeros(b.num_rows, np.int64)
@@ -122,6 +123,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole groups of rows that are sorted by their first `keys` columns: (rows, start of each group)."""
+    release()
     held: list[pa.RecordBatch] = []
 
     def starts(t: pa.Table) -> np.ndarray:
@@ -236,6 +238,7 @@ SET_DDL = f"{UID} long, shingles array<long>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for b in batches:
         data, offsets = utf8(b.column(1))
         flat, bounds = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meridion.llm.common import fields, join_small, materialise, small_batches, stable, table
+from meridion.llm.common import fields, join_small, materialise, small_batches, stable, table, worker_cache
 
 WINDOW = 2048
 PACKET = 64
@@ -163,7 +163,7 @@ class WordTokenizer:
 
 
 #: A worker's tokenizers; what one task learned serves the next.
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[str, WordTokenizer] = worker_cache({})
 
 
 def tokenizer_of(spec: str) -> WordTokenizer:

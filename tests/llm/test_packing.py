@@ -144,3 +144,12 @@ def test_pack(spark, docs, weights, queues, monkeypatch):
         for k in range(1, int(lasting)):
             assert all(abs(shares[k].get(s, 0) - target[s] * 2048) <= 5 * packing.PACKET for s in names)
     assert packing.pack(docs([])).collect() == []
+
+
+def test_other_operators_drop_the_words_a_worker_learned():
+    from meridion.llm import langid, neardup
+
+    for task in (neardup._signatures, neardup._sets, neardup._link(1), neardup._verify(0.8), langid._labels(langid.Network.__new__(langid.Network), False)):
+        packing.tokenizer_of(SPEC).encode([b"some words"])
+        assert list(task(iter([]))) == [] and not packing._tokenizers
+    assert packing.tokenizer_of(SPEC).encode([b"some words"])[0].tolist() == ids("some words")
