@@ -51,3 +51,32 @@ def test_bounds_prove_early(spark):
     np.fill_diagonal(exact, -10**9)
     for i in range(50):
         assert set(np.argsort(-exact[i], kind="stable")[:20]) <= set(b[a == i])
+
+
+def test_many_rows_against_brute_force():
+    """Several tiles of rows and of queries, a floor that is carried along, copies and ties.  The time a pair of this
+    would have been over ten times as long before."""
+    r = np.random.default_rng(5)
+    v = np.floor(64 * r.normal(0, 0.125, (12_000, 64))).astype(np.int8)
+    v[3000:3100], v[9000:11000:2] = v[20], np.floor(r.normal(0, 1, (1000, 64)))
+    own = np.arange(0, 12_000, 20)
+    index = topk.ImpactIndex(v)
+    a, b, score = index.best(v[own], own, 20)
+    exact = v[own].astype(np.float64) @ v.T.astype(np.float64)
+    exact[np.arange(len(own)), own] = -np.inf
+    want = np.argsort(-exact, axis=1, kind="stable")[:, :20]
+    assert (a == np.repeat(np.arange(len(own)), 20)).all() and (b == want.ravel()).all()
+    assert (score == np.take_along_axis(exact, want, 1).ravel()).all()
+    assert len(index.possible(v[own[:256]], own[:256], 20)[0]) < 256 * 12_000 * 0.05
+
+
+def test_copies_and_narrow_types(spark, monkeypatch):
+    """More copies of a vector than a query takes, in several blocks and shards, and a null id among them."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 5)
+    r = random.Random(6)
+    for size in (0.3, 40.0, 900.0):
+        many, few = [[r.gauss(0, size) for _ in range(5)] for _ in range(2)]
+        rows = [(i, many if i % 2 else few if i % 3 else [r.gauss(0, size) for _ in range(5)]) for i in range(160)]
+        rows += [(None, many), (None, few), (40, many), (40, many), (60, few)]
+        assert sorted(map(tuple, topk.search(table(spark, rows)).collect()), key=str) == brute(rows)
