@@ -54,8 +54,7 @@ def test_bounds_prove_early(spark):
 
 
 def test_many_rows_against_brute_force():
-    """Several tiles of rows and of queries, a floor that is carried along, copies and ties.  The time a pair of this
-    would have been over ten times as long before."""
+    """Several tiles of rows and of queries, a floor that is carried along, copies and ties."""
     r = np.random.default_rng(5)
     v = np.floor(64 * r.normal(0, 0.125, (12_000, 64))).astype(np.int8)
     v[3000:3100], v[9000:11000:2] = v[20], np.floor(r.normal(0, 1, (1000, 64)))
