@@ -65,3 +65,25 @@ def test_stages(spark, docs):
 def test_run_of_nothing(spark, docs, tmp_path):
     docs([]).write.parquet(f"file://{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").collect() == []
+
+
+def test_stages_start_after_memory_was_given_back(spark, docs, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    operators = [("langid", "in_known_language"), ("exactdedup", "deduplicated"), ("neardup", "representatives"), ("mixing", "mixed_documents"), ("packing", "pack")]
+    seen = []
+    for module, name in operators:
+        monkeypatch.setattr(getattr(corpus_pipeline, module), name, lambda d, **_: seen.append(full()) or d.withColumn("ids", d.doc_id))
+    d = docs([(1, "some words")])
+    for _, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, d, None)
+        assert seen.pop() > before
+    assert not seen
+
+
+def test_giving_back_drops_the_words_a_worker_learned():
+    from meridion.llm import common
+
+    packing.tokenizer_of(open(packing.default_tokenizer(), encoding="utf-8").read()).encode([b"some words"])
+    assert list(common._trimmed(iter([]))) == [] and not packing._tokenizers
