@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from scenarios import business_days
 
+from meridion.functions import learn
 from meridion.functions import windows as w
-from meridion.operators import audit, memory, research
+from meridion.operators import audit, memory, panel, research
 from meridion.streaming import bars as streams
 from pyspark.sql import functions as F
 
@@ -226,6 +227,31 @@ def test_audit_on_planted_columns(spark):
         audit.load_approved(["a", "a"], ["a"])
 
 
+def test_audit_sees_all_rows(spark, monkeypatch):
+    # Sizes from which an audit or a fit would see a part of the rows, if there are any.
+    monkeypatch.setattr(audit, "AUDIT_ROWS", 200, raising=False)
+    monkeypatch.setattr(audit.incremental, "__defaults__", tuple(200 if d == 150_000 else d for d in audit.incremental.__defaults__))
+    r = np.random.default_rng(5)
+    rows = []
+    for d in business_days(90):
+        for k in range(22):
+            a, b = float(r.normal()), float(r.normal())
+            rows.append((f"S{k:02}", d, float(a + b + r.normal() > 0) if r.random() > 0.02 else None, a if r.random() > 0.1 else None, b, float(r.integers(0, 9))))
+    df = spark.createDataFrame(rows, "symbol string, session_date date, label_tp_before_sl double, SIGNAL double, BASE double, STEPS double").repartition(5)
+    names = ["SIGNAL", "BASE", "STEPS"]
+    got = {x.feature: x for x in audit.audit(df, names, base=("BASE",), rounds=10, splits=2, least=15).collect()}
+    assert [got[n].n_unique for n in names] == [len({x[i] for x in rows} - {None}) for i in (3, 4, 5)]
+    records, _ = audit.incremental(df, ["BASE"], ["SIGNAL", "STEPS"], splits=2, rounds=10, least=15)
+    records = {(x.fold, x.feature): x for x in records.collect()}
+    assert len(records) == 2 * (2 + audit.SENTINELS)
+    for f in panel.folds(df, 2).collect():
+        part = lambda low, high, *at: np.array([[np.nan if x[i] is None else x[i] for i in at] for x in rows if x[2] is not None and low <= x[1] <= high])
+        (train, y), (test, z) = ((part(low, high, 4, 3), part(low, high, 2)[:, 0]) for low, high in ((f.train_start, f.train_end), (f.test_start, f.test_end)))
+        x = records[f.fold, "SIGNAL"]
+        assert x.base_auc == pytest.approx(learn.auc(z, learn.boosted(train[:, :1], y, 10).scores(test[:, :1])), abs=1e-9)
+        assert x.with_auc == pytest.approx(learn.auc(z, learn.boosted(train, y, 10).scores(test)), abs=1e-9)
+
+
 def test_clusters_and_duplicates():
     pairs = [("a", "b", 0.9995), ("b", "c", 0.9), ("a", "c", 0.9), ("c", "d", -0.86), ("a", "d", 0.1), ("b", "d", None)]
     assert audit.duplicates(pairs, list("abcd")) == {"b": "a"}
